@@ -379,7 +379,7 @@ def e33(t):
 
 @query(
     "f1_keep_last",
-    """SELECT claim_id, max(loss_date)::varchar[1:10] AS loss_day, arg_max(location_id, row(loss_date, location_id, incurred_loss_usd)) AS location_id
+    """SELECT claim_id, strftime(max(loss_date), '%Y-%m-%d') AS loss_day, arg_max(location_id, row(loss_date, location_id, incurred_loss_usd)) AS location_id
        FROM claims GROUP BY claim_id""",
 )
 def f1(t):

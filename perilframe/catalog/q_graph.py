@@ -1 +1,94 @@
-"""Registered queries."""
+"""Accumulation graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import exposure, graph, pairs, spatial
+from ..operators.support import cut_lineage
+from .common import rounded, tidy
+from .q_aggregates import RISK_SQL
+from .q_joins import CO_LOSS_SQL, KNN_SQL
+from .q_rowwise import BASIN_SQL, with_basin
+from .registry import query
+
+_KNN = KNN_SQL % ("100e0", 5)
+NEIGHBOUR_SQL = f"""{_KNN}, {RISK_SQL}, nb AS (SELECT src AS node, dst AS neighbour FROM knn UNION SELECT dst, src FROM knn),
+    rn AS (SELECT node, neighbour, round(risk_score, 9) AS score, row_number() OVER (PARTITION BY node ORDER BY round(risk_score, 9) DESC, neighbour) AS rank
+           FROM nb JOIN risk ON location_id = neighbour)"""
+
+
+def scores(t):
+    risk = exposure.composite_risk(t.locations, t.claims)
+    return risk.select(F.col("location_id").alias("node"), F.round("risk_score", 9).alias("score"))
+
+
+def edges(t):
+    """The graph is built once and stored, as its users read it several times."""
+    return cut_lineage(spatial.k_nearest(t.locations, 5, 100.0).select("src", "dst"))
+
+
+@query("f6_top_neighbours", f"WITH {NEIGHBOUR_SQL} SELECT node, neighbour, score, rank FROM rn WHERE rank <= 3")
+def f6(t):
+    return tidy(graph.top_neighbours(edges(t), scores(t), 3), 9)
+
+
+@query("f6_neighbour_counts", f"WITH {NEIGHBOUR_SQL} SELECT node, count(*) AS num_neighbors FROM nb GROUP BY node")
+def f6_counts(t):
+    return graph.neighbour_counts(edges(t))
+
+
+@query(
+    "f7_high_risk_summary",
+    f"""WITH {NEIGHBOUR_SQL}, top10 AS (SELECT location_id AS node, round(risk_score, 9) AS risk_score FROM risk ORDER BY round(risk_score, 9) DESC, location_id LIMIT 10)
+        SELECT t.node, t.risk_score, (SELECT count(*) FROM nb WHERE nb.node = t.node) AS num_neighbors,
+               coalesce((SELECT string_agg(neighbour, ',' ORDER BY rank) FROM rn WHERE rn.node = t.node AND rank <= 5), '') AS top_neighbor_ids FROM top10 t""",
+)
+def f7(t):
+    return rounded(graph.high_risk_summary(edges(t), scores(t)), 9)
+
+
+_CENTRE = 77
+
+
+@query(
+    "k1_induced_subgraph",
+    f"""WITH {NEIGHBOUR_SQL}, n AS (SELECT {_CENTRE} AS node UNION SELECT neighbour FROM rn WHERE node = {_CENTRE} AND rank <= 10)
+        SELECT src, dst, (SELECT count(*) FROM n) AS num_nodes FROM knn WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)""",
+)
+def k1(t):
+    nodes, inside = graph.induced_subgraph(edges(t), scores(t), _CENTRE)
+    return inside.select("src", "dst", nodes.agg(F.count("*")).scalar().alias("num_nodes"))
+
+
+@query(
+    "k2_neighbour_means",
+    f"""WITH {_KNN} SELECT dst AS node, round(avg(tiv_usd), 6) AS mean_tiv_usd, round(avg(year_built), 6) AS mean_year_built, count(*) AS degree
+        FROM knn JOIN locations ON location_id = src GROUP BY dst""",
+)
+def k2(t):
+    return rounded(graph.neighbour_means(edges(t), t.locations, ["tiv_usd", "year_built"]), 6)
+
+
+@query(
+    "k3_similar_pairs",
+    """WITH e AS (SELECT vec_id, embedding::double[] AS v FROM embeddings),
+       p AS (SELECT a.vec_id AS key_a, b.vec_id AS key_b, list_dot_product(a.v, b.v)/(sqrt(list_dot_product(a.v, a.v))*sqrt(list_dot_product(b.v, b.v)) + 1e-8) AS s
+             FROM e a, e b WHERE a.vec_id < b.vec_id)
+       SELECT key_a, key_b, round(s, 6) AS similarity FROM p WHERE s >= 3e-1""",
+)
+def k3(t):
+    return rounded(pairs.similar_pairs(t.raw("embeddings"), "vec_id", "embedding", 0.3), 6)
+
+
+@query(
+    "h3_portfolio_edges",
+    f"""WITH {_KNN}, {CO_LOSS_SQL}, b AS ({BASIN_SQL}), bs AS (SELECT coastal_basin, count(*) AS n FROM b GROUP BY 1)
+        SELECT 'spatial' AS edge_type, count(*) AS edges, count(DISTINCT src) AS sources, round(sum(distance_km), 3) AS total_weight FROM knn
+        UNION ALL SELECT 'peril_correlation', count(*), count(DISTINCT key_a), round(sum(correlation), 3) FROM colo
+        UNION ALL SELECT 'coastal', cast(sum(least(n*(n-1)//2, 1000)) AS bigint), NULL, round(sum(least(n*(n-1)//2, 1000)), 3)::double FROM bs""",
+)
+def h3(t):
+    out = graph.portfolio_edges(with_basin(t), t.claims, pairs_per_basin=1000)
+    per = out.groupBy("edge_type").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.sum("weight").alias("total_weight"))
+    return rounded(per.withColumn("sources", F.when(F.col("edge_type") != "coastal", F.col("sources"))), 3)

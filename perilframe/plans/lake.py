@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import encode, exposure, hazard, portfolio, spatial
+from ..operators.support import cut_lineage
 
 
 def gold_features(locations: DataFrame, grid: DataFrame, claims: DataFrame) -> DataFrame:
@@ -43,6 +44,9 @@ def risk_book(
 
 
 def tail_risk(book: DataFrame, seasons: int = portfolio.SEASONS, seed: int = 42, trend=1.0) -> DataFrame:
-    """Loss draw, season totals, tail metrics: one row."""
-    losses = portfolio.annual_losses(portfolio.draw_losses(book, seasons, seed, trend), seasons)
+    """Loss draw, season totals, tail metrics: one row.
+
+    The season totals are stored once, since the metrics read them several times.
+    """
+    losses = cut_lineage(portfolio.annual_losses(portfolio.draw_losses(book, seasons, seed, trend), seasons))
     return portfolio.tail_metrics(losses, book.agg(F.sum("tiv_usd")).scalar())

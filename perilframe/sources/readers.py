@@ -124,9 +124,9 @@ def normalise_fires(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), at.alias("timestamp"), *keep)
 
 
-def read_series(spark: SparkSession, path: str) -> DataFrame:
-    """Series payloads, one JSON document per line or file: observations unrolled, "." is missing."""
-    docs = spark.read.schema(SERIES_SCHEMA).option("multiLine", True).json(path)
+def read_series(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Series payloads, one JSON document per line (or per file): observations unrolled, "." is missing."""
+    docs = spark.read.schema(SERIES_SCHEMA).option("multiLine", multi_line).json(path)
     rows = docs.select("series_id", "series_name", F.explode("observations").alias("o"))
     return rows.select(
         "series_id", "series_name", F.col("o.date").cast("date").alias("date"),
