@@ -52,8 +52,8 @@ def write_track_text(t) -> str:
 
 @query(
     "a2_track_text",
-    """WITH m AS (SELECT storm_id, date_trunc('minute', obs_ts) AS at, arg_max(row(obs_id, lat, lon, max_wind_kt, min_pressure_mb), obs_id) AS r FROM tracks GROUP BY 1, 2)
-       SELECT printf('AL%02d2024', storm_id) AS storm_id, printf('STORM%02d', storm_id) AS name, epoch_us(at)//1000000 AS at_s, 'HU' AS status, round(r[2], 1) AS lat, round(r[3], 1) AS lon,
+    """WITH m AS (SELECT storm_id, date_trunc('minute', obs_ts) AS tm, arg_max(row(obs_id, lat, lon, max_wind_kt, min_pressure_mb), obs_id) AS r FROM tracks GROUP BY 1, 2)
+       SELECT printf('AL%02d2024', storm_id) AS storm_id, printf('STORM%02d', storm_id) AS name, epoch_us(tm)//1000000 AS at_s, 'HU' AS status, round(r[2], 1) AS lat, round(r[3], 1) AS lon,
               cast(r[4] AS bigint) AS max_wind_kt, case when r[1] % 9 <> 0 then cast(r[5] AS bigint) end AS min_pressure_mb FROM m""",
 )
 def a2(t):

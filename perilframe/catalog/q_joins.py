@@ -138,7 +138,7 @@ def d7(t):
 )
 def d8(t):
     near = spatial.radius_join(
-        t.locations.select("location_id", "lat", "lon"), hazard.track_points(t.tracks, "obs_id"), 400.0
+        t.locations.select("location_id", "lat", "lon"), hazard.track_points(t.tracks, "obs_id"), 400.0, spread=("location_id",)
     )
     out = near.groupBy("location_id").agg(
         F.count("*").alias("pairs"), F.sum("distance_km").alias("total_km"), F.min("distance_km").alias("nearest_km")
@@ -147,14 +147,15 @@ def d8(t):
 
 
 @query(
-    "d8_radius_join_salted",
+    "d8_radius_join_shuffled",
     f"""WITH p AS (SELECT storm_id, {_PAIR_KM} AS km FROM locations l, tracks k)
         SELECT storm_id, count(*) AS pairs, round(avg(km), 5) AS mean_km FROM p WHERE km <= 150e0 GROUP BY storm_id""",
 )
 def d8_salted(t):
     near = spatial.radius_join(
-        t.locations.select("location_id", "lat", "lon"), hazard.track_points(t.tracks, "storm_id"), 150.0, hot_cell_rows=64
-    )
+        t.locations.select("location_id", "lat", "lon"), hazard.track_points(t.tracks, "storm_id"), 150.0,
+        broadcast_rows=0, hot_cell_rows=64,
+    )
     return rounded(near.groupBy("storm_id").agg(F.count("*").alias("pairs"), F.avg("distance_km").alias("mean_km")), 5)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .hazard import FEATURE_RADIUS_KM, track_points
 from .pairs import co_loss_pairs, sampled_group_pairs
 from .ranking import positions
-from .spatial import k_nearest, radius_join
+from .spatial import SITE, k_nearest, radius_join, sites_of, to_locations
 
 BITS = 62
 
@@ -25,9 +25,10 @@ def storm_masks(tracks: DataFrame, locations: DataFrame, radius_km: float = FEAT
         F.expr(f"position div {BITS}").alias("word"),
         F.expr(f"shiftleft(1L, cast(position % {BITS} as int))").alias("bit"),
     )
-    obs = track_points(tracks, "storm_id").join(bits, "storm_id").drop("storm_id")
-    pairs = radius_join(locations.select("location_id", "lat", "lon"), obs, radius_km)
-    return pairs.groupBy("location_id", "word").agg(F.bit_or("bit").alias("mask"))
+    obs = track_points(tracks, "storm_id").join(bits, "storm_id")
+    obs = obs.groupBy("word", "track_lat", "track_lon").agg(F.bit_or("bit").alias("bits"))
+    pairs = radius_join(sites_of(locations), obs, radius_km, spread=SITE)
+    return to_locations(locations, pairs.groupBy(*SITE, "word").agg(F.bit_or("bits").alias("mask")))
 
 
 def footprint_edges(

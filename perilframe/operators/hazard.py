@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, hazard, labels
 from ..functions.times import utc_seconds
-from .spatial import grid_key, radius_join, snap_to_grid
+from .ranking import positions
+from .spatial import SITE, grid_key, radius_join, sites_of, snap_to_grid, to_locations
 from .support import require_columns
 
 WIND_THRESHOLDS_KT = (34, 50, 64, 100)
@@ -24,35 +25,53 @@ def track_points(tracks: DataFrame, *columns: str) -> DataFrame:
     return tracks.select(*columns, F.col("lat").alias("track_lat"), F.col("lon").alias("track_lon"))
 
 
+STORM_BITS = 62
+
+
+def _storm_bits(tracks: DataFrame) -> DataFrame:
+    """(obs_year, storm_id, word, bit): the storms of a year numbered, 62 to a word."""
+    storms = tracks.select("obs_year", "storm_id").distinct()
+    numbered = positions(storms, "storm_id", by="obs_year")
+    return numbered.select(
+        "obs_year",
+        "storm_id",
+        F.expr(f"position div {STORM_BITS}").alias("_word"),
+        F.expr(f"shiftleft(1L, cast(position % {STORM_BITS} as int))").alias("_bit"),
+    )
+
+
 def yearly_event_features(
     tracks: DataFrame, locations: DataFrame, first_year: int, last_year: int, radius_km: float = FEATURE_RADIUS_KM
 ) -> DataFrame:
     """One row per (location, year) with storm proximity features; quiet years give 0 or NULL.
 
-    The pairs of a location are produced and pre-aggregated in the same task.
+    Observations are folded per (year, position) before they meet the sites: every
+    feature is a minimum, maximum or sum, and the distinct storms are the union of
+    bit sets. The pairs of a site are produced and aggregated in one task.
     """
     require_columns(tracks, ["storm_id", "obs_year", "lat", "lon", "max_wind_kt", "min_pressure_mb"], "tracks")
     seen = tracks.where(F.col("obs_year").between(first_year, last_year))
-    obs = track_points(seen, "storm_id", "obs_year", "max_wind_kt", "min_pressure_mb")
-    pairs = radius_join(locations.select("location_id", "lat", "lon"), obs, radius_km)
-    counts = [
-        F.sum((F.col("max_wind_kt") >= t).cast("int")).alias(f"_above_{t}") for t in WIND_THRESHOLDS_KT
-    ]
-    # Storms first, then years: no distinct count over the pairs.
-    per_storm = pairs.groupBy("location_id", F.col("obs_year").alias("year"), "storm_id").agg(
-        F.min("distance_km").alias("_km"), F.max("max_wind_kt").alias("_wind"),
-        F.min("min_pressure_mb").alias("_mb"), *counts,
+    counts = [F.count_if(F.col("max_wind_kt") >= t).alias(f"_above_{t}") for t in WIND_THRESHOLDS_KT]
+    obs = (
+        seen.join(_storm_bits(seen), ["obs_year", "storm_id"])
+        .groupBy(F.col("obs_year").alias("year"), "_word", F.col("lat").alias("track_lat"), F.col("lon").alias("track_lon"))
+        .agg(F.bit_or("_bit").alias("_storms"), F.max("max_wind_kt").alias("_wind"), F.min("min_pressure_mb").alias("_mb"), *counts)
+    )
+    pairs = radius_join(sites_of(locations), obs, radius_km, spread=SITE)
+    per_word = pairs.groupBy(*SITE, "year", "_word").agg(
+        F.bit_or("_storms").alias("_storms"), F.min("distance_km").alias("_km"), F.max("_wind").alias("_wind"),
+        F.min("_mb").alias("_mb"), *[F.sum(f"_above_{t}").alias(f"_above_{t}") for t in WIND_THRESHOLDS_KT],
     )
-    per_year = per_storm.groupBy("location_id", "year").agg(
-        F.count("*").alias("storm_count"),
+    per_year = per_word.groupBy(*SITE, "year").agg(
+        F.sum(F.bit_count("_storms")).alias("storm_count"),
         F.min("_km").alias("min_distance_to_track_km"),
         F.max("_wind").alias("max_wind_nearby_kt"),
         F.min("_mb").alias("min_pressure_nearby_mb"),
         *[F.sum(f"_above_{t}").alias(f"days_above_{t}kt") for t in WIND_THRESHOLDS_KT],
     )
     zero = ["storm_count", "max_wind_nearby_kt"] + [f"days_above_{t}kt" for t in WIND_THRESHOLDS_KT]
-    everyone = location_years(locations.select("location_id"), first_year, last_year)
-    return everyone.join(per_year, ["location_id", "year"], "left").na.fill(0, zero)
+    everyone = location_years(locations.select("location_id", *SITE), first_year, last_year)
+    return everyone.join(per_year, [*SITE, "year"], "left").drop(*SITE).na.fill(0, zero)
 
 
 def location_years(keys: DataFrame, first_year: int, last_year: int) -> DataFrame:
@@ -68,31 +87,37 @@ def peak_winds(
 ) -> DataFrame:
     """Peak wind and the first time it occurs, per (location, storm) within the radius.
 
+    Repeated observations (storm, position, wind) are folded to the first, and
+    winds are taken per site.
+
     With ``floor_kt`` only peaks at or above it are kept, and each observation is
     joined only as far as it can still deliver that wind: w*sqrt(rmw/d) >= floor
     means d <= rmw*(w/floor)^2.
     """
-    obs = track_points(tracks, "storm_id", "obs_ts", "max_wind_kt").withColumns(
-        {"_rmw": hazard.max_wind_radius_km("max_wind_kt"), "_second": utc_seconds(tracks, "obs_ts")}
-    )
-    places = locations.select("location_id", "lat", "lon")
-    if floor_kt is None:
-        pairs = radius_join(places, obs, radius_km)
-    else:
-        strong = obs.where(F.col("max_wind_kt") >= floor_kt)
+    stamped = tracks.withColumn("_second", utc_seconds(tracks, "obs_ts"))
+    obs = stamped.groupBy(
+        "storm_id", "max_wind_kt", F.col("lat").alias("track_lat"), F.col("lon").alias("track_lon")
+    ).agg(F.min("_second").alias("_second"), F.min("obs_ts").alias("_ts"))
+    obs = obs.withColumn("_rmw", hazard.max_wind_radius_km("max_wind_kt"))
+    reach = None
+    if floor_kt is not None:
         strength = F.pow(F.col("max_wind_kt") / floor_kt, 2)
-        strong = strong.withColumn("_reach", F.col("_rmw") * strength * (1 + 1e-9) + 1e-6)
-        pairs = radius_join(places, strong, radius_km, cell_km=min(radius_km, 100.0), reach="_reach")
+        obs = obs.where(F.col("max_wind_kt") >= floor_kt)
+        obs = obs.withColumn("_reach", F.col("_rmw") * strength * (1 + 1e-9) + 1e-6)
+        reach = "_reach"
+    pairs = radius_join(sites_of(locations), obs, radius_km, reach=reach, spread=SITE)
     felt = F.floor(hazard.wind_at_distance("max_wind_kt", "distance_km", F.col("_rmw")) * 1e6 + 0.5)
     # One bigint orders by wind (1e-6 kt), then by earliest second, so that every
     # aggregate buffer is a primitive and the pairs go through a hash aggregate.
     order = felt.cast("long") * F.lit(1 << 33) + (F.lit(1 << 32) - F.col("_second"))
-    peaks = pairs.withColumn("_order", order).groupBy("location_id", "storm_id").agg(
-        F.max("_order").alias("_peak"), F.max_by("obs_ts", "_order").alias("loss_date")
+    peaks = pairs.withColumn("_order", order).groupBy(*SITE, "storm_id").agg(
+        F.max("_order").alias("_peak"), F.max_by("_ts", "_order").alias("loss_date")
     )
     wind = F.shiftright("_peak", 33) / 1e6
-    peaks = peaks.select("location_id", "storm_id", wind.alias("max_wind_experienced_kt"), "loss_date")
-    return peaks if floor_kt is None else peaks.where(F.col("max_wind_experienced_kt") >= floor_kt)
+    peaks = peaks.select(*SITE, "storm_id", wind.alias("max_wind_experienced_kt"), "loss_date")
+    if floor_kt is not None:
+        peaks = peaks.where(F.col("max_wind_experienced_kt") >= floor_kt)
+    return to_locations(locations, peaks)
 
 
 def event_losses(

@@ -9,53 +9,84 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.times import utc_seconds
-from .support import cut_lineage, require_columns
+from .support import cut_lineage, require_columns, task_count
 
 KM_PER_DEGREE = math.pi * geo.EARTH_RADIUS_KM / 180.0
 
 
+BROADCAST_ROWS = 500_000
+
+
 def radius_join(
     left: DataFrame,
     right: DataFrame,
     radius_km: float,
     left_pos=("lat", "lon"),
     right_pos=("track_lat", "track_lon"),
-    cell_km: float | None = None,
-    hot_cell_rows: int | None = None,
     reach: str | None = None,
+    spread: tuple[str, ...] = (),
+    broadcast_rows: int = BROADCAST_ROWS,
+    hot_cell_rows: int | None = None,
 ) -> DataFrame:
     """All (left, right) pairs within ``radius_km``, plus ``distance_km``.
 
-    The right side is repeated into each cell its circle touches, the left side
-    stays in its own cell, so every pair meets in exactly one cell and the join
-    is an equi-join: Spark broadcasts the right side when its size allows and
-    shuffles on the cell otherwise, where adaptive execution splits skewed
-    partitions. ``hot_cell_rows`` adds explicit salting: a cell with more left
-    rows than that is spread over several sub-cells, found by one extra count.
-    ``reach`` names a right column with that row's own, smaller radius in km.
+    An equi-join on cells with an exact check behind it. The right side is counted:
+
+    * up to ``broadcast_rows`` rows it is broadcast by cell, and each left row
+      looks up the cells its circle touches. ``spread`` names left columns to
+      deal the left rows by first; an aggregate that groups by them (and more)
+      then needs no further shuffle, so pairs never leave the task that made them.
+    * beyond that both sides are shuffled by cell, the right one repeated into
+      each cell its circle touches. Adaptive execution splits skewed cells;
+      ``hot_cell_rows`` also salts cells with more left rows than that.
 
+    ``reach`` names a right column with that row's own, smaller radius in km.
     Pairs are as many as the data holds; callers aggregate them.
     """
-    side = (cell_km or radius_km) / KM_PER_DEGREE
     vec = ("_x", "_y", "_z")
     lv = dict(zip((f"_l{c}" for c in vec), geo.unit_vector(*left_pos)))
     rv = dict(zip((f"_r{c}" for c in vec), geo.unit_vector(*right_pos)))
-    a = left.withColumns({"_cell": geo.cell_of(*left_pos, side), **lv})
+    furthest = F.max(reach) if reach else F.lit(float(radius_km))
+    rows, furthest = right.agg(F.count("*"), furthest).first()
+    radius_km = min(radius_km, furthest if furthest is not None else radius_km)
     own_km = F.least(F.col(reach), F.lit(float(radius_km))) if reach else F.lit(float(radius_km))
-    b = right.withColumns({"_cell": geo.cells_within(*right_pos, own_km, side), **rv})
     if reach:
-        b = b.withColumn("_limit", geo.chord_sq_limit(own_km))
-    b = b.withColumn("_cell", F.explode("_cell"))
+        right = right.withColumn("_limit", geo.chord_sq_limit(own_km))
     keys = ["_cell"]
-    if hot_cell_rows:
-        a, b = salt_hot_keys(a, b, "_cell", hot_cell_rows)
-        keys.append("_salt")
+    if rows <= broadcast_rows:
+        side = max(radius_km, 1e-3) / 3 / KM_PER_DEGREE
+        if spread:
+            left = left.repartition(task_count(left.sparkSession), *spread)
+        a = left.withColumns({"_cell": geo.cells_within(*left_pos, F.lit(float(radius_km)), side), **lv})
+        a = a.withColumn("_cell", F.explode("_cell"))
+        b = F.broadcast(right.withColumns({"_cell": geo.cell_of(*right_pos, side), **rv}))
+    else:
+        side = max(radius_km, 1e-3) / KM_PER_DEGREE
+        a = left.withColumns({"_cell": geo.cell_of(*left_pos, side), **lv})
+        b = right.withColumns({"_cell": geo.cells_within(*right_pos, own_km, side), **rv})
+        b = b.withColumn("_cell", F.explode("_cell"))
+        if hot_cell_rows:
+            a, b = salt_hot_keys(a, b, "_cell", hot_cell_rows)
+            keys.append("_salt")
     gap = geo.chord_sq([f"_l{c}" for c in vec], [f"_r{c}" for c in vec])
     limit = F.col("_limit") if reach else geo.chord_sq_limit(F.lit(float(radius_km)))
     pairs = a.join(b, keys, "inner").withColumn("_gap", gap).where(F.col("_gap") <= limit)
     return pairs.withColumn("distance_km", geo.chord_sq_to_km(F.col("_gap"))).drop(*keys, "_gap", "_limit", *lv, *rv)
 
 
+SITE = ("lat", "lon")
+
+
+def sites_of(locations: DataFrame) -> DataFrame:
+    """Distinct positions: any number of locations at one position is one site."""
+    return locations.select(*SITE).where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).distinct()
+
+
+def to_locations(locations: DataFrame, per_site: DataFrame) -> DataFrame:
+    """Hand the result of each site to all locations that stand on it."""
+    return locations.select("location_id", *SITE).join(per_site, list(SITE)).drop(*SITE)
+
+
 def salt_hot_keys(big: DataFrame, small: DataFrame, key: str, rows_per_salt: int):
     """Add ``_salt`` to both sides so that no key of ``big`` keeps more than about ``rows_per_salt`` rows.
 
@@ -157,25 +188,31 @@ def distance_to_coast(locations: DataFrame) -> DataFrame:
 
 
 def storm_distances(tracks: DataFrame, locations: DataFrame, radius_km: float = 500.0) -> DataFrame:
-    """Closest approach of each storm to each location in reach, with wind and pressure there."""
-    obs = tracks.select(
-        "storm_id", "max_wind_kt", "min_pressure_mb",
-        utc_seconds(tracks, "obs_ts").alias("_second"),
-        F.col("lat").alias("track_lat"), F.col("lon").alias("track_lon"),
-    )
-    pairs = radius_join(locations.select("location_id", "lat", "lon"), obs, radius_km)
+    """Closest approach of each storm to each location in reach, with wind and pressure there.
+
+    Observations of a storm at one position are folded to the earliest first, and
+    distances are taken per site.
+    """
+    stamped = tracks.withColumn("_second", utc_seconds(tracks, "obs_ts"))
+    obs = stamped.groupBy("storm_id", F.col("lat").alias("track_lat"), F.col("lon").alias("track_lon")).agg(
+        F.min("_second").alias("_first"),
+        F.min_by("max_wind_kt", "_second").alias("_wind"),
+        F.min_by("min_pressure_mb", "_second").alias("_mb"),
+    )
+    pairs = radius_join(sites_of(locations), obs, radius_km, spread=SITE)
     # One bigint orders by millimetre, then by second: primitive aggregate buffers only.
     millimetres = F.floor(F.col("distance_km") * 1e6 + 0.5).cast("long")
-    order = millimetres * F.lit(1 << 33) + F.col("_second") + F.lit(1 << 32)
-    return (
+    order = millimetres * F.lit(1 << 33) + F.col("_first") + F.lit(1 << 32)
+    closest = (
         pairs.withColumn("_order", order)
-        .groupBy("location_id", "storm_id")
+        .groupBy(*SITE, "storm_id")
         .agg(
             (F.shiftright(F.min("_order"), 33) / 1e6).alias("min_distance_km"),
-            F.min_by("max_wind_kt", "_order").alias("wind_at_closest_kt"),
-            F.min_by("min_pressure_mb", "_order").alias("pressure_at_closest_mb"),
+            F.min_by("_wind", "_order").alias("wind_at_closest_kt"),
+            F.min_by("_mb", "_order").alias("pressure_at_closest_mb"),
         )
     )
+    return to_locations(locations, closest)
 
 
 def k_nearest(
@@ -226,7 +263,7 @@ def k_nearest(
 def _site_candidates(sites: DataFrame, targets: DataFrame, radius_km: float, k: int) -> DataFrame:
     """Per target site, the k+1 nearest ids (its own included) as sorted structs."""
     wanted = targets.select(F.col("lat").alias("track_lat"), F.col("lon").alias("track_lon"))
-    pairs = radius_join(sites, wanted, radius_km)
+    pairs = radius_join(sites, wanted, radius_km, spread=SITE)
     pairs = pairs.withColumn("distance_km", to_millimetres(F.col("distance_km")))
     nearest = Window.partitionBy("track_lat", "track_lon").orderBy("distance_km", F.col("ids")[0])
     kept = pairs.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k + 1)

@@ -44,3 +44,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def task_count(spark: SparkSession) -> int:
+    """Tasks for work whose input is small but whose join output is not.
+
+    One more than the shuffle setting: with equal numbers Spark drops such a
+    repartition behind an aggregate on the same columns as redundant, and then
+    merges the small shuffle that is left into a single task.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism) + 1
