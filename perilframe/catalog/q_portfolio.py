@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draws
 from ..operators import exposure, portfolio
+from ..operators.support import cut_lineage
 from ..plans import lake
 from .common import FIRST_YEAR, LAST_YEAR, rounded, tidy
 from .q_aggregates import RISK_SQL
@@ -56,7 +57,7 @@ def e14(t):
 
 
 def book(t):
-    scores = exposure.composite_risk(t.locations, t.claims).withColumnRenamed("risk_score", "score")
+    scores = cut_lineage(exposure.composite_risk(t.locations, t.claims).withColumnRenamed("risk_score", "score"))
     return lake.risk_book(t.locations, t.claims, scores, FIRST_YEAR, LAST_YEAR)
 
 

@@ -83,7 +83,6 @@ def i5(t):
 @query("i5_grounded_documents")
 def i5_documents(t):
     docs = t.raw("documents")
-    numbers = text.document_numbers(docs)
     # A document may quote the numbers of the labels table: its own id and its quality.
     marks = t.raw("labels").select("doc_id", F.explode(F.array(F.col("doc_id").cast("string"), F.col("quality").cast("string"))).alias("norm"))
-    return text.ground_numbers(numbers, marks)
+    return text.ground_documents(docs, marks)

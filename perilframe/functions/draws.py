@@ -6,12 +6,18 @@ partitioning or retries, and need no state.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MODULUS = 2147483647
 
 
+def key_number(df: DataFrame, key: str) -> Column:
+    """An integer for each key: integers as they are, other types by hash."""
+    whole = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    return F.col(key).cast("long") if whole else F.xxhash64(key)
+
+
 def order_hash(key: Column, seed: int) -> Column:
     """A shuffled order of integer keys."""
     m = F.lit(MODULUS)

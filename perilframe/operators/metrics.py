@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, draws
-from .ranking import exact_quantiles, positions, running_totals, value_counts
+from .ranking import column_quantiles, positions, running_totals, value_counts
+from .support import short_list
 
 PROBABILITY_FLOOR = 2.220446049250313e-16
 
@@ -191,7 +192,7 @@ def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """
     cells = df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
     classes = cells.select(F.explode(F.array("actual", "predicted")).alias("actual")).distinct()
-    every = classes.agg(F.array_sort(F.collect_set("actual"))).scalar()
+    every = short_list(classes, "actual", 10_000, "a set of classes")
     grid = classes.withColumn("predicted", F.explode(every))
     return grid.join(cells, ["actual", "predicted"], "left").na.fill(0, ["n"])
 
@@ -232,11 +233,7 @@ def describe_exact(df: DataFrame, columns: list[str]) -> DataFrame:
         ).alias(c) for c in columns]
     )
     rows = facts.select(F.inline(F.array(*columns)))
-    quartiles = None
-    for c in columns:
-        q = exact_quantiles(df.select(F.col(c).cast("double").alias("v")), "v", [0.25, 0.5, 0.75])
-        q = q.withColumn("feature", F.lit(c))
-        quartiles = q if quartiles is None else quartiles.unionByName(q)
+    quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75])
     wide = quartiles.groupBy("feature").agg(
         *[F.max(F.when(F.col("quantile") == p, F.col("value"))).alias(f"q{int(p * 100)}") for p in (0.25, 0.5, 0.75)]
     )

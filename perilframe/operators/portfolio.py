@@ -89,7 +89,7 @@ def loss_occurrences(book: DataFrame, seasons: int, seed: int = 42, trend=1.0, k
     """
     p = F.least(F.greatest(F.col("frequency") * F.lit(trend), F.lit(0.0)), F.lit(1.0))
     cells = book.withColumn("_p", p).withColumn("season", F.explode(F.sequence(F.lit(0), F.lit(seasons - 1))))
-    return cells.where(draws.uniform(F.col("season"), F.col(key), seed) < F.col("_p")).drop("_p")
+    return cells.where(draws.uniform(F.col("season"), draws.key_number(book, key), seed) < F.col("_p")).drop("_p")
 
 
 def draw_losses(book: DataFrame, seasons: int = SEASONS, seed: int = 42, trend=1.0, key: str = "location_id") -> DataFrame:
@@ -101,7 +101,7 @@ def draw_losses(book: DataFrame, seasons: int = SEASONS, seed: int = 42, trend=1
     hit = loss_occurrences(book, seasons, seed, trend, key).withColumns(beta_parameters("severity"))
     hit = hit.select(
         "season", key, "multiplier", "tiv_usd", "alpha", "beta",
-        draws.mixed(F.col("season"), F.col(key), seed + 1).alias("_state"),
+        draws.mixed(F.col("season"), draws.key_number(book, key), seed + 1).alias("_state"),
     )
     schema = f"season int, {key} {dict(hit.dtypes)[key]}, loss_usd double"
 
@@ -225,7 +225,7 @@ def stress_runs(book: DataFrame, seasons: int, seed: int = 42, ids: list[str] |
     top = max(s[4] for s in rows)
     drawn = draw_losses(book, seasons, seed, top)
     drawn = drawn.join(book.select("location_id", "frequency"), "location_id")
-    u = draws.uniform(F.col("season"), F.col("location_id"), seed)
+    u = draws.uniform(F.col("season"), draws.key_number(book, "location_id"), seed)
     hit = drawn.withColumn("_u", u).select("season", "loss_usd", "frequency", "_u", F.inline(scenario_rows(ids)))
     hit = hit.where(F.col("_u") < F.least(F.col("frequency") * F.col("trend_multiplier"), F.lit(1.0)))
     return hit.groupBy("scenario_id", "season").agg(

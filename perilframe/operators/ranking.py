@@ -15,9 +15,20 @@ RANGES = 64
 
 
 def range_edges(df: DataFrame, value: str, ranges: int = RANGES) -> list:
-    """At most ``ranges - 1`` ascending cut points; one aggregate, fixed-size result."""
-    marks = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(value, marks, 10 * ranges)).first()[0] or []
+    """At most ``ranges - 1`` ascending cut points; a fixed-size result.
+
+    Numbers and times take them from one approximate-quantile aggregate, other
+    types from a small row sample in hash order. The cuts only balance the work;
+    results do not depend on them.
+    """
+    kind = dict(df.dtypes)[value]
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp") or kind.startswith("decimal"):
+        marks = [i / ranges for i in range(1, ranges)]
+        found = df.agg(F.percentile_approx(value, marks, 10 * ranges)).first()[0] or []
+    else:
+        sample = df.where(F.col(value).isNotNull()).orderBy(F.xxhash64(*df.columns)).select(value).limit(32 * ranges)
+        seen = sorted(r[0] for r in sample.collect())
+        found = [seen[len(seen) * i // ranges] for i in range(1, ranges)] if seen else []
     return sorted(set(found))
 
 
@@ -90,23 +101,45 @@ def sequential_ids(df: DataFrame, major: str, minor: str, pattern: str = "CLM%08
 
 
 def exact_quantiles(df: DataFrame, value: str, quantiles: list[float]) -> DataFrame:
-    """(quantile, value) with linear interpolation between neighbouring ranks.
+    """(quantile, value) with linear interpolation between neighbouring ranks; exact at any size."""
+    return column_quantiles(df, [value], quantiles).select("quantile", "value")
+
 
-    Exact at any size: only the distinct values around each rank are looked at,
-    never the whole column in one task.
+def column_quantiles(df: DataFrame, columns: list[str], quantiles: list[float]) -> DataFrame:
+    """(feature, quantile, value) for several numeric columns over one set of distinct values.
+
+    Only the distinct values around each rank are looked at; no column passes
+    through one task. Each column has its own ranges.
     """
-    counted = running_totals(value_counts(df, value), value, ["n"])
-    size = counted.agg(F.sum("n").alias("n")).scalar()
+    doubles = {c: F.col(c).cast("double") for c in columns}
+    marks = [i / RANGES for i in range(1, RANGES)]
+    found = df.agg(*[F.percentile_approx(x, marks, 10 * RANGES).alias(c) for c, x in doubles.items()]).first()
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), x.alias("_v")) for c, x in doubles.items()])
+    counts = df.select(F.inline(cells)).where(F.col("_v").isNotNull()).groupBy("feature", "_v").agg(F.count("*").alias("n"))
+    place = F.lit(0)
+    for c in columns:
+        place = F.when(F.col("feature") == c, range_of(F.col("_v"), sorted(set(found[c] or [])))).otherwise(place)
+    cut = counts.withColumn("_range", place)
+    # One row per column and range.
+    per_range = cut.groupBy("feature", "_range").agg(F.sum("n").alias("_n"))
+    whole = Window.partitionBy("feature")
+    ahead = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    start = per_range.select(
+        "feature", "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"), F.sum("_n").over(whole).alias("_size")
+    )
+    inside = Window.partitionBy("feature", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.join(F.broadcast(start), ["feature", "_range"])
+    placed = placed.withColumn("_first", F.col("_start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     wanted = F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("quantile")
-    rows = counted.select(F.col(value).alias("_v"), "n", "before_n", wanted).withColumn("_at", F.col("quantile") * (size - 1))
-    first, last = F.col("before_n"), F.col("before_n") + F.col("n") - 1
-    near = rows.where((F.floor("_at") <= last) & (F.ceil("_at") >= first))
-    ends = near.groupBy("quantile", "_at").agg(
+    rows = placed.select("feature", "_v", "n", "_first", "_size", wanted).withColumn("_at", F.col("quantile") * (F.col("_size") - 1))
+    last = F.col("_first") + F.col("n") - 1
+    near = rows.where((F.floor("_at") <= last) & (F.ceil("_at") >= F.col("_first")))
+    ends = near.groupBy("feature", "quantile", "_at").agg(
         F.min(F.when(F.floor("_at") <= last, F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.ceil("_at") >= first, F.col("_v"))).alias("_hi"),
+        F.max(F.when(F.ceil("_at") >= F.col("_first"), F.col("_v"))).alias("_hi"),
     )
     share = F.col("_at") - F.floor("_at")
-    return ends.select("quantile", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias("value"))
+    return ends.select("feature", "quantile", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias("value"))
 
 
 def dedupe_keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.times import utc_seconds
-from .support import cut_lineage, require_columns, task_count
+from .support import cut_lineage, require_columns, short_list, task_count
 
 KM_PER_DEGREE = math.pi * geo.EARTH_RADIUS_KM / 180.0
 
@@ -125,12 +125,7 @@ def snap_to_grid(locations: DataFrame, grid: DataFrame, max_axis_values: int = 2
     require_columns(locations, ["lat", "lon"], "locations")
 
     def axis(column: str):
-        lines = grid.select(column).where(F.col(column).isNotNull()).distinct()
-        found = lines.agg(F.count("*").alias("n"), F.collect_set(column).alias("v"))
-        checked = F.when(F.col("n") <= max_axis_values, F.array_sort("v")).otherwise(
-            F.raise_error(F.lit(f"{column} is not a grid axis")).cast("array<double>")
-        )
-        return found.select(checked.alias("axis")).scalar()
+        return short_list(grid, column, max_axis_values, "a grid axis")
 
     lined = locations.withColumns({"_lats": axis("lat"), "_lons": axis("lon")})
     snapped = {

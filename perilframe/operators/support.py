@@ -23,6 +23,18 @@ def add_default_columns(df: DataFrame, defaults: dict) -> DataFrame:
     return df.withColumns(absent) if absent else df
 
 
+def short_list(df: DataFrame, column: str, limit: int, what: str):
+    """Sorted distinct values of a column as a scalar array; more than ``limit`` of them is an error.
+
+    At most ``limit + 1`` values reach the task that builds the array.
+    """
+    values = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1)
+    found = values.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(column)).alias("v"))
+    kind = dict(found.dtypes)["v"]
+    refuse = F.raise_error(F.lit(f"{column} has more than {limit} values: not {what}")).cast(kind)
+    return found.select(F.when(F.col("n") <= limit, F.col("v")).otherwise(refuse)).scalar()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh sub-folder of the cluster's checkpoint folder.
 

@@ -208,37 +208,38 @@ def ground_numbers(
     allowed value is listed in its bucket and the two beside it, so a document's
     numbers are not compared with all of its allowed values.
     """
-    value = F.col("norm").try_cast("double")
-    asked = numbers.withColumn("_v", value)
+    asked = numbers.withColumn("_v", F.col("norm").try_cast("double"))
     open_ = asked.where(~is_structural(F.col("_v")))
-    probes = open_.select(
-        key, "norm", F.col("_v").alias("_v"),
-        F.explode(F.array(
-            F.concat(F.lit("t:"), F.col("norm")),
-            F.concat(F.lit("a:"), _bucket(F.col("_v"), 1e-6).cast("string")),
-            F.concat(F.lit("b:"), _bucket(F.col("_v"), 1e-4).cast("string")),
-        )).alias("_k"),
-    )
-    known = allowed.select(key, F.col("norm").alias("_an"), F.col("norm").try_cast("double").alias("_a")).distinct()
 
-    def listed(tag: str, target, width: float):
-        around = F.sequence(_bucket(target, width) - 1, _bucket(target, width) + 1)
-        return F.transform(around, lambda b: F.concat(F.lit(tag), b.cast("string")))
+    def slot(tag: int, bucket):
+        return F.struct(F.lit(tag).alias("_tag"), bucket.cast("long").alias("_bucket"))
 
-    a = F.col("_a")
-    numeric = F.coalesce(
-        F.concat(listed("a:", a, 1e-6), listed("a:", a / 100, 1e-6), listed("b:", a * 100, 1e-4)),
-        F.array().cast("array<string>"),
-    )
-    keys = F.concat(F.array(F.concat(F.lit("t:"), F.col("_an"))), numeric)
-    targets = known.select(key, "_an", "_a", F.explode(F.array_distinct(keys)).alias("_k"))
     v = F.col("_v")
+    # Three kinds of slots: the text itself, values to 1e-6, values to 1e-4.
+    asked_slots = F.array(slot(0, F.xxhash64("norm")), slot(1, _bucket(v, 1e-6)), slot(2, _bucket(v, 1e-4)))
+    probes = open_.select(key, "norm", "_v", F.inline(asked_slots))
+    known = allowed.select(key, F.col("norm").alias("_an"), F.col("norm").try_cast("double").alias("_a")).distinct()
+
+    a = F.col("_a")
+    listed = [slot(0, F.xxhash64("_an"))]
+    for tag, target, width in ((1, a, 1e-6), (1, a / 100, 1e-6), (2, a * 100, 1e-4)):
+        listed += [slot(tag, _bucket(target, width) + step) for step in (-1, 0, 1)]
+    targets = known.select(key, "_an", "_a", F.inline(F.array_distinct(F.array(*listed))))
     close = (F.abs(v - a) < 1e-6) | (F.abs(v - a * 100) < 1e-4) | (F.abs(v * 100 - a) < 1e-4)
     match = (F.col("norm") == F.col("_an")) | F.coalesce(close, F.lit(False))
-    backed = probes.join(targets, [key, "_k"]).where(match).select(key, "norm").distinct()
+    backed = probes.join(targets, [key, "_tag", "_bucket"]).where(match).select(key, "norm").distinct()
     lacking = open_.join(backed, [key, "norm"], "left_anti").select(key, "norm", F.lit(True).alias("_lacks"))
     out = numbers.join(lacking, [key, "norm"], "left").groupBy(key).agg(
         F.sum("times").alias("numbers"),
         F.coalesce(F.sum(F.when(F.col("_lacks"), F.col("times"))), F.lit(0)).alias("unsupported"),
     )
     return out.withColumn("passed", F.col("unsupported") <= extras)
+
+
+def ground_documents(
+    docs: DataFrame, allowed: DataFrame, key: str = "doc_id", extras: int = UNSUPPORTED_ALLOWED
+) -> DataFrame:
+    """Extract and check in one go; a document without numbers passes."""
+    checked = ground_numbers(document_numbers(docs, key), allowed, key, extras)
+    out = docs.select(key).distinct().join(checked, key, "left").na.fill(0, ["numbers", "unsupported"])
+    return out.withColumn("passed", F.coalesce("passed", F.lit(True)))
