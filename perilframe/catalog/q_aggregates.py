@@ -362,15 +362,27 @@ def e15(t):
     return rounded(pairs.period_correlations(facts, "storm_id", "month", "incurred_loss_usd", 0.1), 6)
 
 
+_GATE = [
+    ("frequency_floor", "test_auc", "b", ">=", "5e-1"), ("frequency_ceiling", "test_auc", "b", "<=", "95e-2"),
+    ("frequency_gap", "auc_gap", "a - b", "<=", "15e-2"), ("severity_floor", "test_r2", "d", ">=", "0e0"),
+    ("severity_ceiling", "test_r2", "d", "<=", "90e-2"), ("severity_gap", "r2_gap", "c - d", "<=", "30e-2"),
+    ("ensemble_floor", "blended_auc", "e", ">=", "5e-1"), ("ensemble_against_members", "blend_margin", "e - least(a, b)", ">=", "-1e-2"),
+]
+
+
 @query(
     "e33_metric_gate",
-    """WITH s AS (SELECT avg(y) AS q, avg(p) AS r FROM scored)
-       SELECT 'frequency_floor' AS rule, 'test_auc' AS metric, round(q, 9) AS value, 5e-1 AS bound, q >= 5e-1 AS passed FROM s
-       UNION ALL SELECT 'frequency_ceiling', 'test_auc', round(q, 9), 95e-2, q <= 95e-2 FROM s
-       UNION ALL SELECT 'frequency_gap', 'auc_gap', round(r-q, 9), 15e-2, r-q <= 15e-2 FROM s""",
+    "WITH s AS (SELECT avg(y) AS a, avg(p) AS b, avg(y*y) + 5e-1 AS c, avg(p*p) AS d, avg(p)/2 AS e FROM scored) "
+    + " UNION ALL ".join(
+        f"SELECT '{r}' AS rule, '{m}' AS metric, round({x}, 9) AS value, {bound} AS bound, {x} {op} {bound} AS passed FROM s" for r, m, x, op, bound in _GATE
+    ),
 )
 def e33(t):
-    row = t.scored.agg(F.avg("p").alias("train_auc"), F.avg("y").alias("test_auc"))
+    y, p = F.avg("y"), F.avg("p")
+    row = t.scored.agg(
+        y.alias("train_auc"), p.alias("test_auc"), (F.avg(F.col("y") * F.col("y")) + 0.5).alias("train_r2"),
+        F.avg(F.col("p") * F.col("p")).alias("test_r2"), y.alias("first_auc"), p.alias("second_auc"), (p / 2).alias("blended_auc"),
+    )
     return rounded(quality.metric_gate(row), 9)
 
 

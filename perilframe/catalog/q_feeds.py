@@ -180,6 +180,23 @@ def b1_files(t):
     return readers.read_table(t.spark, writers.current_version(t.spark, root), ["id", "status"])
 
 
+@query(
+    "b1_partition_upsert",
+    """WITH q AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, o_orderstatus AS status, 0 AS ld FROM orders
+                 UNION ALL SELECT o_orderkey, year(o_orderdate), 'X', 1 FROM orders WHERE year(o_orderdate) >= 1999 AND o_totalprice > 1e5)
+       SELECT id, y, arg_max(status, ld) AS status FROM q GROUP BY id, y""",
+)
+def b1_partitions(t):
+    o = t.raw("orders").select(
+        F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("y"), F.col("o_orderstatus").alias("status"), "o_totalprice"
+    )
+    path = shared_folder(t.spark)
+    writers.upsert_partitions(o.drop("o_totalprice"), path, ["id", "y"], "y")
+    late = o.where((F.col("y") >= 1999) & (F.col("o_totalprice") > 1e5)).drop("o_totalprice")
+    writers.upsert_partitions(late.withColumn("status", F.lit("X")), path, ["id", "y"], "y")
+    return longs(t.spark.read.parquet(path).select("id", "y", "status"))
+
+
 @query("b2_partitioned_table", "SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) BETWEEN 1997 AND 1998")
 def b2(t):
     o = t.raw("orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))

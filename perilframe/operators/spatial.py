@@ -71,7 +71,7 @@ def radius_join(
     gap = geo.chord_sq([f"_l{c}" for c in vec], [f"_r{c}" for c in vec])
     limit = F.col("_limit") if reach else geo.chord_sq_limit(F.lit(float(radius_km)))
     pairs = a.join(b, keys, "inner").withColumn("_gap", gap).where(F.col("_gap") <= limit)
-    return pairs.withColumn("distance_km", geo.chord_sq_to_km(F.col("_gap"))).drop(*keys, "_gap", "_limit", *lv, *rv)
+    return pairs.withColumn("distance_km", geo.chord_sq_to_km(F.col("_gap"), radius_km)).drop(*keys, "_gap", "_limit", *lv, *rv)
 
 
 SITE = ("lat", "lon")

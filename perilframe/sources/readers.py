@@ -65,33 +65,34 @@ def parse_tracks(files: DataFrame) -> DataFrame:
     # Cut before each header; the first piece holds whatever precedes the first one.
     pieces = F.split("text", r"(?m)^(?=[ \t]*[A-Z]{2}\d{6}[ \t]*,)")
     storms = files.select("file", F.posexplode(pieces).alias("_storm", "_piece"))
-    lines = storms.select(
+    # The header of a piece is read once, before its lines are unrolled.
+    titled = storms.select(
         "file", "_storm", F.trim(F.split_part("_piece", F.lit(","), F.lit(1))).alias("_id"),
-        F.split_part("_piece", F.lit(","), F.lit(2)).alias("_name"),
-        F.posexplode(F.split("_piece", r"\r\n|\n|\r")).alias("_line", "_text"),
-    ).where(F.trim("_text") != "")
+        F.trim(F.split_part("_piece", F.lit(","), F.lit(2))).alias("name"), F.split("_piece", r"\r\n|\n|\r").alias("_lines"),
+    )
+    lines = titled.select("file", "_storm", "_id", "name", F.posexplode("_lines").alias("_line", "_text")).where(F.trim("_text") != "")
     is_header = F.col("_id").rlike(HEADER_ID)
     lines = lines.where(~(is_header & (F.col("_line") == 0)))
     orphan = F.raise_error(F.concat(F.lit("track data before any header: "), F.col("_text"))).cast("string")
-    lines = lines.withColumn("storm_id", F.when(is_header, F.col("_id")).otherwise(orphan))
-    f = F.split("_text", ",")
-
-    def field(i: int):
-        return F.trim(f.getItem(i))
+    lines = lines.withColumns(
+        {
+            "storm_id": F.when(is_header, F.col("_id")).otherwise(orphan),
+            "_f": F.transform(F.split("_text", ","), lambda x: F.trim(x)),
+        }
+    )
+    f = F.col("_f")
 
     def degrees(i: int):
-        value = field(i)
-        sign = F.when(F.right(value, F.lit(1)).isin("S", "W"), -1.0).otherwise(1.0)
-        return sign * F.expr(f"cast(substring(trim(split(_text, ',')[{i}]), 1, length(trim(split(_text, ',')[{i}])) - 1) as double)")
+        size = F.regexp_extract(f[i], r"^[0-9.]+", 0).cast("double")
+        return F.when(F.right(f[i], F.lit(1)).isin("S", "W"), -size).otherwise(size)
 
     def known(i: int):
-        value = field(i).cast("int")
+        value = f[i].cast("int")
         return F.when(value != UNKNOWN, value)
 
-    at = F.to_timestamp_ntz(F.concat(field(0), field(1)), F.lit("yyyyMMddHHmm"))
+    at = F.to_timestamp_ntz(F.concat(f[0], f[1]), F.lit("yyyyMMddHHmm"))
     rows = lines.select(
-        "storm_id", F.trim("_name").alias("name"), at.alias("obs_ts"), field(3).alias("status"),
-        degrees(4).alias("lat"), degrees(5).alias("lon"),
+        "storm_id", "name", at.alias("obs_ts"), f[3].alias("status"), degrees(4).alias("lat"), degrees(5).alias("lon"),
         known(6).alias("max_wind_kt"), known(7).alias("min_pressure_mb"), "file", "_storm", "_line",
     )
     last = dedupe_keep_last(rows, ["storm_id", "obs_ts"], ["file", "_storm", "_line"])

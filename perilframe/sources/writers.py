@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import dedupe_keep_last
+from ..operators.support import cut_lineage
 
 STAMP = "_ingested_at"
 
@@ -57,6 +58,36 @@ def write_bronze(df: DataFrame, root: str, keys: list[str] | None = None, order:
     return target
 
 
+def upsert_partitions(df: DataFrame, path: str, keys: list[str], partition: str, order: list[str] | None = None, limit: int = 10_000) -> None:
+    """Upsert that reads and rewrites only the partitions a load touches.
+
+    ``partition`` must be one of the keys, so that a row never changes its
+    partition. The cost follows the load, not the table. The merged partitions are
+    first stored aside, then replace the old ones; running the same load again
+    after a failure completes it.
+    """
+    if partition not in keys:
+        raise ValueError("the partition column must be one of the keys")
+    spark = df.sparkSession
+    touched = [r[0] for r in df.select(partition).distinct().limit(limit + 1).collect()]
+    if not touched:
+        raise ValueError(f"refusing to write an empty table to {path}")
+    if len(touched) > limit:
+        raise ValueError(f"a load touches more than {limit} partitions; use write_bronze")
+    existing = None
+    if _exists(spark, path):
+        stored = spark.read.parquet(path)
+        kind = dict(df.dtypes)[partition]
+        existing = stored.withColumn(partition, F.col(partition).cast(kind)).where(F.col(partition).isin(touched))
+    merged = cut_lineage(merge_loads(existing, df, keys, order))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_bronze(spark: SparkSession, root: str) -> DataFrame:
     path = current_version(spark, root)
     if path is None:

@@ -128,3 +128,17 @@ def test_stream_upsert_keeps_last(spark, tmp_path):
     fires.upsert_fires(spark, str(feed), root, state).awaitTermination()
     table = writers.read_bronze(spark, root)
     assert table.count() == 15 and table.where("frp = 2").count() == 10
+
+
+def test_partition_upsert_touches_only_its_partitions(spark, rows, tmp_path):
+    path = str(tmp_path / "t")
+    schema = "day string, id int, v string"
+    writers.upsert_partitions(rows([("d1", 1, "a"), ("d2", 1, "a"), ("d2", 2, "a")], schema), path, ["day", "id"], "day")
+    before = {p.name for p in (tmp_path / "t" / "day=d1").iterdir()}
+    for _ in range(2):
+        writers.upsert_partitions(rows([("d2", 2, "b"), ("d3", 9, "b")], schema), path, ["day", "id"], "day")
+    got = {(r.day, r.id): r.v for r in spark.read.parquet(path).collect()}
+    assert got == {("d1", 1): "a", ("d2", 1): "a", ("d2", 2): "b", ("d3", 9): "b"}
+    assert {p.name for p in (tmp_path / "t" / "day=d1").iterdir()} == before
+    with pytest.raises(ValueError, match="one of the keys"):
+        writers.upsert_partitions(rows([("d1", 1, "a")], schema), path, ["id"], "day")

@@ -27,6 +27,12 @@ def test_chord_agrees_with_haversine(rows):
         assert x == pytest.approx(y, abs=1e-6)
 
 
+def test_short_distance_series(rows):
+    df = rows([(x,) for x in (0.0, 1e-9, 1.0, 120.0, 399.99, 500.0)], "km double")
+    for km, fast, slow in values(df, "km", geo.chord_sq_to_km(geo.chord_sq_limit(F.col("km")), 500.0), geo.chord_sq_to_km(geo.chord_sq_limit(F.col("km")))):
+        assert fast == pytest.approx(km, rel=1e-12, abs=1e-12) and fast == pytest.approx(slow, rel=1e-12, abs=1e-12)
+
+
 def test_rmw_and_wind(rows):
     df = rows([(20.0, 0.0), (120.0, 10.0), (120.0, 200.0), (300.0, 50.0)], "w double, d double")
     rmw = hazard.max_wind_radius_km("w")
