@@ -64,7 +64,7 @@ def f2(t):
 
 @query(
     "f2_climate_summary",
-    """WITH i AS (SELECT 1990 + o_orderkey % 40 AS year, avg(o_totalprice)/1e5 - 15e-1 AS a FROM orders WHERE o_orderkey % 40 NOT IN (3, 4, 20) GROUP BY 1),
+    """WITH i AS (SELECT 1990 + o_orderkey % 40 AS year, avg(o_totalprice)/1e5 - 15e-1 AS a FROM orders GROUP BY 1 HAVING avg(o_totalprice) < 151e3),
        s AS (SELECT year(o_orderdate) AS year, avg(o_totalprice)/1e4 AS m, max(o_totalprice)/1e4 AS x FROM orders GROUP BY 1),
        y AS (SELECT r.y AS year, m, x, a, case when a >= 5e-1 then 'el_nino' when a <= -5e-1 then 'la_nina' when a IS NOT NULL then 'neutral' end AS ph
              FROM range(1992, 2020) r(y) LEFT JOIN s ON s.year = r.y LEFT JOIN i ON i.year = r.y),
@@ -78,8 +78,9 @@ def f2(t):
 )
 def f2_climate(t):
     o = t.raw("orders")
-    keep = ~(F.col("o_orderkey") % 40).isin(3, 4, 20)
-    index = o.where(keep).groupBy((1990 + F.col("o_orderkey") % 40).alias("year")).agg((F.avg("o_totalprice") / 1e5 - 1.5).alias("oni_anomaly_celsius"))
+    index = o.groupBy((1990 + F.col("o_orderkey") % 40).alias("year")).agg(F.avg("o_totalprice").alias("price"))
+    # Expensive years are missing from the index, so that there are gaps to fill.
+    index = index.where("price < 151e3").select("year", (F.col("price") / 1e5 - 1.5).alias("oni_anomaly_celsius"))
     index = index.withColumns({"season": F.lit("SON"), "enso_phase": ocean_phase("oni_anomaly_celsius")})
     sst = o.groupBy(F.year("o_orderdate").alias("year")).agg(
         (F.avg("o_totalprice") / 1e4).alias("basin_sst_celsius_mean"), (F.max("o_totalprice") / 1e4).alias("basin_sst_celsius_max")

@@ -90,9 +90,8 @@ def to_locations(locations: DataFrame, per_site: DataFrame) -> DataFrame:
 def salt_hot_keys(big: DataFrame, small: DataFrame, key: str, rows_per_salt: int):
     """Add ``_salt`` to both sides so that no key of ``big`` keeps more than about ``rows_per_salt`` rows.
 
-    The list of hot keys has at most rows(big)/rows_per_salt entries, which is what
-    makes its broadcast safe. The salt is a hash of the row, so a retried task
-    sends every row where the first attempt did.
+    The list of hot keys is counted and broadcast while it is short. The salt is a
+    hash of the row, so a retried task sends every row where the first attempt did.
     """
     hot = (
         big.groupBy(key)
@@ -101,7 +100,8 @@ def salt_hot_keys(big: DataFrame, small: DataFrame, key: str, rows_per_salt: int
         .select(F.col(key), F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts"))
     )
     one = F.coalesce(F.col("_salts"), F.lit(1))
-    hot = F.broadcast(hot)
+    if hot.count() <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
     spread = F.pmod(F.xxhash64(*big.columns), one.cast("long")).cast("int")
     big = big.join(hot, key, "left").withColumn("_salt", spread).drop("_salts")
     copies = F.explode(F.sequence(F.lit(0), one - 1))
