@@ -7,6 +7,7 @@ from __spark_entry__ import queries
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = queries()
 
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
