@@ -377,13 +377,13 @@ def event_losses(t):
     return hazard.event_losses(t.locations, t.policies, t.tracks)
 
 
-_TOP_SQL = f"""WITH {EVENT_LOSS_SQL} SELECT storm_id, count(*) AS claims, round(sum(incurred_loss_usd), 0) AS incurred_loss_usd,
-    round(sum(paid_loss_usd), 0) AS paid_loss_usd FROM losses GROUP BY storm_id ORDER BY sum(incurred_loss_usd) DESC, storm_id LIMIT 10"""
+_TOP_SQL = f"""WITH {EVENT_LOSS_SQL} SELECT storm_id, count(*) AS claims, round(sum(incurred_loss_usd), 2) AS incurred_loss_usd,
+    round(sum(paid_loss_usd), 2) AS paid_loss_usd FROM losses GROUP BY storm_id ORDER BY sum(incurred_loss_usd) DESC, storm_id LIMIT 10"""
 
 
 @query("e8_top_events", _TOP_SQL)
 def e8(t):
-    return rounded(lake.headline(t.locations, t.policies, t.tracks), 0)
+    return rounded(lake.headline(t.locations, t.policies, t.tracks), 2)
 
 
 @query(
@@ -404,10 +404,10 @@ def e7(t):
 @query(
     "e9_book_totals",
     f"""WITH {EVENT_LOSS_SQL} SELECT count(*) AS claims, count(DISTINCT location_id) AS locations, max(wind) AS max_wind_kt,
-        round(sum(incurred_loss_usd), 0) AS incurred_loss_usd, round(sum(paid_loss_usd), 0) AS paid_loss_usd FROM losses""",
+        round(sum(incurred_loss_usd), 2) AS incurred_loss_usd, round(sum(paid_loss_usd), 2) AS paid_loss_usd FROM losses""",
 )
 def e9(t):
-    return rounded(hazard.event_summary(event_losses(t)), 0, max_wind_kt=6)
+    return rounded(hazard.event_summary(event_losses(t)), 2, max_wind_kt=6)
 
 
 @query(
