@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, quality, toxicity
+from . import decontam, langid, quality, toxicity, warc
 from .store import read
 
 QUERIES: dict = {}
@@ -16,11 +16,27 @@ def query(f):
     return f
 
 
+@query
+def op1_decontamination(spark, folder):
+    return decontam.judge(read(spark, folder, "documents"), read(spark, folder, "benchmark")).drop("item_ids")
+
+
+ORACLES["op1_decontamination"] = decontam.ORACLE
+
+
 @query
 def op2_language_id(spark, folder):
     return langid.languages(read(spark, folder, "documents")).drop("spans")
 
 
+@query
+def op4_warc(spark, folder):
+    return warc.round_trip(read(spark, folder, "pages"))
+
+
+ORACLES["op4_warc"] = warc.ORACLE
+
+
 @query
 def op6_quality_rules(spark, folder):
     return quality.judge(read(spark, folder, "documents")).drop("host")
