@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, quality, toxicity, warc
+from . import decontam, langid, lm, quality, toxicity, warc
 from .store import read
 
 QUERIES: dict = {}
@@ -29,6 +29,11 @@ def op2_language_id(spark, folder):
     return langid.languages(read(spark, folder, "documents")).drop("spans")
 
 
+@query
+def op3_lm_scores(spark, folder):
+    return lm.scores(read(spark, folder, "documents"))
+
+
 @query
 def op4_warc(spark, folder):
     return warc.round_trip(read(spark, folder, "pages"))
