@@ -79,7 +79,7 @@ def spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit (words inside shared windows), n_items, items_sha256, contaminated and item_ids."""
-    keyed, rows = with_keys(docs)
+    keyed, *back = with_keys(docs)
     hits = spans(keyed, benchmark)
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "k")), lambda x: F.sequence(x["start"], x["start"] + x["k"] - 1)))))
     per = hits.groupBy("key").agg(covered.cast("long").alias("n_hit"), F.collect_set("item_id").alias("items"))  # bounded by the text and the items
@@ -87,7 +87,7 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ids = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<long>")), lambda x: x.cast("string")))
     out = out.withColumn("item_ids", ids).withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
     out = out.select("key", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "item_ids")
-    return give_back(out, rows)
+    return give_back(out, *back)
 
 
 ORACLE = rf"""

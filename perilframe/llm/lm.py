@@ -31,7 +31,7 @@ RARE = 32
 CLASSES = FREQUENT + RARE
 START = CLASSES  # context only
 HOT_SHARE = 1 << 21
-DIMENSIONS, NOISE, STEPS, BATCH, RATE = 24, 48, 1500, 4096, 0.2
+DIMENSIONS, NOISE, STEPS, BATCH, RATE = 24, 32, 900, 2048, 0.25
 FLUSH = 1 << 21  # distinct tokens that a task holds before it sends their counts
 END = np.uint64(0x656E64)  # the end token's hash
 BASE = 0.1
@@ -182,7 +182,7 @@ def train(counts: np.ndarray) -> np.ndarray:
         below = np.cumsum(noise)
         weights = [own, seen, maps[0], maps[1], bias]
         past = [np.full_like(x, 1e-8) for x in weights]
-        logk = np.log(NOISE * noise)
+        logk, own_rows = np.log(NOISE * noise), np.eye(CLASSES + 1, dtype=np.float32)
         for _ in range(STEPS):
             cell = cells[np.searchsorted(reach, rng.random(BATCH) * reach[-1], side="right").clip(0, len(cells) - 1)]
             context, word = cell // CLASSES, cell % CLASSES
@@ -194,14 +194,11 @@ def train(counts: np.ndarray) -> np.ndarray:
             up = (1 - 1 / (1 + np.exp(-np.clip(true, -30, 30)))) / BATCH
             down = -1 / (1 + np.exp(-np.clip(false, -30, 30))) / BATCH
             dq = up[:, None] * own[word] + down @ own[fake]
-            grads = [np.zeros_like(x) for x in weights]
-            np.add.at(grads[0], word, up[:, None] * q)
-            np.add.at(grads[0], fake, down.T @ q)
-            np.add.at(grads[1], two, dq @ maps[0].T)
-            np.add.at(grads[1], one, dq @ maps[1].T)
-            grads[2], grads[3] = seen[two].T @ dq, seen[one].T @ dq
-            np.add.at(grads[4], word, up)
-            np.add.at(grads[4], fake, down.sum(0))
+            picked, before, last, noisy = own_rows[word], own_rows[two], own_rows[one], own_rows[fake]
+            grads = [
+                (picked.T @ (up[:, None] * q) + noisy.T @ (down.T @ q))[:CLASSES], before.T @ (dq @ maps[0].T) + last.T @ (dq @ maps[1].T),
+                seen[two].T @ dq, seen[one].T @ dq, (up @ picked + down.sum(0) @ noisy)[:CLASSES],
+            ]
             for x, g, p in zip(weights, grads, past, strict=True):  # Adagrad
                 p += g * g
                 x += RATE * g / np.sqrt(p)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, quality, toxicity, warc
+from . import decontam, langid, lm, quality, substring, toxicity, warc
 from .store import read
 
 QUERIES: dict = {}
@@ -47,6 +47,14 @@ def op6_quality_rules(spark, folder):
     return quality.judge(read(spark, folder, "documents")).drop("host")
 
 
+@query
+def op8_substring_dedup(spark, folder):
+    return substring.remove_repeats(read(spark, folder, "documents"))
+
+
+ORACLES["op8_substring_dedup"] = substring.ORACLE
+
+
 @query
 def op10_toxicity(spark, folder):
     out = toxicity.toxic_documents(read(spark, folder, "documents"), read(spark, folder, "labels"))

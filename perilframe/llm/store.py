@@ -40,31 +40,30 @@ def held_out(modulus: int, column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == 0, F.lit(False))
 
 
-def with_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(documents with columns ``key`` and ``text``, one row a key; rows ``key, doc_id`` to give results back to).
+def with_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(documents with columns ``key`` and ``text``, one row a key; the input with its ``llm_key``; whether ids are keys).
 
-    Where ids are unique and not null, the key is the id and the second part is None. Otherwise keys number the
-    distinct (doc_id, text) rows in the order of doc_id, nulls first, then of a hash of the text: rows that share an id
-    are different documents, equal rows are one document whose result each of them gets.
+    Where ids are unique and not null, the key is the id. Otherwise keys number the distinct (doc_id, text) rows in the
+    order of doc_id, nulls first, then of a hash of the text: rows that share an id are different documents, equal rows
+    are one document whose result each of them gets.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    twice = plain.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull())
+    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    twice = docs.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull())
     if twice.isEmpty():
-        return plain.withColumnRenamed("doc_id", "key"), None
-    rows = plain.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
-    ids = rows.select("doc_id", "h").distinct()
-    ordered = stored(ids.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").withColumn("part", F.spark_partition_id()))
-    totals = ordered.groupBy("part").count()
-    before = totals.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))  # a row for each partition
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "h"))
-    numbered = stored(ordered.withColumn("n", rank).join(before, "part").select("doc_id", "h", (F.col("before") + F.col("n")).alias("key")))
+        return docs.select(F.col("doc_id").alias("key"), "text"), docs.withColumn("llm_key", F.col("doc_id")), True
+    rows = docs.withColumn("llm_h", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    ids = rows.select("doc_id", "llm_h").distinct()
+    ordered = stored(ids.repartitionByRange(F.col("doc_id").asc_nulls_first(), "llm_h").withColumn("part", F.spark_partition_id()))
+    before = ordered.groupBy("part").count().withColumn("before", F.sum("count").over(Window.orderBy("part")) - F.col("count"))  # a row for each partition
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "llm_h"))
+    numbered = stored(ordered.withColumn("n", rank).join(before, "part").select("doc_id", "llm_h", (F.col("before") + F.col("n")).alias("llm_key")))
     r, n = rows.alias("r"), numbered.alias("n")
-    keyed = r.join(n, F.col("r.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("r.h") == F.col("n.h"))).select("key", F.col("r.doc_id").alias("doc_id"), "text")
-    return keyed.dropDuplicates(["key"]).select("key", "text"), keyed.select("key", "doc_id")
+    full = r.join(n, F.col("r.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("r.llm_h") == F.col("n.llm_h"))).select(*(F.col(f"r.{c}") for c in docs.columns), "llm_key")
+    return full.select(F.col("llm_key").alias("key"), "text").dropDuplicates(["key"]), full, False
 
 
-def give_back(out: DataFrame, rows: DataFrame | None) -> DataFrame:
+def give_back(out: DataFrame, full: DataFrame, plain: bool) -> DataFrame:
     """Replace ``key`` by ``doc_id``, once for each input row."""
-    if rows is None:
+    if plain:
         return out.withColumnRenamed("key", "doc_id")
-    return rows.join(out, "key").drop("key")
+    return full.select(F.col("llm_key").alias("key"), "doc_id").join(out, "key").drop("key")
