@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, quality, substring, toxicity, warc
+from . import decontam, jaccard, langid, lm, quality, substring, toxicity, warc
 from .store import read
 
 QUERIES: dict = {}
@@ -42,6 +42,14 @@ def op4_warc(spark, folder):
 ORACLES["op4_warc"] = warc.ORACLE
 
 
+@query
+def op5_jaccard_join(spark, folder):
+    return jaccard.near_copies(read(spark, folder, "documents"))
+
+
+ORACLES["op5_jaccard_join"] = jaccard.ORACLE
+
+
 @query
 def op6_quality_rules(spark, folder):
     return quality.judge(read(spark, folder, "documents")).drop("host")
