@@ -11,10 +11,12 @@ empty shares one of those with every set it is linked to. The few others (small
 |A| / 4 + 1 elements in hash order; two linked sets always share one of those.
 
 Join. Equal blocks meet as described in ``exchange``, folded by task. A set is done with if fewer of its blocks meet
-another set than a link needs. The rest, with one row for all equal sets, are paired with the pivots of their groups,
-one for each group at first, never with all members, and verified on the full sets. Groups with members in several
-components after that are taken up again with twice as many pivots, until all members are connected or every pair across
-components was verified: no link that changes a component is lost.
+another set than a link needs. Of the rest, with one row for all equal sets, each set leaves out the blocks that most
+others share, as many as it can while a linked set still shares one that is left, and sets are paired with the pivot of
+each group, never with all members. Close pairs, by a wide parity sketch, are verified on the full sets. Groups with
+members in several components after that are compared sketch by sketch, chunk against chunk; for any two components the
+closest pair is verified first, then all, until nothing new is linked. No link that changes a component is
+lost: sets that share no block can't link, and those whose sketches are not close can't either.
 
 Null texts and texts without words have empty sets and link with nothing; texts below SHINGLE words are one shingle.
 Keys follow ``store.with_keys``; component_id is the smallest doc_id, nulls left aside (null where all are).
@@ -22,9 +24,11 @@ Keys follow ``store.with_keys``; component_id is the smallest doc_id, nulls left
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
@@ -35,6 +39,7 @@ from .substring import whole_hashes
 from .textio import Texts, Words, longs, mix, numbers, pieces, table, windows
 
 SHINGLE = 5
+CHUNK = 256
 SMALLEST = 64  # largest set of the first band
 BLOCKS = 25  # of the first band
 ALONE, FOLDED, SHARED, NEED, SIZE = range(5)  # a key of one set; of several of its task; facts on a set
@@ -95,23 +100,26 @@ def sketch(value: np.ndarray, at: np.ndarray, which: np.ndarray, band: np.ndarra
     return which[owner], key, np.bincount(owner, minlength=len(which)) - differences
 
 
-def keys_of(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, key) of all keys, and for each set the least number of its keys that a linked set shares."""
+def keys_of(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set, key) of all keys, with their kind (0: blocks of its band, 1: of the one below, 2: prefix) and the least number
+    of keys of that kind that a linked set shares; and the least of these numbers for each set."""
     n = np.diff(at)
     band, some = band_of(n), np.flatnonzero(n > 0)
     need = np.full(len(n), np.iinfo(np.int32).max, np.int64)
     parts = []
     below = some[band_of(np.ceil(0.75 * n[some])) < band[some]]
     largest = SMALLEST << np.maximum(band - 1, 0)
-    for which, of, partner in ((some, band, np.floor(n / 0.75)), (below, band - 1, np.minimum(n, largest))):
+    for kind, which, of, partner in ((0, some, band, np.floor(n / 0.75)), (1, below, band - 1, np.minimum(n, largest))):
         owner, key, least = sketch(value, at, which, of[which], ((n + partner) // 7).astype(np.int64)[which])
-        parts.append((owner, key))
+        each = np.ones(len(n), np.int64)
+        each[which] = np.maximum(least, 1)
+        parts.append((owner, key, np.full(len(key), kind), each[owner]))
         need[which] = np.minimum(need[which], least)
     weak = np.flatnonzero((n > 0) & (need < 1))
     length = n[weak] - np.ceil(0.75 * n[weak]).astype(np.int64) + 1
-    parts.append((np.repeat(weak, length), mix(value[slices(at, weak, length)] ^ numbers(1, 15)[0])))
-    owner, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return owner, key, np.maximum(need, 1)
+    prefix = mix(value[slices(at, weak, length)] ^ numbers(1, 15)[0])
+    parts.append((np.repeat(weak, length), prefix, np.full(len(prefix), 2), np.ones(len(prefix), np.int64)))
+    return *(np.concatenate(x) for x in zip(*parts, strict=True)), np.maximum(need, 1)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -132,7 +140,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             stand = np.zeros(len(n), bool)
             stand[first] = True
             only = np.flatnonzero(stand)  # one of equal sets sends the keys
-            owner, h, least = keys_of(value[slices(at, only, n[only])], np.concatenate([[0], np.cumsum(n[only])]))
+            owner, h, _, _, least = keys_of(value[slices(at, only, n[only])], np.concatenate([[0], np.cumsum(n[only])]))
             owner = only[owner]
             need = np.ones(len(n), np.int64)
             need[only] = least
@@ -165,41 +173,118 @@ def met(c: dict):
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """key, id, n and elements of each document's set."""
+    """key, id, n, parity (a wide sketch, a bit for each of four elements at most) and elements of each document's set."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch):
                 value, at = sets_of(Texts(part.column("text")))
                 arrays = pa.ListArray.from_arrays(at.astype(np.int32), pa.array(longs(value)))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(longs(set_ids(value, at))), pa.array(np.diff(at).astype(np.int64)), arrays], names=["key", "id", "n", "elements"])
-
-    return docs.select("key", "text").mapInArrow(run, "key long, id long, n long, elements array<long>")
+                n = np.diff(at)
+                width = 4 * SMALLEST << band_of(n)
+                to = np.concatenate([[0], np.cumsum(width)])
+                bits = np.bincount(np.repeat(to[:-1], n) + (mix(value) & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64), minlength=to[-1]) & 1
+                parity = np.packbits(bits.astype(np.uint8)).tobytes()
+                sketch = pa.array([parity[a:b] for a, b in zip((to[:-1] // 8).tolist(), (to[1:] // 8).tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(longs(set_ids(value, at))), pa.array(n.astype(np.int64)), sketch, arrays], names=["key", "id", "n", "parity", "elements"])
+
+    return docs.select("key", "text").mapInArrow(run, "key long, id long, n long, parity binary, elements array<long>")
+
+
+def near(batches):
+    """The pairs whose parity sketches differ in no more bits than the sets of a linked pair may in elements."""
+    for batch in batches:
+        keep = []
+        for x, y, n in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), (np.add(batch.column("na").to_numpy(), batch.column("nb").to_numpy()) // 7).tolist(), strict=True):
+            p, q = int.from_bytes(x), int.from_bytes(y)
+            a, b = len(x), len(y)
+            while a > b:  # the wider sketch is folded
+                a //= 2
+                p = (p >> 8 * a) ^ (p & ((1 << 8 * a) - 1))
+            while b > a:
+                b //= 2
+                q = (q >> 8 * b) ^ (q & ((1 << 8 * b) - 1))
+            keep.append((p ^ q).bit_count() <= n)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def members(own: DataFrame) -> DataFrame:
-    """hash, key: the keys of sets."""
+    """hash, key, kind, need: the keys of sets."""
 
     def run(batches):
         for batch in batches:
             lists, key = batch.column("elements"), batch.column("key").to_numpy()
             at = lists.offsets.to_numpy().astype(np.int64)
             value = lists.values.to_numpy()[at[0] : at[-1]].view(np.uint64)
-            owner, h, _ = keys_of(value, at - at[0])
-            yield table(hash=longs(h), key=key[owner])
+            owner, h, kind, need, _ = keys_of(value, at - at[0])
+            yield table(hash=longs(h), key=key[owner], kind=kind.astype(np.int8), need=need.astype(np.int32))
+
+    return own.select("key", "elements").mapInArrow(run, "hash long, key long, kind byte, need int")
+
 
-    return own.select("key", "elements").mapInArrow(run, "hash long, key long")
+def with_sets(pairs: DataFrame, own: DataFrame, column: str, short: str) -> DataFrame:
+    """The pairs (a, b) whose sizes allow a link, with both sizes and both values of a column."""
+    a = own.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col(column).alias(f"{short}a"))
+    b = own.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col(column).alias(f"{short}b"))
+    return pairs.join(a, "a").join(b, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
 
 
 def linked(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets link."""
-    a = own.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
-    b = own.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
-    both = pairs.join(a, "a").join(b, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    common = both.withColumn("i", F.size(F.array_intersect("ea", "eb")))
+    common = with_sets(pairs, own, "elements", "e").withColumn("i", F.size(F.array_intersect("ea", "eb")))
     return common.where(100 * F.col("i") >= 75 * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
+def folded_bits(parity: list[bytes], width: int) -> np.ndarray:
+    """Parity sketches as rows of 64-bit words, folded to ``width`` bytes."""
+    out = np.empty((len(parity), width // 8), np.uint64)
+    for i, p in enumerate(parity):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(p, np.uint64).reshape(-1, width // 8), 0)
+    return out
+
+
+def blocks(mine: DataFrame, own: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (a, b) across components whose sketches are close, among the members of each group; ``most`` for any two
+    components, the closest first. Groups are cut into chunks of about CHUNK members, and a task compares two chunks."""
+    chunk = F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(F.col("g") / CHUNK))
+    rows = mine.join(own.select("key", "n", "parity"), "key").groupBy("hash", chunk.alias("i"))
+    lists = stored(rows.agg(F.collect_list(F.struct("key", "component", "n", "parity")).alias("m")))  # about CHUNK members
+    two = lists.select("hash", "i", F.col("m").alias("ma")).join(lists.select("hash", F.col("i").alias("j"), F.col("m").alias("mb")), "hash").where("i <= j")
+
+    def run(batches):
+        for batch in batches:
+            found = [np.zeros((0, 2), np.int64)]
+            for ma, mb in zip(batch.column("ma"), batch.column("mb"), strict=True):
+                sides = []
+                for m in (ma.values, mb.values):
+                    parity = m.field("parity").to_pylist()
+                    sides.append((*(m.field(c).to_numpy(zero_copy_only=False) for c in ("key", "component", "n")), parity, np.array([len(p) for p in parity])))
+                (ka, ca, na, pa_, wa), (kb, cb, nb, pb, wb) = sides
+                best = []
+                for x in np.unique(wa):
+                    for y in np.unique(wb):
+                        ia, ib, width = np.flatnonzero(wa == x), np.flatnonzero(wb == y), int(min(x, y))
+                        apart = np.bitwise_count(folded_bits([pa_[i] for i in ia], width)[:, None] ^ folded_bits([pb[i] for i in ib], width)[None]).sum(2, dtype=np.int64)
+                        s, t = na[ia][:, None], nb[ib][None]
+                        ok = (apart <= (s + t) // 7) & (ca[ia][:, None] != cb[ib][None]) & (4 * np.minimum(s, t) >= 3 * np.maximum(s, t))
+                        u, v = np.nonzero(ok)
+                        best.append(np.stack([ka[ia[u]], kb[ib[v]], ca[ia[u]], cb[ib[v]], apart[u, v]], 1))
+                pairs = np.concatenate(best)
+                if most is not None and len(pairs):
+                    low, high = np.minimum(pairs[:, 2], pairs[:, 3]), np.maximum(pairs[:, 2], pairs[:, 3])
+                    order = np.lexsort((pairs[:, 4], high, low))
+                    pairs, low, high = pairs[order], low[order], high[order]
+                    new = np.ones(len(pairs), bool)
+                    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+                    begin = np.flatnonzero(new)
+                    pairs = pairs[np.arange(len(pairs)) - begin[np.cumsum(new) - 1] < most]
+                found.append(np.sort(pairs[:, :2], 1))
+            a, b = np.unique(np.concatenate(found), axis=0).T
+            yield table(a=np.ascontiguousarray(a), b=np.ascontiguousarray(b))
+
+    return two.select("ma", "mb").mapInArrow(run, "a long, b long")
+
+
 def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, n of every document; key, component of those linked with another one)."""
     facts = by_hash(sketches(docs), ["hash"], "key long, kind byte, fact long", met)
@@ -208,35 +293,40 @@ def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     alive = info.where((F.col("shared") >= F.col("need")) & (F.col("n") > 0)).select("key")
     own = stored(sets(docs.join(small(stored(alive)), "key")))
     classes = stored(own.groupBy("id").agg(F.min("key").alias("stand"), F.count("*").alias("times")))
-    standing = stored(own.join(classes.select(F.col("stand").alias("key")), "key", "left_semi").select("key", "n", "elements"))
+    standing = stored(own.join(classes.select(F.col("stand").alias("key")), "key", "left_semi").select("key", "n", "parity", "elements"))
     places = stored(members(standing))
-    often = places.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
-    places = stored(places.join(often, "hash")).withColumn("order", F.xxhash64("key"))
+    often = stored(places.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1"))
+    # a linked set shares ``need`` of these keys, so the need - 1 most frequent ones can go: the rarest shared one stays on both sides
+    rank = F.row_number().over(Window.partitionBy("key", "kind").orderBy(F.desc("times"), F.desc("hash")))  # of one document
+    rare = places.join(often, "hash").withColumn("rank", rank).where("rank >= need")
+    places = stored(rare.select("hash", "key")).withColumn("order", F.xxhash64("key"))
     labels = standing.select("key", F.col("key").alias("component"))
-    done, r = None, 0
-    while True:
+    done = None
+    for most in itertools.chain((0, 1), itertools.repeat(None)):
         now = places.join(labels, "key")
-        size = now.groupBy("hash").agg(F.count("*").alias("n"), F.min("order").alias("low"), F.min("component").alias("c"), F.max("component").alias("d"))
-        mixed = stored(size.where("c <> d").select("hash", "n", "low"))
-        if mixed.isEmpty():
-            break
+        size = now.groupBy("hash").agg(F.count("*").alias("g"), F.min("order").alias("low"), F.min("component").alias("c"), F.max("component").alias("d"))
+        mixed = size.where("c <> d").select("hash", "g", "low")
         mine = stored(now.join(mixed, "hash"))
-        spread = F.lit(2.0**64) * ((1 << r) - 1) / F.col("n") - F.lit(2.0**63)  # 2 ** r - 1 of n members, and the least one
-        pivots = mine.where((F.col("order") == F.col("low")) | (F.col("order") <= spread)).select("hash", F.col("key").alias("p"), F.col("component").alias("pc"))
-        crossing = mine.join(pivots, "hash").where("component <> pc")
-        pairs = crossing.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
+        if mine.isEmpty():
+            break
+        if most == 0:
+            pivots = mine.where("order = low").select("hash", F.col("key").alias("p"), F.col("component").alias("pc"))
+            met_pivot = mine.join(pivots, "hash").where("component <> pc")
+            pairs = met_pivot.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
+            pairs = with_sets(pairs, standing, "parity", "p").mapInArrow(near, "a long, b long")
+        else:
+            pairs = blocks(mine, standing, most).distinct()
         new = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         if not new.isEmpty():
             done = new if done is None else done.unionByName(new)
-            edges = linked(new, standing)
-            c = labels.withColumnRenamed("component", "ca").withColumnRenamed("key", "a")
-            d = labels.withColumnRenamed("component", "cb").withColumnRenamed("key", "b")
-            roots = connected(edges.join(c, "a").join(d, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            c, d = (labels.select(F.col("key").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+            roots = stored(connected(linked(new, standing).join(c, "a").join(d, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+            if most is None and roots.isEmpty():
+                break
             moved = labels.join(roots.select(F.col("key").alias("component"), F.col("component").alias("root")), "component", "left")
             labels = stored(moved.select("key", F.coalesce("root", "component").alias("component")))
-        elif mixed.where(F.col("n") > (1 << r)).isEmpty():
-            break  # every member was a pivot
-        r += 1
+        elif most is None:
+            break  # every pair across components was verified
     of = own.select("key", "id").join(classes, "id").join(labels.withColumnRenamed("key", "stand"), "stand")
     return info.select("key", "n"), of.select("key", "component")
 

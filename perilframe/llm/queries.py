@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, lm, quality, substring, toxicity, warc
+from . import decontam, jaccard, langid, lm, quality, substring, suffix, toxicity, warc
 from .store import read
 
 QUERIES: dict = {}
@@ -63,6 +63,11 @@ def op8_substring_dedup(spark, folder):
 ORACLES["op8_substring_dedup"] = substring.ORACLE
 
 
+@query
+def op9_suffix_dedup(spark, folder):
+    return suffix.remove_repeats(read(spark, folder, "documents"))
+
+
 @query
 def op10_toxicity(spark, folder):
     out = toxicity.toxic_documents(read(spark, folder, "documents"), read(spark, folder, "labels"))
