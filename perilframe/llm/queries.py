@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, lm, quality, substring, suffix, toxicity, warc
+from . import decontam, jaccard, langid, lm, mixing, quality, substring, suffix, toxicity, warc
 from .store import read
 
+QUALITY_SHARES = {"0": 0.05, "1": 0.95}  # target shares of tokens by labels.quality
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -55,6 +56,14 @@ def op6_quality_rules(spark, folder):
     return quality.judge(read(spark, folder, "documents")).drop("host")
 
 
+@query
+def op7_mixing(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    out = mixing.mixed(docs, read(spark, folder, "labels"), "quality", QUALITY_SHARES)
+    names = {f"p_quality_{d}": F.get("llm_posterior", F.lit(i)) for i, d in enumerate(sorted(QUALITY_SHARES))}
+    return out.select("doc_id", F.col("llm_n_tokens").alias("n_tokens"), *(c.alias(n) for n, c in names.items()), F.col("llm_rate").alias("rate"))
+
+
 @query
 def op8_substring_dedup(spark, folder):
     return substring.remove_repeats(read(spark, folder, "documents"))
