@@ -40,6 +40,7 @@ from .textio import Texts, Words, longs, mix, numbers, pieces, table, windows
 
 SHINGLE = 5
 CHUNK = 256
+WIDEST = 256  # bytes of a sketch that travels with each key
 SMALLEST = 64  # largest set of the first band
 BLOCKS = 25  # of the first band
 ALONE, FOLDED, SHARED, NEED, SIZE = range(5)  # a key of one set; of several of its task; facts on a set
@@ -223,7 +224,9 @@ def members(own: DataFrame) -> DataFrame:
 
 
 def with_sets(pairs: DataFrame, own: DataFrame, column: str, short: str) -> DataFrame:
-    """The pairs (a, b) whose sizes allow a link, with both sizes and both values of a column."""
+    """The stored pairs (a, b) whose sizes allow a link, with both sizes and both values of a column."""
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    own = own.join(small(stored(keys)), "key", "left_semi")
     a = own.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col(column).alias(f"{short}a"))
     b = own.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col(column).alias(f"{short}b"))
     return pairs.join(a, "a").join(b, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
@@ -239,15 +242,26 @@ def folded_bits(parity: list[bytes], width: int) -> np.ndarray:
     """Parity sketches as rows of 64-bit words, folded to ``width`` bytes."""
     out = np.empty((len(parity), width // 8), np.uint64)
     for i, p in enumerate(parity):
-        out[i] = np.bitwise_xor.reduce(np.frombuffer(p, np.uint64).reshape(-1, width // 8), 0)
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(p, np.uint64).reshape(-1, width // 8), 0)  # positions are low bits of a hash
     return out
 
 
+def narrow(own: DataFrame) -> DataFrame:
+    """key, n and parity, folded to WIDEST bytes: a large set is in many groups."""
+
+    def run(batches):
+        for batch in batches:
+            parity = [folded_bits([p], min(len(p), WIDEST)).tobytes() for p in batch.column("parity").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(parity, pa.binary())], names=["key", "n", "parity"])
+
+    return own.select("key", "n", "parity").mapInArrow(run, "key long, n long, parity binary")
+
+
 def blocks(mine: DataFrame, own: DataFrame, most: int | None) -> DataFrame:
     """Pairs (a, b) across components whose sketches are close, among the members of each group; ``most`` for any two
     components, the closest first. Groups are cut into chunks of about CHUNK members, and a task compares two chunks."""
     chunk = F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(F.col("g") / CHUNK))
-    rows = mine.join(own.select("key", "n", "parity"), "key").groupBy("hash", chunk.alias("i"))
+    rows = mine.join(narrow(own), "key").groupBy("hash", chunk.alias("i"))
     lists = stored(rows.agg(F.collect_list(F.struct("key", "component", "n", "parity")).alias("m")))  # about CHUNK members
     two = lists.select("hash", "i", F.col("m").alias("ma")).join(lists.select("hash", F.col("i").alias("j"), F.col("m").alias("mb")), "hash").where("i <= j")
 
@@ -313,14 +327,14 @@ def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             pivots = mine.where("order = low").select("hash", F.col("key").alias("p"), F.col("component").alias("pc"))
             met_pivot = mine.join(pivots, "hash").where("component <> pc")
             pairs = met_pivot.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
-            pairs = with_sets(pairs, standing, "parity", "p").mapInArrow(near, "a long, b long")
         else:
             pairs = blocks(mine, standing, most).distinct()
         new = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         if not new.isEmpty():
             done = new if done is None else done.unionByName(new)
+            close = stored(with_sets(new, standing, "parity", "p").mapInArrow(near, "a long, b long"))
             c, d = (labels.select(F.col("key").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-            roots = stored(connected(linked(new, standing).join(c, "a").join(d, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+            roots = stored(connected(linked(close, standing).join(c, "a").join(d, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
             if most is None and roots.isEmpty():
                 break
             moved = labels.join(roots.select(F.col("key").alias("component"), F.col("component").alias("root")), "component", "left")
