@@ -29,9 +29,9 @@ def by_hash(df: DataFrame, keys: list[str], schema: str, work) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), *keys).mapInArrow(run, schema)
 
 
-def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, begin of each run of equal keys in that order); the last key sorts first within equal hashes."""
-    order = np.lexsort(keys[::-1])
+def groups(*keys: np.ndarray, then: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(order by the keys and then by others, begin of each run of equal keys in that order)."""
+    order = np.lexsort((*keys, *then)[::-1])
     if not len(order):
         return order, np.zeros(0, np.int64)
     new = np.ones(len(order), bool)

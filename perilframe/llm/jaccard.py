@@ -145,7 +145,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             owner = only[owner]
             need = np.ones(len(n), np.int64)
             need[only] = least
-            order, begin = groups(h, key[owner])
+            order, begin = groups(h, then=(key[owner],))
             run = run_of(begin, len(order))
             several = np.bincount(run, minlength=len(begin)) > 1
             shared = np.bincount(owner[order], weights=several[run], minlength=len(n)).astype(np.int64)

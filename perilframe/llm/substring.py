@@ -83,7 +83,7 @@ def repeated(c: dict):
     done = c["kind"] == SETTLED
     yield {"key": c["key"][done], "start": c["start"][done]}
     h, key, start, kind = (c[n][~done] for n in ("hash", "key", "start", "kind"))
-    order, begin = groups(h, key)
+    order, begin = groups(h, then=(key,))
     run = run_of(begin, len(order))
     several = np.bincount(run, minlength=len(begin))[run] > 1
     folded = np.bincount(run, weights=kind[order] == FOLDED, minlength=len(begin))[run] > 0

@@ -31,7 +31,8 @@ GRAM = 24
 WIDTH = SPAN - GRAM + 1
 BATCHES = 2  # documents are indexed in so many parts
 COPIED = -2  # start of the entry of a text that later ones equal
-LEVEL = 3  # kind of a row that stays in the index
+LEVEL = 3  # kind of a row that goes to the new level
+STAYS = 10  # added to the kind of a row of a level that is not rewritten
 
 
 def rolling(data: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -108,11 +109,10 @@ def scan(c: dict):
     done = c["kind"] == SETTLED
     yield {"hash": c["hash"][done], "key": c["key"][done], "start": c["start"][done], "kind": c["kind"][done], "several": np.ones(int(done.sum()), bool)}
     h, key, start, kind = (c[n][~done] for n in ("hash", "key", "start", "kind"))
-    order, begin = groups(h, key)
+    stays, kind = kind >= STAYS, kind % STAYS
+    order, begin = groups(h, then=(key,))  # hash by hash, the first key in front
     run = run_of(begin, len(order))
     h, key, start, kind = h[order], key[order], start[order], kind[order]
-    order, begin = groups(h)  # hash by hash, the first key in front
-    run = run_of(begin, len(order))
     folded = np.bincount(run, weights=kind == FOLDED, minlength=len(begin)) > 0
     several = ((np.bincount(run, minlength=len(begin)) > 1) | folded)[run]
     first = np.zeros(len(run), bool)
@@ -121,7 +121,8 @@ def scan(c: dict):
     out = several & (whole | (kind == ALONE))
     mark = np.where(whole & first, COPIED, start)[out].astype(np.int32)
     yield {"hash": h[out], "key": key[out], "start": mark, "kind": np.full(int(out.sum()), SETTLED, np.int8), "several": np.ones(int(out.sum()), bool)}
-    yield {"hash": h[first], "key": key[first], "start": start[first], "kind": np.full(int(first.sum()), LEVEL, np.int8), "several": several[first]}
+    fresh = first & ~(np.bincount(run, weights=stays[order], minlength=len(begin)) > 0)[run]  # else an older level has the hash
+    yield {"hash": h[fresh], "key": key[fresh], "start": start[fresh], "kind": np.full(int(fresh.sum()), LEVEL, np.int8), "several": several[fresh]}
 
 
 class IndexFamily:
@@ -139,9 +140,9 @@ class IndexFamily:
         while merged < len(self.levels) and self.levels[-1 - merged][0] == size:
             size, merged = 2 * size, merged + 1
         kept = self.levels[: len(self.levels) - merged]  # scanned, but not rewritten
-        for _, level in self.levels:
-            kind = F.when(F.col("several"), FOLDED).otherwise(ALONE).cast("byte")
-            rows = rows.unionByName(level.select("hash", "key", "start", kind.alias("kind")))
+        for i, (_, level) in enumerate(self.levels):
+            kind = F.when(F.col("several"), FOLDED).otherwise(ALONE) + (STAYS if i < len(kept) else 0)
+            rows = rows.unionByName(level.select("hash", "key", "start", kind.cast("byte").alias("kind")))
         out = stored(by_hash(rows, ["hash"], self.SCHEMA, scan))
         level = out.where(F.col("kind") == LEVEL)
         self.levels = [*kept, (size, level)]
