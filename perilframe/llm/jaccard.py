@@ -124,17 +124,12 @@ def keys_of(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """hash, key, kind, fact: the keys of each task, folded, and facts on its documents."""
+    """hash, key, kind, fact: the keys of each piece of the documents, folded, and facts on them."""
 
     def run(batches):
-        for batch in batches:
-            values, offsets, keys = [], [np.zeros(1, np.int64)], []
-            for part in pieces(batch):
-                value, at = sets_of(Texts(part.column("text")))
-                values.append(value)
-                offsets.append(at[1:] + offsets[-1][-1])
-                keys.append(part.column("key").to_numpy())
-            value, at, key = np.concatenate([np.zeros(0, np.uint64), *values]), np.concatenate(offsets), np.concatenate([np.zeros(0, np.int64), *keys])
+        for part in (p for batch in batches for p in pieces(batch)):
+            value, at = sets_of(Texts(part.column("text")))
+            key = part.column("key").to_numpy()
             n, ids = np.diff(at), set_ids(value, at)
             _, first, back, times = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
             copied = (times[back] > 1) & (n > 0)
