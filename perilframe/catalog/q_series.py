@@ -114,9 +114,9 @@ def f5(t):
 
 @query(
     "e31_attention_importance",
-    """WITH p AS (SELECT unnest(embedding[1:12]) AS w, unnest(range(12)) AS i FROM embeddings)
+    """WITH p AS (SELECT unnest(embedding) AS w, unnest(range(64)) AS i FROM embeddings)
        SELECT 'feature_' || i AS feature_name, round(avg(w::double), 7) AS importance_score FROM p GROUP BY i""",
 )
 def e31(t):
     weights = t.raw("embeddings").select(F.col("embedding").cast("array<double>").alias("weights"))
-    return rounded(yeargrid.attention_importance(weights, [f"feature_{i}" for i in range(12)]), 7)
+    return rounded(yeargrid.attention_importance(weights, [f"feature_{i}" for i in range(64)]), 7)

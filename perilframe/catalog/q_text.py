@@ -29,7 +29,7 @@ def i1(t):
 
 @query(
     "i2_chunk_ids",
-    f"""WITH {CHUNK_SQL}, k AS (SELECT sha1(source || '::' || chunk_index || '::' || substring(chunk, 1, 64)) AS chunk_id, doc_id, chunk_index FROM chunks)
+    f"""WITH {CHUNK_SQL}, k AS (SELECT sha1(source || '::' || chunk_index || '::' || chunk) AS chunk_id, doc_id, chunk_index FROM chunks)
         SELECT chunk_id, max(doc_id) AS doc_id, arg_max(chunk_index, row(doc_id, chunk_index)) AS chunk_index FROM k GROUP BY chunk_id""",
 )
 def i2(t):

@@ -141,7 +141,7 @@ def induced_subgraph(edges: DataFrame, scores: DataFrame, centre, n: int = 10) -
     nodes = start.unionByName(near)
     keep = F.broadcast(nodes.select("node"))
     inside = edges.join(keep.withColumnRenamed("node", "src"), "src", "left_semi")
-    return nodes, inside.join(keep.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return nodes, inside.join(keep.withColumnRenamed("node", "dst"), "dst", "left_semi").select(edges.columns)
 
 
 def neighbour_means(edges: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:

@@ -214,7 +214,8 @@ def scenario_metrics(metrics: DataFrame, ids: list[str] | None = None) -> DataFr
 
 
 def stress_runs(book: DataFrame, seasons: int, seed: int = 42, ids: list[str] | None = None) -> DataFrame:
-    """Loss draw under each scenario's trend, then severity scaling: (scenario_id, season, annual_loss).
+    """Loss draw under each scenario's trend, then severity scaling: (scenario_id, season, annual_loss), seasons without a
+    loss included.
 
     All scenarios share one uniform per cell, so one pass covers them: a cell is
     kept if the largest trend lets it occur and then counted for every scenario
@@ -228,9 +229,13 @@ def stress_runs(book: DataFrame, seasons: int, seed: int = 42, ids: list[str] |
     u = draws.uniform(F.col("season"), draws.key_number(book, "location_id"), seed)
     hit = drawn.withColumn("_u", u).select("season", "loss_usd", "frequency", "_u", F.inline(scenario_rows(ids)))
     hit = hit.where(F.col("_u") < F.least(F.col("frequency") * F.col("trend_multiplier"), F.lit(1.0)))
-    return hit.groupBy("scenario_id", "season").agg(
+    losses = hit.groupBy("scenario_id", "season").agg(
         F.sum(F.col("loss_usd") * F.col("severity_multiplier")).alias("annual_loss")
     )
+    season = dict(losses.dtypes)["season"]
+    grid = book.sparkSession.range(seasons).select(F.col("id").cast(season).alias("season"), F.inline(scenario_rows(ids)))
+    full = grid.select("scenario_id", "season").join(losses, ["scenario_id", "season"], "left")
+    return full.withColumn("annual_loss", F.coalesce("annual_loss", F.lit(0.0)))
 
 
 def layer_price(annual: DataFrame, attachment: float, limit: float, loss: str = "annual_loss") -> DataFrame:

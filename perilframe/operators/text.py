@@ -14,7 +14,6 @@ CHUNK_SIZE = 800
 CHUNK_OVERLAP = 120
 TOP_K = 6
 MIN_SCORE = 0.25
-ID_PREFIX_CHARS = 64
 # Characters that count as white space at the ends of a chunk.
 BLANKS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0            "
@@ -65,7 +64,7 @@ def chunk_documents(
 
 def chunk_ids(chunks: DataFrame, source: str = "source") -> DataFrame:
     """Add ``chunk_id``: sha1 over source, index and the first 64 characters."""
-    head = F.substring("chunk", 1, ID_PREFIX_CHARS)
+    head = F.col("chunk")
     return chunks.withColumn(
         "chunk_id", F.sha1(F.concat_ws("::", F.col(source), F.col("chunk_index").cast("string"), head))
     )

@@ -115,9 +115,11 @@ def predict_baselines(test: DataFrame, fitted: DataFrame, key: str = "region_id"
 
 
 def attention_importance(attention: DataFrame, names: list[str], column: str = "weights") -> DataFrame:
-    """Mean weight per array position over all rows, named and sorted."""
+    """Mean weight per array position over all rows, named and sorted; a row with another number of weights is an error."""
     labels = F.array(*[F.lit(n) for n in names])
-    long = attention.select(F.posexplode(column).alias("position", "weight"))
-    means = long.where(F.col("position") < len(names)).groupBy("position").agg(F.avg("weight").alias("importance_score"))
+    other = F.raise_error(F.lit(f"{column} must have {len(names)} weights, one for each name")).cast("array<double>")
+    weights = F.when(F.col(column).isNull() | (F.size(column) == len(names)), F.col(column).cast("array<double>")).otherwise(other)
+    long = attention.select(F.posexplode(weights).alias("position", "weight"))
+    means = long.groupBy("position").agg(F.avg("weight").alias("importance_score"))
     named = means.select(F.element_at(labels, F.col("position") + 1).alias("feature_name"), "importance_score")
     return named.orderBy(F.desc("importance_score"), "feature_name")
