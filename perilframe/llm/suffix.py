@@ -7,7 +7,8 @@ sides learning which of their suffixes occur twice, and then levels of equal siz
 many and each suffix is rewritten as often.
 
 Around repeated suffixes, runs of windows are compared whole, by 128-bit hashes. Where a suffix has runs that differ,
-their windows are compared one by one. A text that equals another one byte for byte goes as a whole, and only the
+they are cut into shorter runs by their least CORE-byte gram; a window is compared by itself only where that gram occurs
+elsewhere in such a run, too. A text that equals another one byte for byte goes as a whole, and only the
 first of them stays in the index. Hashes meet as described in ``exchange``. Null texts are empty; keys follow
 ``store.with_keys``, so equal rows are one document and do not repeat each other.
 """
@@ -23,12 +24,12 @@ from pyspark.sql import functions as F
 
 from .exchange import by_hash, groups, run_of
 from .store import give_back, stored, with_keys
-from .substring import ALONE, FOLDED, SETTLED, WHOLE, fold
+from .substring import ALONE, FOLDED, SETTLED, WHOLE, fold, repeated
 from .textio import BYTE, Texts, anchors, longs, mix, numbers, pieces, place, sliding
 
 SPAN = 200
-GRAM = 24
-WIDTH = SPAN - GRAM + 1
+GRAM = 64
+CORE = 184  # gram of the second look, which neighbouring windows share
 BATCHES = 2  # documents are indexed in so many parts
 COPIED = -2  # start of the entry of a text that later ones equal
 LEVEL = 3  # kind of a row that goes to the new level
@@ -57,10 +58,11 @@ def rolling(data: np.ndarray, k: int, seed: int) -> np.ndarray:
 class Runs:
     """Runs of windows with one least gram: hash, first and last window (in the piece), and text."""
 
-    def __init__(self, texts: Texts):
+    def __init__(self, texts: Texts, k: int = GRAM):
+        width = SPAN - k + 1
         size = np.diff(texts.at)
-        gram = rolling(texts.data, GRAM, 21) if len(texts.data) >= SPAN else np.zeros(0, np.uint64)
-        low = sliding(np.minimum, gram, WIDTH) if len(gram) >= WIDTH else np.zeros(0, np.uint64)
+        gram = rolling(texts.data, k, 21) if len(texts.data) >= SPAN else np.zeros(0, np.uint64)
+        low = sliding(np.minimum, gram, width) if len(gram) >= width else np.zeros(0, np.uint64)
         doc = np.repeat(np.arange(texts.n), size)[: len(low)]
         inside = np.arange(len(low)) + SPAN <= texts.at[doc + 1]
         at = np.flatnonzero(inside)
@@ -69,12 +71,12 @@ class Runs:
         new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
         begin = np.flatnonzero(new)
         place_in = np.arange(len(at)) - begin[np.cumsum(new) - 1] if len(at) else at
-        begin = np.flatnonzero(place_in % WIDTH == 0)  # equal grams close by make long runs
+        begin = np.flatnonzero(place_in % width == 0)  # equal grams close by make long runs
         self.begin, self.last = at[begin], at[np.append(begin[1:], len(at)) - 1] if len(begin) else begin
         self.hash, self.doc = value[begin], owner[begin]
         # a text that repeats within a run has its least gram there more than once
-        least = anchors(gram, np.arange(len(gram)) + GRAM <= texts.at[np.repeat(np.arange(texts.n), size)[: len(gram)] + 1], WIDTH)
-        a, b = np.searchsorted(least, self.begin), np.searchsorted(least, self.last + WIDTH)
+        least = anchors(gram, np.arange(len(gram)) + k <= texts.at[np.repeat(np.arange(texts.n), size)[: len(gram)] + 1], width)
+        a, b = np.searchsorted(least, self.begin), np.searchsorted(least, self.last + width)
         i = np.repeat(np.arange(len(begin)), b - a)
         here = least[np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a).astype(np.int64) + np.arange(len(i))] if len(i) else i
         self.twice = np.bincount(i, weights=gram[here] == self.hash[i], minlength=len(begin)) > 1 if len(i) else np.zeros(len(begin), bool)
@@ -212,16 +214,48 @@ def run_rows(rows: DataFrame) -> DataFrame:
     return rows.select("key", "text", "starts").mapInArrow(run, "hash long, a long, b long, key long, start int, n int")
 
 
+def covered(part: pa.RecordBatch, t: Texts) -> np.ndarray:
+    """For each byte of the texts, whether one of the listed runs (``first`` and number of windows ``n``) has a window there."""
+    doc, first = flat(part.column("first"))
+    _, n = flat(part.column("n"))
+    edge = np.zeros(len(t.data) + 1, np.int64)
+    np.add.at(edge, t.at[doc] + first, 1)
+    np.add.at(edge, t.at[doc] + first + n, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def core_rows(rows: DataFrame) -> DataFrame:
+    """hash, key, start, kind: the short runs that have listed windows, by their least CORE-byte gram, folded by task."""
+
+    def run(batches):
+        for batch in batches:
+            hashes, keys, starts = [], [], []
+            for part in pieces(batch):
+                t = Texts(part.column("text"))
+                runs = Runs(t, CORE)
+                listed = np.concatenate([[0], np.cumsum(covered(part, t))])
+                i = np.flatnonzero(listed[runs.last + 1] > listed[runs.begin])
+                i = np.repeat(i, 1 + runs.twice[i])
+                hashes.append(runs.hash[i])
+                keys.append(part.column("key").to_numpy()[runs.doc[i]])
+                starts.append(runs.begin[i] - t.at[runs.doc[i]])
+            yield fold(*(np.concatenate(x) for x in (hashes, keys, starts)))
+
+    return rows.mapInArrow(run, "hash long, key long, start int, kind byte")
+
+
 def window_rows(rows: DataFrame) -> DataFrame:
-    """a, b, key, start, kind: windows of the runs that must be compared one by one, folded by task."""
+    """a, b, key, start, kind: the listed windows from the starts ``cores`` on, folded by task."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch):
                 t = Texts(part.column("text"))
-                doc, first = flat(part.column("first"))
-                _, n = flat(part.column("n"))
-                at = np.unique(np.repeat(t.at[doc] + first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                doc, core = flat(part.column("cores"))
+                near = np.zeros(len(t.data) + SPAN, bool)
+                for j in range(SPAN - CORE + 1):  # the most windows that share a gram
+                    near[t.at[doc] + core + j] = True
+                at = np.flatnonzero(covered(part, t) & near[: len(t.data)])
                 if not len(at):
                     continue
                 a, b = (rolling(t.data, SPAN, seed)[at] for seed in (23, 24))
@@ -287,7 +321,9 @@ def dedup(keyed: DataFrame, batches: int = BATCHES) -> DataFrame:
     open_suffixes = told.where("times = 1").select("hash").distinct()
     compare = told.where("stands").join(open_suffixes, "hash", "left_semi")  # one of each kind of run
     lists = compare.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("x")).select("key", F.col("x.start").alias("first"), F.col("x.n").alias("n"))
-    windows = by_hash(window_rows(still.join(lists, "key").select("key", "text", "first", "n")), ["a"], "key long, start int", twice)
+    listed = stored(still.select("key", "text").join(lists, "key"))
+    cores = by_hash(core_rows(listed), ["hash"], "key long, start int", repeated).groupBy("key").agg(F.collect_set("start").alias("cores"))  # of one text
+    windows = by_hash(window_rows(listed.join(cores, "key").select("key", "text", "first", "n", "cores")), ["a"], "key long, start int", twice)
     gone = windows.select("key", "start", F.lit(1).alias("n")).unionByName(told.where("times > 1").select("key", "start", "n"))
     per = gone.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("x")).select("key", F.col("x.start").alias("first"), F.col("x.n").alias("n"))
     second = cut(still.join(per, "key", "left"))
