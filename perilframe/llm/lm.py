@@ -118,10 +118,11 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     known = F.col("seen") > 0
     total = counts.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("n"), F.count(F.when(known, 1)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("all")).first()
     top = counts.where(known).orderBy(F.desc("seen"), "token").limit(FREQUENT).toPandas()
-    hot = counts.where(F.col("total") >= max(2, -(-total["all"] // HOT_SHARE))).select("token", "rare", "seen").toPandas()  # HOT_SHARE rows at most
-    missing = top[~top["token"].isin(hot["token"])]  # in a small corpus a frequent token may be seen once
-    token = np.concatenate([hot["token"].to_numpy(np.int64), missing["token"].to_numpy(np.int64)]).view(np.uint64)
-    seen = np.concatenate([hot["seen"].to_numpy(np.int64), missing["seen"].to_numpy(np.int64)])
+    hot = counts.where(F.col("total") >= max(2, -(-total["all"] // HOT_SHARE))).select("token", "seen").toArrow()  # HOT_SHARE rows at most
+    hot = {c: hot[c].to_numpy() for c in hot.column_names}
+    missing = top[~np.isin(top["token"], hot["token"])]  # in a small corpus a frequent token may be seen once
+    token = np.concatenate([hot["token"], missing["token"].to_numpy(np.int64)]).view(np.uint64)
+    seen = np.concatenate([hot["seen"], missing["seen"].to_numpy(np.int64)])
     order = np.argsort(token)
     own = np.full(len(token), -1)
     token, seen = token[order], seen[order]
@@ -161,9 +162,9 @@ def triples(docs: DataFrame, shared) -> np.ndarray:
         cells = np.flatnonzero(sums)
         yield table(cell=cells.astype(np.int32), n=sums[cells])
 
-    rows = docs.where(~F.col("held")).select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.where(~F.col("held")).select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size)
-    out[rows["cell"]] = rows["n"]
+    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
