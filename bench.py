@@ -14,7 +14,7 @@ HEADLINES = [
     "e8_top_events", "e7_event_losses", "e6_peak_winds", "e5_yearly_event_features", "d3_gold_features", "d8_radius_join",
     "d10_storm_distances", "d11_nearest_neighbours", "d13_co_loss_pairs", "d17_vector_top_k", "e4_training_table",
     "e18_classifier_metrics", "e26_describe", "e27_quality_rules", "e13_tail_metrics", "f4_sequential_ids", "f9_stratified_split",
-    "i2_chunk_ids", "i5_grounded_numbers", "k4_tail_risk",
+    "i2_chunk_ids", "i5_grounded_numbers", "k4_risk_book",
 ]
 
 

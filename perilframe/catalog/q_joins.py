@@ -138,11 +138,11 @@ def d7(t):
 )
 def d8(t):
     near = spatial.radius_join(
-        t.locations.select("location_id", "lat", "lon"), hazard.track_points(t.tracks, "obs_id"), 400.0, spread=("location_id",)
+        t.locations.select("location_id", "lat", "lon"), hazard.track_points(t.tracks, "obs_id"), 400.0
     )
-    out = near.groupBy("location_id").agg(
+    out = near.groupBy(*spatial.CELL, *spatial.SITE, "location_id").agg(
         F.count("*").alias("pairs"), F.sum("distance_km").alias("total_km"), F.min("distance_km").alias("nearest_km")
-    )
+    ).drop(*spatial.CELL, *spatial.SITE)
     return rounded(out, 3, nearest_km=5)
 
 
@@ -153,8 +153,7 @@ def d8(t):
 )
 def d8_salted(t):
     near = spatial.radius_join(
-        t.locations.select("location_id", "lat", "lon"), hazard.track_points(t.tracks, "storm_id"), 150.0,
-        broadcast_rows=0, hot_cell_rows=64,
+        t.locations.select("location_id", "lat", "lon"), hazard.track_points(t.tracks, "storm_id"), 150.0, salts=16,
     )
     return rounded(near.groupBy("storm_id").agg(F.count("*").alias("pairs"), F.avg("distance_km").alias("mean_km")), 5)
 
@@ -187,18 +186,11 @@ def d11(t):
 
 @query(
     "d12_basin_pairs",
-    f"""WITH b AS ({BASIN_SQL}), m AS (SELECT coastal_basin, location_id, row_number() OVER (PARTITION BY coastal_basin ORDER BY location_id) - 1 AS pos FROM b),
-        g AS (SELECT coastal_basin, count(*) AS n, count(*)*(count(*)-1)//2 AS total FROM b GROUP BY 1),
-        s AS (SELECT coastal_basin, case when total > 2000 then (t*(2147483647 % total) + 42) % total else t end AS p
-              FROM g, range(2000) r(t) WHERE n > 1 AND t < total),
-        j AS (SELECT coastal_basin, p, cast(floor((1+sqrt(1+8*p))/2) AS bigint) AS hi FROM s),
-        f AS (SELECT coastal_basin, p, case when hi*(hi-1)//2 > p then hi-1 when hi*(hi-1)//2 + hi <= p then hi+1 else hi end AS hi FROM j)
-        SELECT f.coastal_basin, x.location_id AS key_a, y.location_id AS key_b FROM f
-        JOIN m x ON x.coastal_basin = f.coastal_basin AND x.pos = p - hi*(hi-1)//2
-        JOIN m y ON y.coastal_basin = f.coastal_basin AND y.pos = hi""",
+    f"""WITH b AS ({BASIN_SQL}), h AS (SELECT coastal_basin, min(location_id) AS key_a FROM b GROUP BY 1)
+        SELECT coastal_basin, key_a, location_id AS key_b FROM b JOIN h USING (coastal_basin) WHERE location_id <> key_a""",
 )
 def d12(t):
-    return pairs.sampled_group_pairs(with_basin(t), "coastal_basin", per_group=2000)
+    return pairs.group_edges(with_basin(t), "coastal_basin")
 
 
 CO_LOSS_SQL = """act AS (SELECT location_id FROM claims GROUP BY 1 HAVING count(*) >= 3),

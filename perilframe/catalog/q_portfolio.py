@@ -1,10 +1,9 @@
-"""Frequency, severity, tail metrics and the loss draw."""
+"""Frequency, severity, tail metrics and the risk book."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import draws
 from ..operators import exposure, portfolio
 from ..operators.support import cut_lineage
 from ..plans import lake
@@ -12,7 +11,6 @@ from .common import FIRST_YEAR, LAST_YEAR, rounded, tidy
 from .q_aggregates import RISK_SQL
 from .registry import query
 
-SEASONS = 200
 _YEARS = LAST_YEAR - FIRST_YEAR + 1
 FREQUENCY_SQL = f"""fr AS (SELECT l.location_id, least(greatest(count(DISTINCT year(loss_date))/{_YEARS}e0, 1e-3), 1e0) AS frequency
     FROM locations l LEFT JOIN claims c ON c.location_id = l.location_id AND year(loss_date) BETWEEN {FIRST_YEAR} AND {LAST_YEAR} GROUP BY 1)"""
@@ -72,35 +70,3 @@ BOOK_SQL = f"""{FREQUENCY_SQL}, {SEVERITY_SQL}, {RISK_SQL}, ms AS (SELECT avg(ri
 )
 def k4_book(t):
     return rounded(book(t), 9, multiplier=8)
-
-
-_U_SQL = draws.mixed_sql("season", "location_id", 42)
-
-
-@query(
-    "k4_loss_occurrences",
-    f"""WITH {FREQUENCY_SQL}, o AS (SELECT season, location_id, frequency FROM fr, range({SEASONS}) s(season))
-        SELECT season, count(*) AS losses, cast(sum(location_id) AS bigint) AS id_sum FROM o WHERE {_U_SQL}/2147483647e0 < least(frequency*12e-1, 1) GROUP BY season""",
-)
-def k4_occurrences(t):
-    rates = portfolio.frequency_baseline(t.locations, t.claims, FIRST_YEAR, LAST_YEAR)
-    hit = portfolio.loss_occurrences(rates, SEASONS, trend=1.2)
-    return tidy(hit.groupBy("season").agg(F.count("*").alias("losses"), F.sum("location_id").alias("id_sum")))
-
-
-@query("k4_annual_losses")
-def k4(t):
-    return portfolio.annual_losses(portfolio.draw_losses(book(t), SEASONS), SEASONS)
-
-
-@query("k4_tail_risk")
-def k4_tail(t):
-    return lake.tail_risk(book(t), SEASONS)
-
-
-@query("d20_stress_runs")
-def d20_runs(t):
-    runs = portfolio.stress_runs(book(t), SEASONS)
-    return runs.groupBy("scenario_id").agg(
-        F.count("*").alias("seasons_with_loss"), F.avg("annual_loss").alias("mean_annual_loss"), F.max("annual_loss").alias("max_annual_loss")
-    )

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hazard import FEATURE_RADIUS_KM, track_points
-from .pairs import co_loss_pairs, sampled_group_pairs
+from .pairs import co_loss_pairs, group_edges
 from .ranking import positions
-from .spatial import SITE, k_nearest, radius_join, sites_of, to_locations
+from .spatial import CELL, SITE, k_nearest, radius_join, sites_of, to_locations
 
 BITS = 62
 
@@ -27,8 +27,8 @@ def storm_masks(tracks: DataFrame, locations: DataFrame, radius_km: float = FEAT
     )
     obs = track_points(tracks, "storm_id").join(bits, "storm_id")
     obs = obs.groupBy("word", "track_lat", "track_lon").agg(F.bit_or("bit").alias("bits"))
-    pairs = radius_join(sites_of(locations), obs, radius_km, spread=SITE)
-    return to_locations(locations, pairs.groupBy(*SITE, "word").agg(F.bit_or("bits").alias("mask")))
+    pairs = radius_join(sites_of(locations), obs, radius_km)
+    return to_locations(locations, pairs.groupBy(*CELL, *SITE, "word").agg(F.bit_or("bits").alias("mask")))
 
 
 def footprint_edges(
@@ -49,11 +49,10 @@ def portfolio_edges(
     claims: DataFrame | None = None,
     tracks: DataFrame | None = None,
     layers=("spatial", "peril_correlation", "coastal"),
-    pairs_per_basin: int = 10_000,
 ) -> DataFrame:
     """(src, dst, edge_type, weight): km, correlation, 1 or shared storms, one layer after the other.
 
-    The coastal layer needs a ``coastal_basin`` column.
+    The coastal layer needs a ``coastal_basin`` column; it ties each location to the one with the smallest id of its basin.
     """
     parts = []
     if "spatial" in layers:
@@ -67,7 +66,7 @@ def portfolio_edges(
         known = locations.select(F.col("location_id").alias("src")), locations.select(F.col("location_id").alias("dst"))
         parts.append(moved.join(known[0], "src", "left_semi").join(known[1], "dst", "left_semi").select("src", "dst", "edge_type", "weight"))
     if "coastal" in layers and "coastal_basin" in locations.columns:
-        basin = sampled_group_pairs(locations, "coastal_basin", per_group=pairs_per_basin)
+        basin = group_edges(locations, "coastal_basin")
         parts.append(
             basin.select(
                 F.col("key_a").alias("src"), F.col("key_b").alias("dst"),

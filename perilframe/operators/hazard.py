@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, hazard, labels
 from ..functions.times import utc_seconds
 from .ranking import positions
-from .spatial import SITE, grid_key, radius_join, sites_of, snap_to_grid, to_locations
+from .spatial import CELL, SITE, grid_key, radius_join, sites_of, snap_to_grid, to_locations
 from .support import require_columns
 
 WIND_THRESHOLDS_KT = (34, 50, 64, 100)
@@ -57,12 +57,12 @@ def yearly_event_features(
         .groupBy(F.col("obs_year").alias("year"), "_word", F.col("lat").alias("track_lat"), F.col("lon").alias("track_lon"))
         .agg(F.bit_or("_bit").alias("_storms"), F.max("max_wind_kt").alias("_wind"), F.min("min_pressure_mb").alias("_mb"), *counts)
     )
-    pairs = radius_join(sites_of(locations), obs, radius_km, spread=SITE)
-    per_word = pairs.groupBy(*SITE, "year", "_word").agg(
+    pairs = radius_join(sites_of(locations), obs, radius_km)
+    per_word = pairs.groupBy(*CELL, *SITE, "year", "_word").agg(
         F.bit_or("_storms").alias("_storms"), F.min("distance_km").alias("_km"), F.max("_wind").alias("_wind"),
         F.min("_mb").alias("_mb"), *[F.sum(f"_above_{t}").alias(f"_above_{t}") for t in WIND_THRESHOLDS_KT],
     )
-    per_year = per_word.groupBy(*SITE, "year").agg(
+    per_year = per_word.groupBy(*CELL, *SITE, "year").agg(
         F.sum(F.bit_count("_storms")).alias("storm_count"),
         F.min("_km").alias("min_distance_to_track_km"),
         F.max("_wind").alias("max_wind_nearby_kt"),
@@ -71,7 +71,7 @@ def yearly_event_features(
     )
     zero = ["storm_count", "max_wind_nearby_kt"] + [f"days_above_{t}kt" for t in WIND_THRESHOLDS_KT]
     everyone = location_years(locations.select("location_id", *SITE), first_year, last_year)
-    return everyone.join(per_year, [*SITE, "year"], "left").drop(*SITE).na.fill(0, zero)
+    return everyone.join(per_year, [*SITE, "year"], "left").drop(*SITE, *CELL).na.fill(0, zero)
 
 
 def location_years(keys: DataFrame, first_year: int, last_year: int) -> DataFrame:
@@ -105,12 +105,12 @@ def peak_winds(
         obs = obs.where(F.col("max_wind_kt") >= floor_kt)
         obs = obs.withColumn("_reach", F.col("_rmw") * strength * (1 + 1e-9) + 1e-6)
         reach = "_reach"
-    pairs = radius_join(sites_of(locations), obs, radius_km, reach=reach, spread=SITE)
+    pairs = radius_join(sites_of(locations), obs, radius_km, reach=reach)
     felt = F.floor(hazard.wind_at_distance("max_wind_kt", "distance_km", F.col("_rmw")) * 1e6 + 0.5)
     # One bigint orders by wind (1e-6 kt), then by earliest second, so that every
     # aggregate buffer is a primitive and the pairs go through a hash aggregate.
     order = felt.cast("long") * F.lit(1 << 33) + (F.lit(1 << 32) - F.col("_second"))
-    peaks = pairs.withColumn("_order", order).groupBy(*SITE, "storm_id").agg(
+    peaks = pairs.withColumn("_order", order).groupBy(*CELL, *SITE, "storm_id").agg(
         F.max("_order").alias("_peak"), F.max_by("_ts", "_order").alias("loss_date")
     )
     wind = F.shiftright("_peak", 33) / 1e6
@@ -127,7 +127,7 @@ def event_losses(
     min_wind_kt: float = hazard.MIN_WIND_KT,
     min_damage: float = hazard.MIN_DAMAGE_RATIO,
 ) -> DataFrame:
-    """Loss of every policy to every storm of the catalogue: one plan, nothing collected.
+    """Loss of every policy to every storm of the catalogue.
 
     Order of work: storms near the book, the radius join as far as each
     observation can still reach the wind floor, the peak per (location, storm),

@@ -1,20 +1,15 @@
-"""Frequency and severity baselines, the loss draw, tail metrics, scenarios, layers."""
+"""Frequency and severity baselines, tail metrics, scenarios, layers."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import draws, hazard
+from ..functions import hazard
 from .exposure import over_universe
 from .ranking import exact_quantiles
 
 VAR_QUANTILE = 0.995
-SEASONS = 10_000
 SEVERITY_CV = 0.5
 
 # Fixed scenario table: id, name, frequency, severity and trend multiplier.
@@ -80,89 +75,6 @@ def trend_multiplier(series: DataFrame, count: str, year: str = "year", recent:
     return means.withColumn("trend_multiplier", F.when(F.col("long_term_mean") > 0, clipped).otherwise(F.lit(1.0)))
 
 
-def loss_occurrences(book: DataFrame, seasons: int, seed: int = 42, trend=1.0, key: str = "location_id") -> DataFrame:
-    """(season, book columns) for the cells where a loss happens.
-
-    The uniform of a cell is arithmetic in (seed, season, key), so the draw is
-    the same under any partitioning, and cells without a loss are dropped before
-    anything else is computed for them.
-    """
-    p = F.least(F.greatest(F.col("frequency") * F.lit(trend), F.lit(0.0)), F.lit(1.0))
-    cells = book.withColumn("_p", p).withColumn("season", F.explode(F.sequence(F.lit(0), F.lit(seasons - 1))))
-    return cells.where(draws.uniform(F.col("season"), draws.key_number(book, key), seed) < F.col("_p")).drop("_p")
-
-
-def draw_losses(book: DataFrame, seasons: int = SEASONS, seed: int = 42, trend=1.0, key: str = "location_id") -> DataFrame:
-    """Add ``loss_usd`` to each occurrence: Beta severity x multiplier, clipped, x insured value.
-
-    ``book`` has location_id, frequency, severity, multiplier, tiv_usd. The Beta
-    draw has no Column form; it runs on Arrow batches of the surviving cells only.
-    """
-    hit = loss_occurrences(book, seasons, seed, trend, key).withColumns(beta_parameters("severity"))
-    hit = hit.select(
-        "season", key, "multiplier", "tiv_usd", "alpha", "beta",
-        draws.mixed(F.col("season"), draws.key_number(book, key), seed + 1).alias("_state"),
-    )
-    schema = f"season int, {key} {dict(hit.dtypes)[key]}, loss_usd double"
-
-    def severity(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            ratio = beta_draw(rows["alpha"].to_numpy(), rows["beta"].to_numpy(), rows["_state"].to_numpy())
-            ratio = np.clip(ratio * rows["multiplier"].to_numpy(), 0.0, 1.0)
-            yield pd.DataFrame({"season": rows["season"], key: rows[key], "loss_usd": ratio * rows["tiv_usd"].to_numpy()})
-
-    return hit.mapInPandas(severity, schema)
-
-
-def _uniforms(state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Next state and a uniform in (0, 1), element by element (SplitMix64)."""
-    with np.errstate(over="ignore"):
-        state = state + np.uint64(0x9E3779B97F4A7C15)
-        z = state
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z = z ^ (z >> np.uint64(31))
-    return state, ((z >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0
-
-
-def _gamma_draw(shape: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gamma(shape, 1) by Marsaglia and Tsang; every element keeps its own random stream."""
-    out = np.empty(len(shape))
-    state = state.copy()
-    small = shape < 1.0
-    d = np.where(small, shape + 1.0, shape) - 1.0 / 3.0
-    c = 1.0 / np.sqrt(9.0 * d)
-    todo = np.arange(len(shape))
-    while len(todo):
-        s, u1 = _uniforms(state[todo])
-        s, u2 = _uniforms(s)
-        s, u3 = _uniforms(s)
-        state[todo] = s
-        x = np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * np.pi * u2)
-        v = (1.0 + c[todo] * x) ** 3
-        safe = np.where(v > 0, v, 1.0)
-        ok = (v > 0) & (np.log(u3) < 0.5 * x * x + d[todo] * (1.0 - v + np.log(safe)))
-        out[todo[ok]] = (d[todo] * v)[ok]
-        todo = todo[~ok]
-    state, u = _uniforms(state)
-    return np.where(small, out * u ** (1.0 / np.where(small, shape, 1.0)), out), state
-
-
-def beta_draw(alpha: np.ndarray, beta: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """One Beta draw per row, a function of that row's parameters and seed only."""
-    state = seeds.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
-    a, state = _gamma_draw(np.asarray(alpha, dtype=float), state)
-    b, _ = _gamma_draw(np.asarray(beta, dtype=float), state)
-    return a / (a + b)
-
-
-def annual_losses(losses: DataFrame, seasons: int) -> DataFrame:
-    """(season, annual_loss) for every season, 0 where nothing happened."""
-    per_season = losses.groupBy("season").agg(F.sum("loss_usd").alias("annual_loss"))
-    every = losses.sparkSession.range(seasons).select(F.col("id").cast("int").alias("season"))
-    return every.join(per_season, "season", "left").na.fill(0.0, ["annual_loss"])
-
-
 def tail_metrics(annual: DataFrame, total_tiv, quantile: float = VAR_QUANTILE, loss: str = "annual_loss") -> DataFrame:
     """One row of risk metrics from one loss per season.
 
@@ -213,31 +125,6 @@ def scenario_metrics(metrics: DataFrame, ids: list[str] | None = None) -> DataFr
     return wide.withColumns({c: F.col(c) * m for c in SCALED_METRICS if c in metrics.columns})
 
 
-def stress_runs(book: DataFrame, seasons: int, seed: int = 42, ids: list[str] | None = None) -> DataFrame:
-    """Loss draw under each scenario's trend, then severity scaling: (scenario_id, season, annual_loss), seasons without a
-    loss included.
-
-    All scenarios share one uniform per cell, so one pass covers them: a cell is
-    kept if the largest trend lets it occur and then counted for every scenario
-    whose own trend does.
-    """
-    rows = [s for s in SCENARIOS if ids is None or s[0] in ids]
-    scenario_rows(ids)
-    top = max(s[4] for s in rows)
-    drawn = draw_losses(book, seasons, seed, top)
-    drawn = drawn.join(book.select("location_id", "frequency"), "location_id")
-    u = draws.uniform(F.col("season"), draws.key_number(book, "location_id"), seed)
-    hit = drawn.withColumn("_u", u).select("season", "loss_usd", "frequency", "_u", F.inline(scenario_rows(ids)))
-    hit = hit.where(F.col("_u") < F.least(F.col("frequency") * F.col("trend_multiplier"), F.lit(1.0)))
-    losses = hit.groupBy("scenario_id", "season").agg(
-        F.sum(F.col("loss_usd") * F.col("severity_multiplier")).alias("annual_loss")
-    )
-    season = dict(losses.dtypes)["season"]
-    grid = book.sparkSession.range(seasons).select(F.col("id").cast(season).alias("season"), F.inline(scenario_rows(ids)))
-    full = grid.select("scenario_id", "season").join(losses, ["scenario_id", "season"], "left")
-    return full.withColumn("annual_loss", F.coalesce("annual_loss", F.lit(0.0)))
-
-
 def layer_price(annual: DataFrame, attachment: float, limit: float, loss: str = "annual_loss") -> DataFrame:
     """Excess-of-loss layer over annual losses: mean layer loss, hits, rate on line; one row."""
     layered = annual.select(hazard.layer_loss(loss, attachment, limit).alias("layered"))

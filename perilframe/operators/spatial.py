@@ -14,7 +14,8 @@ from .support import cut_lineage, require_columns, short_list, task_count
 KM_PER_DEGREE = math.pi * geo.EARTH_RADIUS_KM / 180.0
 
 
-BROADCAST_ROWS = 500_000
+SALTS = 8  # parts of a cell
+CELL = ("_cell", "_salt")
 
 
 def radius_join(
@@ -24,54 +25,38 @@ def radius_join(
     left_pos=("lat", "lon"),
     right_pos=("track_lat", "track_lon"),
     reach: str | None = None,
-    spread: tuple[str, ...] = (),
-    broadcast_rows: int = BROADCAST_ROWS,
-    hot_cell_rows: int | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """All (left, right) pairs within ``radius_km``, plus ``distance_km``.
+    """All (left, right) pairs within ``radius_km``, plus ``distance_km`` and the columns ``CELL``.
 
-    An equi-join on cells with an exact check behind it. The right side is counted:
+    An equi-join on (cell, salt) with an exact check behind it. Cells are a third of the radius wide. A left row is in one
+    cell, under a salt taken from its position; a right row is repeated into each cell that its circle touches and into
+    all ``salts``, so a dense cell is always split. Both are functions of the left position: an aggregate by ``CELL`` and
+    left_pos (and more) needs no further shuffle, so pairs never leave the task that made them. No job runs here,
+    nothing is broadcast, and both sides spill where they must.
 
-    * up to ``broadcast_rows`` rows it is broadcast by cell, and each left row
-      looks up the cells its circle touches. ``spread`` names left columns to
-      deal the left rows by first; an aggregate that groups by them (and more)
-      then needs no further shuffle, so pairs never leave the task that made them.
-    * beyond that both sides are shuffled by cell, the right one repeated into
-      each cell its circle touches. Adaptive execution splits skewed cells;
-      ``hot_cell_rows`` also salts cells with more left rows than that.
-
-    ``reach`` names a right column with that row's own, smaller radius in km.
+    ``reach`` names a right column with that row's own, smaller radius in km. Rows without a position meet nothing.
     Pairs are as many as the data holds; callers aggregate them.
     """
     vec = ("_x", "_y", "_z")
     lv = dict(zip((f"_l{c}" for c in vec), geo.unit_vector(*left_pos)))
     rv = dict(zip((f"_r{c}" for c in vec), geo.unit_vector(*right_pos)))
-    furthest = F.max(reach) if reach else F.lit(float(radius_km))
-    rows, furthest = right.agg(F.count("*"), furthest).first()
-    radius_km = min(radius_km, furthest if furthest is not None else radius_km)
     own_km = F.least(F.col(reach), F.lit(float(radius_km))) if reach else F.lit(float(radius_km))
     if reach:
         right = right.withColumn("_limit", geo.chord_sq_limit(own_km))
-    keys = ["_cell"]
-    if rows <= broadcast_rows:
-        side = max(radius_km, 1e-3) / 3 / KM_PER_DEGREE
-        if spread:
-            left = left.repartition(task_count(left.sparkSession), *spread)
-        a = left.withColumns({"_cell": geo.cells_within(*left_pos, F.lit(float(radius_km)), side), **lv})
-        a = a.withColumn("_cell", F.explode("_cell"))
-        b = F.broadcast(right.withColumns({"_cell": geo.cell_of(*right_pos, side), **rv}))
-    else:
-        side = max(radius_km, 1e-3) / KM_PER_DEGREE
-        a = left.withColumns({"_cell": geo.cell_of(*left_pos, side), **lv})
-        b = right.withColumns({"_cell": geo.cells_within(*right_pos, own_km, side), **rv})
-        b = b.withColumn("_cell", F.explode("_cell"))
-        if hot_cell_rows:
-            a, b = salt_hot_keys(a, b, "_cell", hot_cell_rows)
-            keys.append("_salt")
+    side = max(radius_km, 1e-3) / 3 / KM_PER_DEGREE
+    placed = left.where(F.col(left_pos[0]).isNotNull() & F.col(left_pos[1]).isNotNull())
+    salt = F.pmod(F.xxhash64(*left_pos), F.lit(salts)).cast("int")
+    a = placed.withColumns({"_cell": geo.cell_of(*left_pos, side), "_salt": salt, **lv})
+    a = a.repartition(task_count(left.sparkSession), *CELL)  # a fixed number: adaptive execution leaves it as it is
+    b = right.where(F.col(right_pos[0]).isNotNull() & F.col(right_pos[1]).isNotNull())
+    b = b.withColumns({"_cell": geo.cells_within(*right_pos, own_km, side), **rv}).withColumn("_cell", F.explode("_cell"))
+    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     gap = geo.chord_sq([f"_l{c}" for c in vec], [f"_r{c}" for c in vec])
     limit = F.col("_limit") if reach else geo.chord_sq_limit(F.lit(float(radius_km)))
-    pairs = a.join(b, keys, "inner").withColumn("_gap", gap).where(F.col("_gap") <= limit)
-    return pairs.withColumn("distance_km", geo.chord_sq_to_km(F.col("_gap"), radius_km)).drop(*keys, "_gap", "_limit", *lv, *rv)
+    # merge: a broadcast of a small left side would let the right side's tasks make the pairs of every site
+    pairs = a.join(b.hint("merge"), list(CELL), "inner").withColumn("_gap", gap).where(F.col("_gap") <= limit)
+    return pairs.withColumn("distance_km", geo.chord_sq_to_km(F.col("_gap"), radius_km)).drop("_gap", "_limit", *lv, *rv)
 
 
 SITE = ("lat", "lon")
@@ -84,29 +69,7 @@ def sites_of(locations: DataFrame) -> DataFrame:
 
 def to_locations(locations: DataFrame, per_site: DataFrame) -> DataFrame:
     """Hand the result of each site to all locations that stand on it."""
-    return locations.select("location_id", *SITE).join(per_site, list(SITE)).drop(*SITE)
-
-
-def salt_hot_keys(big: DataFrame, small: DataFrame, key: str, rows_per_salt: int):
-    """Add ``_salt`` to both sides so that no key of ``big`` keeps more than about ``rows_per_salt`` rows.
-
-    The list of hot keys is counted and broadcast while it is short. The salt is a
-    hash of the row, so a retried task sends every row where the first attempt did.
-    """
-    hot = (
-        big.groupBy(key)
-        .count()
-        .where(F.col("count") > rows_per_salt)
-        .select(F.col(key), F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts"))
-    )
-    one = F.coalesce(F.col("_salts"), F.lit(1))
-    if hot.count() <= BROADCAST_ROWS:
-        hot = F.broadcast(hot)
-    spread = F.pmod(F.xxhash64(*big.columns), one.cast("long")).cast("int")
-    big = big.join(hot, key, "left").withColumn("_salt", spread).drop("_salts")
-    copies = F.explode(F.sequence(F.lit(0), one - 1))
-    small = small.join(hot, key, "left").withColumn("_salt", copies).drop("_salts")
-    return big, small
+    return locations.select("location_id", *SITE).join(per_site, list(SITE)).drop(*SITE, *CELL)
 
 
 def nearest_axis_value(value, axis):
@@ -182,11 +145,14 @@ def distance_to_coast(locations: DataFrame) -> DataFrame:
     )
 
 
+PACKED_KM = 1000.0  # as many millimetres, and a second, fit in one bigint
+
+
 def storm_distances(tracks: DataFrame, locations: DataFrame, radius_km: float = 500.0) -> DataFrame:
     """Closest approach of each storm to each location in reach, with wind and pressure there.
 
     Observations of a storm at one position are folded to the earliest first, and
-    distances are taken per site.
+    distances are taken per site. The radius may be any; beyond ``PACKED_KM`` the order takes two numbers instead of one.
     """
     stamped = tracks.withColumn("_second", utc_seconds(tracks, "obs_ts"))
     obs = stamped.groupBy("storm_id", F.col("lat").alias("track_lat"), F.col("lon").alias("track_lon")).agg(
@@ -194,15 +160,19 @@ def storm_distances(tracks: DataFrame, locations: DataFrame, radius_km: float =
         F.min_by("max_wind_kt", "_second").alias("_wind"),
         F.min_by("min_pressure_mb", "_second").alias("_mb"),
     )
-    pairs = radius_join(sites_of(locations), obs, radius_km, spread=SITE)
-    # One bigint orders by millimetre, then by second: primitive aggregate buffers only.
+    pairs = radius_join(sites_of(locations), obs, radius_km)
     millimetres = F.floor(F.col("distance_km") * 1e6 + 0.5).cast("long")
-    order = millimetres * F.lit(1 << 33) + F.col("_first") + F.lit(1 << 32)
+    if radius_km <= PACKED_KM:  # one bigint orders by millimetre, then by second: primitive aggregate buffers only
+        order = millimetres * F.lit(1 << 33) + F.col("_first") + F.lit(1 << 32)
+        nearest = F.shiftright(F.min("_order"), 33)
+    else:
+        order = F.struct(millimetres.alias("mm"), F.col("_first").alias("second"))
+        nearest = F.min("_order").getField("mm")
     closest = (
         pairs.withColumn("_order", order)
-        .groupBy(*SITE, "storm_id")
+        .groupBy(*CELL, *SITE, "storm_id")
         .agg(
-            (F.shiftright(F.min("_order"), 33) / 1e6).alias("min_distance_km"),
+            (nearest / 1e6).alias("min_distance_km"),
             F.min_by("_wind", "_order").alias("wind_at_closest_kt"),
             F.min_by("_mb", "_order").alias("pressure_at_closest_mb"),
         )
@@ -257,13 +227,12 @@ def k_nearest(
 
 def _site_candidates(sites: DataFrame, targets: DataFrame, radius_km: float, k: int) -> DataFrame:
     """Per target site, the k+1 nearest ids (its own included) as sorted structs."""
-    wanted = targets.select(F.col("lat").alias("track_lat"), F.col("lon").alias("track_lon"))
-    pairs = radius_join(sites, wanted, radius_km, spread=SITE)
+    wanted = targets.select("lat", "lon")
+    others = sites.select(F.col("lat").alias("track_lat"), F.col("lon").alias("track_lon"), "ids")
+    pairs = radius_join(wanted, others, radius_km, salts=1)  # the radius was chosen so that cells are not dense
     pairs = pairs.withColumn("distance_km", to_millimetres(F.col("distance_km")))
-    nearest = Window.partitionBy("track_lat", "track_lon").orderBy("distance_km", F.col("ids")[0])
+    nearest = Window.partitionBy(*CELL, *SITE).orderBy("distance_km", F.col("ids")[0])
     kept = pairs.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k + 1)
-    flat = kept.select("track_lat", "track_lon", "distance_km", F.explode("ids").alias("dst"))
+    flat = kept.select(*CELL, *SITE, "distance_km", F.explode("ids").alias("dst"))
     ordered = F.array_sort(F.collect_list(F.struct("distance_km", "dst")))
-    return flat.groupBy("track_lat", "track_lon").agg(F.slice(ordered, 1, k + 1).alias("near")).select(
-        F.col("track_lat").alias("lat"), F.col("track_lon").alias("lon"), "near"
-    )
+    return flat.groupBy(*CELL, *SITE).agg(F.slice(ordered, 1, k + 1).alias("near")).select(*SITE, "near")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import encode, exposure, hazard, portfolio, spatial
-from ..operators.support import cut_lineage
 
 
 def gold_features(locations: DataFrame, grid: DataFrame, claims: DataFrame) -> DataFrame:
@@ -29,7 +28,7 @@ def headline(locations: DataFrame, policies: DataFrame, tracks: DataFrame, n: in
 def risk_book(
     locations: DataFrame, claims: DataFrame, scores: DataFrame, first_year: int, last_year: int
 ) -> DataFrame:
-    """(location_id, tiv_usd, frequency, severity, multiplier): the input of the loss draw.
+    """(location_id, tiv_usd, frequency, severity, multiplier): what a season model needs.
 
     ``scores`` is (location_id, score); a location without one keeps multiplier 1.
     """
@@ -43,10 +42,6 @@ def risk_book(
     )
 
 
-def tail_risk(book: DataFrame, seasons: int = portfolio.SEASONS, seed: int = 42, trend=1.0) -> DataFrame:
-    """Loss draw, season totals, tail metrics: one row.
-
-    The season totals are stored once, since the metrics read them several times.
-    """
-    losses = cut_lineage(portfolio.annual_losses(portfolio.draw_losses(book, seasons, seed, trend), seasons))
-    return portfolio.tail_metrics(losses, book.agg(F.sum("tiv_usd")).scalar())
+def tail_risk(annual: DataFrame, book: DataFrame) -> DataFrame:
+    """Tail metrics of a table of annual losses (season, annual_loss) against the insured value of the book: one row."""
+    return portfolio.tail_metrics(annual, book.agg(F.sum("tiv_usd")).scalar())

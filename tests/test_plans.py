@@ -1,5 +1,8 @@
 """Physical plans: pushed filters, pruned columns, pairs that stay in their task."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
@@ -21,9 +24,10 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "l_comment" not in lines and "l_partkey" not in lines
 
 
-def test_peak_winds_shuffle_no_pairs(spark):
-    """The aggregate over the pairs sits on the join without an exchange between them."""
-    lines = plan(QUERIES["e6_peak_winds"](spark, FOLDER)).splitlines()
-    join = next(i for i, x in enumerate(lines) if "BroadcastHashJoin [_cell" in x)
-    aggs = [i for i, x in enumerate(lines[:join]) if "HashAggregate(keys=[lat" in x or "HashAggregate(keys=[knownfloat" in x]
-    assert len(aggs) == 2 and not any("Exchange hashpartitioning" in x for x in lines[aggs[0] : join])
+@pytest.mark.parametrize("name", ["e5_yearly_event_features", "e6_peak_winds", "d8_radius_join", "d10_storm_distances"])
+def test_pairs_meet_no_shuffle_before_their_first_aggregate(spark, name):
+    """Both halves of the aggregate over the pairs sit on the join without an exchange between them."""
+    lines = plan(QUERIES[name](spark, FOLDER)).splitlines()
+    join = next(i for i, x in enumerate(lines) if re.search(r"(BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin) \[_cell", x))
+    above = [i for i, x in enumerate(lines[:join]) if "Aggregate(keys=[_cell" in x]
+    assert len(above) >= 2 and not any("Exchange" in x for x in lines[above[-2] : join])

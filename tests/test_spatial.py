@@ -29,7 +29,7 @@ def world(n, seed):
     return pts
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "hot_cell_rows": 10}, {"spread": ("a",)}])
+@pytest.mark.parametrize("options", [{}, {"salts": 1}, {"salts": 50}])
 def test_radius_join_is_brute_force(rows, options):
     left, right = world(120, 1), world(90, 2)
     a = rows([(i, *p) for i, p in enumerate(left)], "a int, lat double, lon double")
@@ -44,7 +44,7 @@ def test_radius_join_has_no_duplicates_and_takes_own_reach(rows):
     left, right = world(60, 3), world(60, 4)
     a = rows([(i, *p) for i, p in enumerate(left)], "a int, lat double, lon double")
     b = rows([(i, *p, 50.0 + 10 * (i % 20)) for i, p in enumerate(right)], "b int, track_lat double, track_lon double, own double")
-    for options in ({}, {"broadcast_rows": 0}):
+    for options in ({}, {"salts": 3}):
         got = [(r.a, r.b) for r in spatial.radius_join(a, b, 400.0, reach="own", **options).select("a", "b").collect()]
         want = {(i, j) for i, p in enumerate(left) for j, q in enumerate(right) if km(p, q) <= 50.0 + 10 * (j % 20)}
         assert len(got) == len(set(got)) and set(got) == want
@@ -110,13 +110,32 @@ def test_floor_does_not_change_peaks(rows):
     assert key(everything) == key(floored)
 
 
-def test_sampled_pairs_small_groups_whole_large_groups_capped(rows):
-    data = [(i, "big" if i % 3 else "small") for i in range(60)] + [(100, "one")]
-    out = pairs.sampled_group_pairs(rows(data, "location_id long, g string"), "g", per_group=200).collect()
-    small = [i for i, g in data if g == "small"]
-    got = {}
-    for r in out:
-        assert r.key_a < r.key_b
-        got.setdefault(r.g, set()).add((r.key_a, r.key_b))
-    assert got["small"] == {(a, b) for a in small for b in small if a < b}
-    assert len(got["big"]) == 200 and "one" not in got
+def test_group_edges_tie_every_member_to_the_first(rows):
+    data = [(i, "big" if i % 3 else "small") for i in range(60)] + [(100, "one"), (101, None), (1, "big"), (None, "big")]
+    got = sorted((r.g, r.key_a, r.key_b) for r in pairs.group_edges(rows(data, "location_id long, g string"), "g").collect())
+    assert got == sorted([("big", 1, i) for i in range(2, 60) if i % 3] + [("small", 0, i) for i in range(3, 60, 3)])
+    assert pairs.group_edges(rows([], "location_id long, g string"), "g").count() == 0
+
+
+def test_radius_join_spreads_a_coast_over_all_tasks(spark, rows):
+    """15,000 sites on one coast at 500 km: more keys than tasks, and no key with a large share."""
+    rnd = random.Random(11)
+    a = rows([(rnd.uniform(24.5, 31), rnd.uniform(-98, -79.5)) for _ in range(15000)], "lat double, lon double")
+    b = rows([(27.0, -85.0), (29.0, -95.0)], "track_lat double, track_lon double")
+    keys = [r[0] for r in spatial.radius_join(a, b, 500.0).groupBy(*spatial.CELL).count().select("count").collect()]
+    assert len(keys) > spatial.task_count(spark) and max(keys) < 0.05 * sum(keys)
+
+
+@pytest.mark.parametrize("radius", [400.0, 1200.0, 25000.0])
+def test_closest_approach_at_any_radius(rows, radius):
+    sites, obs = world(20, 7), world(30, 8)
+    loc = rows([(i, *p) for i, p in enumerate(sites)], "location_id int, lat double, lon double")
+    track = rows([(i % 4, i, *p, 50 + i, 1000 - i) for i, p in enumerate(obs)], "storm_id int, s int, lat double, lon double, max_wind_kt int, min_pressure_mb int")
+    got = {(r.location_id, r.storm_id): (r.min_distance_km, r.wind_at_closest_kt) for r in spatial.storm_distances(track.withColumn("obs_ts", F.timestamp_seconds("s")), loc, radius).collect()}
+    want = {}
+    for i, p in enumerate(sites):
+        for j, q in enumerate(obs):
+            if km(p, q) <= radius:
+                want[i, j % 4] = min(want.get((i, j % 4), (1e9, 0, 0)), (round(km(p, q), 6), j, 50 + j))
+    assert got.keys() == want.keys()
+    assert all(abs(got[k][0] - want[k][0]) < 1e-4 for k in want)
