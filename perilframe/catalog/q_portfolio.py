@@ -45,13 +45,13 @@ def e13(t):
 @query(
     "e14_trend_multiplier",
     """WITH r AS (SELECT region_code, year(loss_date) AS y, cast(count(*) AS double) AS f FROM claims JOIN locations USING (location_id) GROUP BY 1, 2),
-       m AS (SELECT avg(f) AS a, avg(f) FILTER (y >= (SELECT max(y) FROM r) - 2) AS b FROM r)
+       m AS (SELECT avg(f) AS a, avg(f) FILTER (y >= (SELECT max(y) FROM r) - 5) AS b FROM r)
        SELECT round(a, 6) AS long_term_mean, round(b, 6) AS recent_mean, round(least(greatest(b/a, 5e-1), 3), 9) AS trend_multiplier FROM m""",
 )
 def e14(t):
     joined = t.claims.join(t.locations.select("location_id", "region_code"), "location_id")
     series = joined.groupBy("region_code", F.year("loss_date").alias("year")).agg(F.count("*").cast("double").alias("storms"))
-    return rounded(portfolio.trend_multiplier(series, "storms", recent=2), 6, trend_multiplier=9)
+    return rounded(portfolio.trend_multiplier(series, "storms"), 6, trend_multiplier=9)
 
 
 def book(t):

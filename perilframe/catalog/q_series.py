@@ -34,7 +34,7 @@ def e32(t):
 
 
 _GAPPY_SQL = """c AS (SELECT user_id % 7 AS region_id, cast(2000 + event_id % 30 AS bigint) AS year, avg(value) AS v,
-        max(event_type) AS lab FROM events WHERE value > 40 GROUP BY 1, 2),
+        max(event_type) AS lab FROM events GROUP BY 1, 2),
     gap AS (SELECT k.region_id, r.y AS year, case when (r.y + k.region_id) % 3 = 0 then v end AS v, case when (r.y + k.region_id) % 4 = 1 then lab end AS lab
     FROM (SELECT DISTINCT region_id FROM c) k CROSS JOIN range(2000, 2030) r(y) LEFT JOIN c ON c.region_id = k.region_id AND c.year = r.y)"""
 
@@ -50,7 +50,7 @@ _GAPPY_SQL = """c AS (SELECT user_id % 7 AS region_id, cast(2000 + event_id % 30
                coalesce(l0, l1) AS lab FROM w""",
 )
 def f2(t):
-    ev = t.raw("events").where("value > 40")
+    ev = t.raw("events")
     c = ev.groupBy((F.col("user_id") % 7).alias("region_id"), (2000 + F.col("event_id") % 30).alias("year")).agg(
         F.avg("value").alias("v"), F.max("event_type").alias("lab")
     )
@@ -91,7 +91,7 @@ def f2_climate(t):
 @query(
     "f5_training_windows",
     """WITH s AS (SELECT l_suppkey % 25 AS region_id, cast(year(l_shipdate)*12 + month(l_shipdate) AS bigint) AS year, count(*) AS f FROM lineitem
-                  WHERE l_quantity > 20 AND month(l_shipdate) <> 7 GROUP BY 1, 2)
+                  WHERE month(l_shipdate) <> 7 GROUP BY 1, 2)
        SELECT a.region_id, a.year, (SELECT cast(sum(f) AS bigint) FROM s h WHERE h.region_id = a.region_id AND h.year BETWEEN a.year - hn + 1 AND a.year) AS history_sum, hn AS history_len,
               (SELECT cast(sum(f) AS bigint) FROM s h WHERE h.region_id = a.region_id AND h.year BETWEEN a.year + 1 AND a.year + 5) AS target_sum
        FROM (SELECT region_id, year, least(10, row_number() OVER (PARTITION BY region_id, run ORDER BY year)) AS hn, count(*) OVER (PARTITION BY region_id, run) AS len,
@@ -100,7 +100,7 @@ def f2_climate(t):
        WHERE hn >= 5 AND len - rn >= 5""",
 )
 def f5(t):
-    rows = t.raw("lineitem").where((F.col("l_quantity") > 20) & (F.month("l_shipdate") != 7))
+    rows = t.raw("lineitem").where(F.month("l_shipdate") != 7)
     s = rows.groupBy((F.col("l_suppkey") % 25).alias("region_id"), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("year")).agg(F.count("*").alias("f"))
     w = yeargrid.training_windows(s, "f")
 
