@@ -155,6 +155,40 @@ def test_lm_probabilities_add_up():
     assert np.allclose((10 ** lm.train(counts).astype(float)).sum(1), 1, atol=1e-4)
 
 
+def test_lm_learns_words_beyond_the_frequent_ones(spark):
+    """Each of 300 words is followed by one other of the same class: only a model that knows both tells a held-out text from its shuffle."""
+    rng = random.Random(6)
+    words = [f"ab{i:03}z" for i in range(300)]
+    chain = lambda: [w for _ in range(20) for i in [rng.randrange(150)] for w in (words[i], words[150 + i])]
+    ids = iter(range(10**6))
+    held = (i for i in range(10**6, 2 * 10**6) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows = [(next(ids), " ".join(chain())) for _ in range(4000)]
+    pairs = []
+    for _ in range(20):
+        right = chain()
+        wrong = [w for i in range(0, 40, 2) for w in (right[i], words[150 + rng.randrange(150)])]
+        pairs.append((next(held), next(held)))
+        rows += [(pairs[-1][0], " ".join(right)), (pairs[-1][1], " ".join(wrong))]
+    got = table(lm.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)), "doc_id", "score")
+    assert all(got[a][0] > got[b][0] + 2 for a, b in pairs)
+
+
+def test_lm_words_of_a_class_add_up():
+    import numpy as np
+
+    n = 70
+    v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.arange(n, dtype=np.int32) % 2, np.arange(40, 40 + n), 0, 0, np.full(lm.RARE, 9.0), np.ones(lm.RARE))
+    t = lm.tree(v)
+    m = lm.WordModel(v, t)
+    past, used = np.full(len(m.rows), 1e-8, np.float32), np.zeros(len(m.rows), np.int64)
+    w = lm.CLASSES + np.arange(n)
+    for _ in range(5):
+        m.learn(t, w[::-1], w, w, past, used)
+    own = np.concatenate([[lm.FREQUENT], w[::2]])  # class 0, its leaf below the floor first
+    again = np.full(len(own), w[3])
+    assert used.sum() > 0 and (10 ** m.logp(t, again, again, own)).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_quality_against_brute_force(docs):
     got = table(quality.judge(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     for i, t, *_ in corpus():
