@@ -1,9 +1,10 @@
 """Quality rules: document statistics and lines that recur across the documents of a host.
 
 Lines are normalised (A-Z lower-cased, runs of digits to 0, white space to one space) and hashed. The documents of
-each host that hold a line are counted; a line in more than LEAST_DOCS of them and more than HOST_SHARE of the host's
-documents is boilerplate and is removed. A document is kept if its base statistics pass and boilerplate leaves at least
-LEFT of its words. Null texts are empty and fail; a null host is a host of its own.
+each host that hold a line are counted, equal texts once; a line in more than MOST_DOCS of them is boilerplate and is
+removed, on small hosts in more than HOST_SHARE of them, but never one in only LEAST_DOCS of them. A document is kept if
+its base statistics pass and boilerplate leaves at least LEFT of its words. Null texts are empty and fail; a null host is
+a host of its own.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 from .store import stored
 from .textio import SPACE, Texts, Words, append_columns, longs, mix, numbers, windows
 
-LEAST_DOCS = 20
-HOST_SHARE = 0.01
-LEFT = 0.3  # of its words
+LEAST_DOCS = 2
+MOST_DOCS = 20
+HOST_SHARE = 0.1
+LEFT = 0.5  # of its words
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 FIELDS = "llm_n_words long, llm_word_chars long, llm_n_symbols long, llm_n_dup_lines long, llm_n_repeat_words long, llm_lines array<long>, llm_line_words array<int>"
 
@@ -83,13 +85,16 @@ def measure(texts: Texts):
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, host, the base statistics, n_boilerplate (words), base_failed and kept, a row for each input row."""
-    plain = docs.select(F.col("doc_id"), F.col("source").alias("host"), F.col("text").cast("string").alias("text"))
+    plain = docs.select(F.col("doc_id"), F.col("source").alias("host"), F.col("text").cast("string").alias("text")).withColumn("llm_text", F.xxhash64("text"))
     rows = stored(append_columns(plain, "text", FIELDS, measure).drop("text").withColumn("row", F.monotonically_increasing_id()))  # fixed once written
     lines = rows.select("row", "host", F.explode(F.arrays_zip("llm_lines", "llm_line_words")).alias("x")).select("row", "host", F.col("x.llm_lines").alias("line"), F.col("x.llm_line_words").alias("words"))
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_DOCS)
-    hosts = rows.groupBy("host").agg(F.count("*").alias("docs"))
+    firsts = stored(rows.groupBy("host", "llm_text").agg(F.min("row").alias("row")))  # of equal texts
+    held = rows.select("row", "host", "llm_lines").join(firsts.select("row"), "row", "left_semi").select("host", F.explode("llm_lines").alias("line"))
+    often = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_DOCS)
+    hosts = firsts.groupBy("host").agg(F.count("*").alias("docs"))
     o, t = often.alias("o"), hosts.alias("t")
-    boiler = stored(o.join(t, F.col("o.host").eqNullSafe(F.col("t.host"))).where(F.col("n") > HOST_SHARE * F.col("docs")).select(F.col("o.host").alias("host"), "line", "n"))
+    most = F.least(F.lit(float(MOST_DOCS)), HOST_SHARE * F.col("docs"))  # does not loosen beyond MOST_DOCS / HOST_SHARE documents
+    boiler = stored(o.join(t, F.col("o.host").eqNullSafe(F.col("t.host"))).where(F.col("n") > most).select(F.col("o.host").alias("host"), "line", "n"))
     a, b = lines.alias("a"), boiler.alias("b")
     hit = a.join(b, F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.line") == F.col("b.line")))
     lost = hit.groupBy("row").agg(F.sum("words").alias("lost"))

@@ -211,6 +211,26 @@ def test_quality_drops_documents_of_boilerplate(spark):
     assert all(got[i][1] == 0 for i in range(40, 80))
 
 
+def test_quality_limits_hold_on_hot_and_small_hosts(spark):
+    rng = random.Random(9)
+    own = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    shared, rows, expected = [own(60) for _ in range(4)], [], {}
+
+    def add(host, text, kept, lost):
+        expected[len(rows)] = (kept, lost)
+        rows.append((len(rows), text, None, host, 0, 0, ""))
+
+    for i in range(2500):  # 25 of them, one in a hundred, share a line
+        add("hot", f"{shared[0]}\n{own(40)}" if i % 100 == 0 else own(60), i % 100 != 0, 60 * (i % 100 == 0))
+    for i in range(10):
+        add("small", f"{shared[1]}\n{own(40)}" if i < 5 else own(60), i >= 5, 60 * (i < 5))
+    for i in range(10):
+        add("pair", f"{shared[2]}\n{own(40)}" if i < 2 else own(60), True, 0)
+    for i in range(60):  # copies of one document are one
+        add("copies", shared[3] if i < 30 else own(60), True, 0)
+    assert table(quality.judge(spark.createDataFrame(rows, SCHEMA).repartition(3)), "doc_id", "kept", "n_boilerplate") == expected
+
+
 def test_languages(spark):
     en, fr, ru = "the house and the garden with that thing", "le jardin et la maison avec une chose", "дом и сад с одной вещью"
     rows = [(i, " ".join([(en, fr, ru)[i % 3]] * 3), ("en", "fr", "ru")[i % 3], "a", 0, 0, "") for i in range(60)]
