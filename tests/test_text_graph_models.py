@@ -168,3 +168,23 @@ def test_monotone_regions_platt(model_rows):
 def test_cross_validation_shape(model_rows):
     out = {r.setting: r for r in models.cross_validate(model_rows, folds=2, trees=2).collect()}
     assert set(out) == {"baseline", "regularized"} and all(r.folds == 2 and 0 <= r.mean_auc <= 1 and r.std_auc >= 0 for r in out.values())
+
+
+def test_registered_learners_have_their_default_sizes(monkeypatch):
+    from perilframe.catalog import q_learning
+
+    class Fitted(Exception):
+        pass
+
+    def caught(*args, **options):
+        raise Fitted(sorted(options))
+
+    monkeypatch.setattr(q_learning, "model_table", lambda t: None)
+    monkeypatch.setattr(q_learning.splits, "stratified_year_split", lambda table: (None, None))
+    monkeypatch.setattr(models.ClaimClassifier, "fit", caught)
+    monkeypatch.setattr(models.SeverityRegressor, "fit", caught)
+    monkeypatch.setattr(models, "cross_validate", caught)
+    for build, options in ((q_learning.j1, ["second"]), (q_learning.j2, []), (q_learning.j3, []), (q_learning.j7, [])):
+        with pytest.raises(Fitted) as e:
+            build(None)
+        assert e.value.args[0] == options
