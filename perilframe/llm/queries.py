@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, lm, mixing, quality, substring, suffix, toxicity, warc
+from . import audit, decontam, jaccard, langid, lm, merkle, mixing, periods, quality, substring, suffix, toxicity, warc
 from .store import read
 
 QUALITY_SHARES = {"0": 0.05, "1": 0.95}  # target shares of tokens by labels.quality
@@ -81,3 +81,24 @@ def op9_suffix_dedup(spark, folder):
 def op10_toxicity(spark, folder):
     out = toxicity.toxic_documents(read(spark, folder, "documents"), read(spark, folder, "labels"))
     return out.withColumn("n_passages", F.size("passages")).drop("passages")
+
+
+@query
+def op11_merkle_fingerprints(spark, folder):
+    return merkle.edited_neighbours(read(spark, folder, "documents"))
+
+
+@query
+def op12_periodic_runs(spark, folder):
+    return periods.looped_runs(read(spark, folder, "documents"))
+
+
+ORACLES["op12_periodic_runs"] = periods.ORACLE
+
+
+@query
+def op13_filter_audit(spark, folder):
+    return audit.interactions(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+ORACLES["op13_filter_audit"] = audit.ORACLE

@@ -124,12 +124,12 @@ def anchors(h: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero((high == h) & valid)
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text"):
-    """The batch in slices of about PIECE_BYTES of text."""
+def pieces(batch: pa.RecordBatch, text: str = "text", size: int = PIECE_BYTES):
+    """The batch in slices of about ``size`` bytes of text."""
     at = Texts(batch.column(text)).at
     lo = 0
     while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PIECE_BYTES, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, side="right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
 

@@ -323,7 +323,7 @@ def test_native_plans_have_no_python(spark):
 
 
 def test_registered(spark):
-    assert set(ORACLES) <= set(QUERIES) and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert set(ORACLES) <= set(QUERIES) and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_pipeline_stages_take_effect(spark):
