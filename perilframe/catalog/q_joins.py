@@ -140,9 +140,9 @@ def d8(t):
     near = spatial.radius_join(
         t.locations.select("location_id", "lat", "lon"), hazard.track_points(t.tracks, "obs_id"), 400.0
     )
-    out = near.groupBy(*spatial.CELL, *spatial.SITE, "location_id").agg(
+    out = near.groupBy("location_id").agg(
         F.count("*").alias("pairs"), F.sum("distance_km").alias("total_km"), F.min("distance_km").alias("nearest_km")
-    ).drop(*spatial.CELL, *spatial.SITE)
+    )
     return rounded(out, 3, nearest_km=5)
 
 
@@ -153,7 +153,7 @@ def d8(t):
 )
 def d8_salted(t):
     near = spatial.radius_join(
-        t.locations.select("location_id", "lat", "lon"), hazard.track_points(t.tracks, "storm_id"), 150.0, salts=16,
+        t.locations.select("location_id", "lat", "lon"), hazard.track_points(t.tracks, "storm_id"), 150.0, most=64,
     )
     return rounded(near.groupBy("storm_id").agg(F.count("*").alias("pairs"), F.avg("distance_km").alias("mean_km")), 5)
 

@@ -79,46 +79,3 @@ def in_box(lat, lon, box: dict) -> Column:
         box["lon_min"], box["lon_max"]
     )
 
-
-# --- cells -----------------------------------------------------------------
-# Latitude bands of a fixed height; each band is cut into a whole number of
-# equal longitude cells, fewer towards the poles. A cell number is therefore
-# well defined everywhere and the ring closes at +-180 degrees.
-
-
-def band_of(lat, side_deg: float) -> Column:
-    return F.floor((F.col(lat) + 90.0) / side_deg).cast("long")
-
-
-def cells_in_band(band: Column, side_deg: float) -> Column:
-    middle = F.radians(band * side_deg + (side_deg / 2 - 90.0))
-    return F.greatest(F.floor(360.0 / side_deg * F.cos(middle)), F.lit(1)).cast("long")
-
-
-def cell_of(lat, lon, side_deg: float) -> Column:
-    """One bigint per cell (band and position in the band)."""
-    band = band_of(lat, side_deg)
-    n = cells_in_band(band, side_deg)
-    slot = F.pmod(F.floor((F.col(lon) + 180.0) * n / 360.0).cast("long"), n)
-    return band * F.lit(1 << 32) + slot
-
-
-def cells_within(lat, lon, radius_km: Column, side_deg: float) -> Column:
-    """Array of every cell that can hold a point within ``radius_km``."""
-    rho = F.degrees(radius_km / EARTH_RADIUS_KM) + 1e-9
-    top = math.floor(180.0 / side_deg)
-    lat, lon = F.col(lat), F.col(lon)
-    first_band = F.greatest(F.floor((lat - rho + 90.0) / side_deg), F.lit(0)).cast("long")
-    last_band = F.least(F.floor((lat + rho + 90.0) / side_deg), F.lit(top)).cast("long")
-    # Half-width in longitude of the circle; all the way round if it covers a pole.
-    widest = F.asin(F.least(F.sin(F.radians(rho)) / F.cos(F.radians(lat)), F.lit(1.0)))
-    half = F.when(F.abs(lat) + rho < 89.999, F.degrees(widest) + 1e-9).otherwise(F.lit(180.0))
-
-    def band_cells(band: Column) -> Column:
-        n = cells_in_band(band, side_deg)
-        lo = F.floor((lon - half + 180.0) * n / 360.0).cast("long")
-        hi = F.floor((lon + half + 180.0) * n / 360.0).cast("long")
-        slots = F.sequence(lo, F.least(hi, lo + n - 1))
-        return F.transform(slots, lambda c: band * F.lit(1 << 32) + F.pmod(c, n))
-
-    return F.flatten(F.transform(F.sequence(first_band, last_band), band_cells))

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.times import utc_seconds
-from .support import cut_lineage, require_columns, short_list, task_count
-
-KM_PER_DEGREE = math.pi * geo.EARTH_RADIUS_KM / 180.0
-
+from . import celltree
+from .support import require_columns, short_list, task_count
 
-SALTS = 8  # parts of a cell
-CELL = ("_cell", "_salt")
+LEAF_ROWS = 512  # left rows of a key
+SHARE_ROWS = 16_384  # right rows of a key, on average
 
 
 def radius_join(
@@ -25,41 +21,56 @@ def radius_join(
     left_pos=("lat", "lon"),
     right_pos=("track_lat", "track_lon"),
     reach: str | None = None,
-    salts: int = SALTS,
+    most: int = LEAF_ROWS,
+    share: int = SHARE_ROWS,
 ) -> DataFrame:
-    """All (left, right) pairs within ``radius_km``, plus ``distance_km`` and the columns ``CELL``.
+    """All (left, right) pairs within ``radius_km``, plus ``distance_km``.
 
-    An equi-join on (cell, salt) with an exact check behind it. Cells are a third of the radius wide. A left row is in one
-    cell, under a salt taken from its position; a right row is repeated into each cell that its circle touches and into
-    all ``salts``, so a dense cell is always split. Both are functions of the left position: an aggregate by ``CELL`` and
-    left_pos (and more) needs no further shuffle, so pairs never leave the task that made them. No job runs here,
-    nothing is broadcast, and both sides spill where they must.
+    An equi-join on the leaves of a cell tree over the left positions (see ``celltree``), with an exact check behind it. A left
+    row is in one leaf; a right row goes to the leaves that its circle touches, so it is copied about once for ``most`` left
+    rows in its reach. A position with more left rows than that is dealt over parts, and a leaf with more than
+    ``share`` right rows over shares, into which its left rows are repeated: no key holds much more than ``most`` x ``share``
+    pairs, and the number of keys grows with the data. Parts and shares follow from a hash of the whole row. No job runs
+    here, nothing is broadcast on purpose, and both sides spill where they must.
 
     ``reach`` names a right column with that row's own, smaller radius in km. Rows without a position meet nothing.
-    Pairs are as many as the data holds; callers aggregate them.
+    Pairs are as many as the data holds; callers aggregate them, which Spark begins in the tasks that make them.
     """
-    vec = ("_x", "_y", "_z")
+    vec = ("_vx", "_vy", "_vz")
     lv = dict(zip((f"_l{c}" for c in vec), geo.unit_vector(*left_pos)))
     rv = dict(zip((f"_r{c}" for c in vec), geo.unit_vector(*right_pos)))
     own_km = F.least(F.col(reach), F.lit(float(radius_km))) if reach else F.lit(float(radius_km))
+    start = celltree.start_level(radius_km)
+    known = lambda df, pos: df.where(F.col(pos[0]).isNotNull() & F.col(pos[1]).isNotNull())
+
+    placed = known(left, left_pos).withColumns({**celltree.fine_cell(*left_pos, start), "_lhash": F.xxhash64(*left.columns)})
+    counts = celltree.fine_counts(placed)
+    tree = celltree.leaves(counts, most)
+    tasks = 3 * task_count(left.sparkSession)  # keys are of unequal work: let tasks be many
+    circles = known(right, right_pos).withColumns({**celltree.box_of(*right_pos, own_km), "_rhash": F.xxhash64(*right.columns)})
+    covered = celltree.cover(circles.repartition(tasks, "_rhash"), tree, start).drop("_lat", "_lon", "_rho", "_half")
+    crowds = celltree.cover(celltree.crowds(circles, start), tree, start)  # a little too many, and far fewer rows
+    shares = crowds.groupBy("_leaf").agg(F.ceil(F.sum("n") / share).cast("int").alias("_shares"))
+
+    a = placed.join(celltree.leaf_of_cells(counts, tree), ["_y", "_x"]).drop("_y", "_x").join(shares, "_leaf")
+    a = a.withColumns({"_part": F.pmod("_lhash", F.col("_parts")).cast("int"), "_share": F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))})
+    b = covered.join(shares, "_leaf")
+    b = b.withColumns({"_share": F.pmod("_rhash", F.col("_shares")).cast("int"), "_part": F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))})
+    key = ["_leaf", "_part", "_share"]
+    a = a.drop("_parts", "_shares", "_lhash").withColumns(lv).repartition(tasks, *key)  # a fixed number: adaptive execution leaves it as it is
+    b = b.drop("_parts", "_shares", "_rhash").withColumns(rv)
     if reach:
-        right = right.withColumn("_limit", geo.chord_sq_limit(own_km))
-    side = max(radius_km, 1e-3) / 3 / KM_PER_DEGREE
-    placed = left.where(F.col(left_pos[0]).isNotNull() & F.col(left_pos[1]).isNotNull())
-    salt = F.pmod(F.xxhash64(*left_pos), F.lit(salts)).cast("int")
-    a = placed.withColumns({"_cell": geo.cell_of(*left_pos, side), "_salt": salt, **lv})
-    a = a.repartition(task_count(left.sparkSession), *CELL)  # a fixed number: adaptive execution leaves it as it is
-    b = right.where(F.col(right_pos[0]).isNotNull() & F.col(right_pos[1]).isNotNull())
-    b = b.withColumns({"_cell": geo.cells_within(*right_pos, own_km, side), **rv}).withColumn("_cell", F.explode("_cell"))
-    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        b = b.withColumn("_limit", geo.chord_sq_limit(F.least(F.col(reach), F.lit(float(radius_km)))))
     gap = geo.chord_sq([f"_l{c}" for c in vec], [f"_r{c}" for c in vec])
     limit = F.col("_limit") if reach else geo.chord_sq_limit(F.lit(float(radius_km)))
-    # merge: a broadcast of a small left side would let the right side's tasks make the pairs of every site
-    pairs = a.join(b.hint("merge"), list(CELL), "inner").withColumn("_gap", gap).where(F.col("_gap") <= limit)
-    return pairs.withColumn("distance_km", geo.chord_sq_to_km(F.col("_gap"), radius_km)).drop("_gap", "_limit", *lv, *rv)
+    # merge, with the few left rows of a key as the buffered side; a broadcast would leave all pairs to the other side's tasks
+    pairs = b.join(a.hint("merge"), key).withColumn("_gap", gap).where(F.col("_gap") <= limit)
+    pairs = pairs.withColumn("distance_km", geo.chord_sq_to_km(F.col("_gap"), radius_km))
+    return pairs.select(*left.columns, *right.columns, "distance_km")
 
 
 SITE = ("lat", "lon")
+SEARCH_ROWS = 64  # sites of a leaf in which a search radius is looked for
 
 
 def sites_of(locations: DataFrame) -> DataFrame:
@@ -69,7 +80,7 @@ def sites_of(locations: DataFrame) -> DataFrame:
 
 def to_locations(locations: DataFrame, per_site: DataFrame) -> DataFrame:
     """Hand the result of each site to all locations that stand on it."""
-    return locations.select("location_id", *SITE).join(per_site, list(SITE)).drop(*SITE, *CELL)
+    return locations.select("location_id", *SITE).join(per_site, list(SITE)).drop(*SITE)
 
 
 def nearest_axis_value(value, axis):
@@ -170,7 +181,7 @@ def storm_distances(tracks: DataFrame, locations: DataFrame, radius_km: float =
         nearest = F.min("_order").getField("mm")
     closest = (
         pairs.withColumn("_order", order)
-        .groupBy(*CELL, *SITE, "storm_id")
+        .groupBy(*SITE, "storm_id")
         .agg(
             (nearest / 1e6).alias("min_distance_km"),
             F.min_by("_wind", "_order").alias("wind_at_closest_kt"),
@@ -180,16 +191,13 @@ def storm_distances(tracks: DataFrame, locations: DataFrame, radius_km: float =
     return to_locations(locations, closest)
 
 
-def k_nearest(
-    points: DataFrame, k: int = 5, radius_km: float = 100.0, id_col: str = "location_id", busy_cell: int = 256
-) -> DataFrame:
+def k_nearest(points: DataFrame, k: int = 5, radius_km: float = 100.0, id_col: str = "location_id") -> DataFrame:
     """Edges (src, dst, distance_km) to the up to ``k`` nearest other points in the radius.
 
-    Exact, ordered by (distance, id). Points at one position are first folded to
-    a site that carries its k+1 smallest ids, so any number of copies costs one
-    row. Sites are then searched in growing radii: dense areas settle in small
-    cells, and only sites that have not found k others yet look further out. The
-    number of radii follows from one count of the busiest cell.
+    Exact, ordered by (distance, id). Points at one position are first folded to a site that carries its k+1 smallest ids, so any
+    number of copies costs one row. Each site then bounds its own search: the leaf of the cell tree that holds it has few sites, and
+    the (k+1)-th nearest of those (itself included) is no nearer than its true one; a site with fewer beside it in its leaf
+    searches the whole radius. One radius join with these reaches finds the neighbours; no job runs here.
     """
     by_site = Window.partitionBy("lat", "lon").orderBy(id_col)
     sites = (
@@ -200,39 +208,30 @@ def k_nearest(
         .groupBy("lat", "lon")
         .agg(F.array_sort(F.collect_list(id_col)).alias("ids"))
     )
-    side = radius_km / KM_PER_DEGREE
-    busiest = sites.groupBy(geo.cell_of("lat", "lon", side)).count().agg(F.max("count")).first()[0] or 0
-    radii = [radius_km]
-    while busiest > busy_cell and radii[0] > 1e-3:
-        radii.insert(0, radii[0] / 4)
-        busiest /= 16
-    if len(radii) > 1:
-        sites = cut_lineage(sites)
-
-    settled, open_sites = None, sites
-    for step, reach in enumerate(radii):
-        found = _site_candidates(sites, open_sites, reach, k)
-        if step < len(radii) - 1:
-            found = cut_lineage(found)
-            done = found.where(F.size("near") > k)
-            open_sites = open_sites.join(done.select("lat", "lon"), ["lat", "lon"], "left_anti")
-        else:
-            done = found
-        settled = done if settled is None else settled.unionByName(done)
-
+    bounded = _search_radii(sites, k, radius_km)
+    targets = bounded.select(F.col("lat").alias("track_lat"), F.col("lon").alias("track_lon"), "_reach")
+    pairs = radius_join(sites, targets, radius_km, reach="_reach").withColumn("distance_km", to_millimetres(F.col("distance_km")))
+    nearest = Window.partitionBy("track_lat", "track_lon").orderBy("distance_km", F.col("ids")[0])
+    kept = pairs.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k + 1)
+    flat = kept.select(F.col("track_lat").alias("lat"), F.col("track_lon").alias("lon"), "distance_km", F.explode("ids").alias("dst"))
+    near = flat.groupBy(*SITE).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance_km", "dst"))), 1, k + 1).alias("near"))
     base = points.select(F.col(id_col).alias("src"), "lat", "lon")
     others = F.slice(F.filter("near", lambda x: x["dst"] != F.col("src")), 1, k)
-    return base.join(settled, ["lat", "lon"]).select("src", F.inline(others)).select("src", "dst", "distance_km")
-
-
-def _site_candidates(sites: DataFrame, targets: DataFrame, radius_km: float, k: int) -> DataFrame:
-    """Per target site, the k+1 nearest ids (its own included) as sorted structs."""
-    wanted = targets.select("lat", "lon")
-    others = sites.select(F.col("lat").alias("track_lat"), F.col("lon").alias("track_lon"), "ids")
-    pairs = radius_join(wanted, others, radius_km, salts=1)  # the radius was chosen so that cells are not dense
-    pairs = pairs.withColumn("distance_km", to_millimetres(F.col("distance_km")))
-    nearest = Window.partitionBy(*CELL, *SITE).orderBy("distance_km", F.col("ids")[0])
-    kept = pairs.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k + 1)
-    flat = kept.select(*CELL, *SITE, "distance_km", F.explode("ids").alias("dst"))
-    ordered = F.array_sort(F.collect_list(F.struct("distance_km", "dst")))
-    return flat.groupBy(*CELL, *SITE).agg(F.slice(ordered, 1, k + 1).alias("near")).select(*SITE, "near")
+    return base.join(near, list(SITE)).select("src", F.inline(others)).select("src", "dst", "distance_km")
+
+
+def _search_radii(sites: DataFrame, k: int, radius_km: float) -> DataFrame:
+    """(lat, lon, _reach): a radius in km that holds the k+1 nearest sites, or ``radius_km`` where the leaf has too few to tell."""
+    most = max(SEARCH_ROWS, 4 * (k + 1))
+    start = celltree.start_level(radius_km)
+    placed = sites.select(*SITE).withColumns(celltree.fine_cell(*SITE, start))
+    counts = celltree.fine_counts(placed)
+    leaf = celltree.leaf_of_cells(counts, celltree.leaves(counts, most))
+    vec = ("_vx", "_vy", "_vz")
+    own = placed.join(leaf, ["_y", "_x"]).select(*SITE, "_leaf", F.pmod(F.xxhash64(*SITE), F.col("_parts")).alias("_part"), *(v.alias(c) for c, v in zip(vec, geo.unit_vector(*SITE))))
+    # at most a few hundred sites share a part of a leaf
+    groups = own.groupBy("_leaf", "_part").agg(F.collect_list(F.struct(*vec)).alias("_others"))
+    gaps = F.array_sort(F.transform("_others", lambda o: geo.chord_sq([F.col(c) for c in vec], [o[c] for c in vec])))
+    met = own.join(groups, ["_leaf", "_part"]).withColumn("_gap", F.get(gaps, F.lit(k)))
+    km = geo.chord_sq_to_km(F.col("_gap")) * (1 + 1e-9) + 2e-6  # distances are ranked in whole millimetres
+    return met.select(*SITE, F.least(F.coalesce(km, F.lit(float(radius_km))), F.lit(float(radius_km))).alias("_reach"))

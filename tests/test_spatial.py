@@ -2,11 +2,12 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from perilframe.operators import hazard, pairs, spatial
+from perilframe.operators import celltree, hazard, pairs, spatial
 
 
 def km(a, b):
@@ -29,7 +30,7 @@ def world(n, seed):
     return pts
 
 
-@pytest.mark.parametrize("options", [{}, {"salts": 1}, {"salts": 50}])
+@pytest.mark.parametrize("options", [{}, {"most": 1}, {"most": 5, "share": 3}, {"most": 1000, "share": 1}])
 def test_radius_join_is_brute_force(rows, options):
     left, right = world(120, 1), world(90, 2)
     a = rows([(i, *p) for i, p in enumerate(left)], "a int, lat double, lon double")
@@ -44,18 +45,19 @@ def test_radius_join_has_no_duplicates_and_takes_own_reach(rows):
     left, right = world(60, 3), world(60, 4)
     a = rows([(i, *p) for i, p in enumerate(left)], "a int, lat double, lon double")
     b = rows([(i, *p, 50.0 + 10 * (i % 20)) for i, p in enumerate(right)], "b int, track_lat double, track_lon double, own double")
-    for options in ({}, {"salts": 3}):
+    for options in ({}, {"most": 4, "share": 2}):
         got = [(r.a, r.b) for r in spatial.radius_join(a, b, 400.0, reach="own", **options).select("a", "b").collect()]
         want = {(i, j) for i, p in enumerate(left) for j, q in enumerate(right) if km(p, q) <= 50.0 + 10 * (j % 20)}
         assert len(got) == len(set(got)) and set(got) == want
 
 
-@pytest.mark.parametrize("busy", [256, 3])
-def test_k_nearest_is_exact_with_copies(rows, busy):
+@pytest.mark.parametrize("search", [64, 1])
+def test_k_nearest_is_exact_with_copies(rows, search, monkeypatch):
+    monkeypatch.setattr(spatial, "SEARCH_ROWS", search)
     pts = world(90, 5)
     df = rows([(i, *p) for i, p in enumerate(pts)], "location_id long, lat double, lon double")
     got = {}
-    for r in spatial.k_nearest(df, 4, 300.0, busy_cell=busy).collect():
+    for r in spatial.k_nearest(df, 4, 300.0).collect():
         got.setdefault(r.src, []).append((round(r.distance_km, 3), r.dst))
     for i, p in enumerate(pts):
         near = sorted((math.floor(km(p, q) * 1e6 + 0.5), j) for j, q in enumerate(pts) if j != i and km(p, q) <= 300.0)[:4]
@@ -117,13 +119,35 @@ def test_group_edges_tie_every_member_to_the_first(rows):
     assert pairs.group_edges(rows([], "location_id long, g string"), "g").count() == 0
 
 
-def test_radius_join_spreads_a_coast_over_all_tasks(spark, rows):
-    """15,000 sites on one coast at 500 km: more keys than tasks, and no key with a large share."""
+def test_leaves_of_a_coast(rows):
+    """15,000 sites on one coast at 500 km: leaves as small as asked for, more of them than tasks, and few copies of a circle."""
     rnd = random.Random(11)
-    a = rows([(rnd.uniform(24.5, 31), rnd.uniform(-98, -79.5)) for _ in range(15000)], "lat double, lon double")
-    b = rows([(27.0, -85.0), (29.0, -95.0)], "track_lat double, track_lon double")
-    keys = [r[0] for r in spatial.radius_join(a, b, 500.0).groupBy(*spatial.CELL).count().select("count").collect()]
-    assert len(keys) > spatial.task_count(spark) and max(keys) < 0.05 * sum(keys)
+    a = rows([(rnd.uniform(24.5, 31), rnd.uniform(-98, -79.5)) for _ in range(15000)] + [(27.5, -81.5)] * 3000, "lat double, lon double")
+    start = celltree.start_level(500.0)
+    placed = a.withColumns(celltree.fine_cell("lat", "lon", start))
+    counts = celltree.fine_counts(placed)
+    tree = celltree.leaves(counts, 256)
+    held = placed.join(celltree.leaf_of_cells(counts, tree), ["_y", "_x"])
+    assert held.count() == 18000
+    per_leaf = held.groupBy("_leaf", "_parts").count().collect()
+    assert len(per_leaf) == tree.count() > 100
+    assert all(r["count"] <= 256 * r._parts for r in per_leaf) and max(r._parts for r in per_leaf) >= 11
+    assert sum(r._parts > 1 for r in per_leaf) == 1  # the spot alone
+    circles = rows([(27.0, -85.0, 500.0), (29.0, -95.0, 20.0), (60.0, 0.0, 500.0)], "lat double, lon double, km double").withColumns(celltree.box_of("lat", "lon", F.col("km")))
+    copies = {r.km: r["count"] for r in celltree.cover(circles, tree, start).groupBy("km").count().collect()}
+    assert copies[500.0] < len(per_leaf) and copies[20.0] <= 4
+
+
+def test_a_hot_spot_is_dealt_over_many_keys(rows):
+    """A third of both sides on one spot: no key of the join holds more than a small part of the rows."""
+    a = rows([(i, 27.5, -81.5 - (i % 3 > 0) * i / 500) for i in range(900)], "a int, lat double, lon double")
+    b = rows([(i, 27.5, -81.5 - (i % 3 > 0) * i / 500) for i in range(900)], "b int, track_lat double, track_lon double")
+    joined = spatial.radius_join(a, b, 50.0, most=16, share=32)
+    keys = re.findall(r"SortMergeJoin \[(_leaf#\d+L?), (_part#\d+), (_share#\d+)\]", joined._jdf.queryExecution().executedPlan().toString())
+    assert len(keys) == 1
+    got = joined.groupBy("a").count().collect()
+    want = {i: sum(abs(x - y) * 98.65 <= 50 for y in [(j % 3 > 0) * j / 500 for j in range(900)]) for i, x in ((i, (i % 3 > 0) * i / 500) for i in range(900))}
+    assert len(got) == 900 and all(abs(r["count"] - want[r.a]) <= 2 for r in got)
 
 
 @pytest.mark.parametrize("radius", [400.0, 1200.0, 25000.0])
