@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .vectors import nearest_vectors
+
 # Fixed values of the document index.
 CHUNK_SIZE = 800
 CHUNK_OVERLAP = 120
@@ -63,90 +61,22 @@ def chunk_documents(
 
 
 def chunk_ids(chunks: DataFrame, source: str = "source") -> DataFrame:
-    """Add ``chunk_id``: sha1 over source, index and the first 64 characters."""
-    head = F.col("chunk")
+    """Add ``chunk_id``: sha1 over source, index and chunk."""
     return chunks.withColumn(
-        "chunk_id", F.sha1(F.concat_ws("::", F.col(source), F.col("chunk_index").cast("string"), head))
+        "chunk_id", F.sha1(F.concat_ws("::", F.col(source), F.col("chunk_index").cast("string"), F.col("chunk")))
     )
 
 
 # --- retrieval ---------------------------------------------------------------
 
-QUERY_LIMIT = 4096
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norms > 0, norms, 1.0)
-
-
-def _best(query_ids, queries, ids, vectors, k):
-    """Frame of the k best (query, chunk) scores per query; ties by chunk id."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    # Rounded, so that equal vectors tie whatever the order of the float sums.
-    scores = np.round(queries @ _unit(vectors).T, 9)
-    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(len(query_ids)), top.shape[1])
-    cols = top.ravel()
-    return pd.DataFrame({"query_id": query_ids[rows], "chunk_id": ids[cols], "score": scores[rows, cols]})
-
 
-def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, query_limit: int = QUERY_LIMIT) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the k nearest chunks by cosine.
+def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k nearest chunks by cosine, ties by chunk id.
 
-    ``queries`` is (query_id, vec), ``chunks`` (chunk_id, vec). Up to
-    ``query_limit`` queries travel to the chunks and the chunk table does not
-    move; every partition returns at most k rows per query. With more queries
-    both sides are dealt into blocks that meet pairwise.
+    ``queries`` is (query_id, vec), ``chunks`` (chunk_id, vec). Exact; parts of the chunk table that cannot hold one of
+    the k best of a query are not visited for it (see ``vectors``).
     """
-    kinds = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
-    schema = f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"
-    q = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"))
-    c = chunks.select("chunk_id", F.col("vec").cast("array<double>").alias("vec"))
-    head = q.limit(query_limit + 1).toPandas()
-    if len(head) <= query_limit:
-        found = _top_k_by_partition(head, c, k, schema)
-    else:
-        found = _top_k_by_block(q, c, k, schema, query_limit)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _top_k_by_partition(head: pd.DataFrame, chunks: DataFrame, k: int, schema: str) -> DataFrame:
-    if head.empty:
-        return chunks.sparkSession.createDataFrame([], schema)
-    ids, matrix = head["query_id"].to_numpy(), _unit(np.vstack(head["vec"].to_numpy()))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for rows in batches:
-            if rows.empty:
-                continue
-            part = _best(ids, matrix, rows["chunk_id"].to_numpy(), np.vstack(rows["vec"].to_numpy()), k)
-            best = part if best is None else pd.concat([best, part])
-            best = best.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
-            best = best.groupby("query_id", sort=False).head(k)
-        if best is not None:
-            yield best
-
-    return chunks.mapInPandas(scan, schema)
-
-
-def _top_k_by_block(queries: DataFrame, chunks: DataFrame, k: int, schema: str, limit: int) -> DataFrame:
-    q_blocks, c_blocks = -(-queries.count() // limit), max(1, -(-chunks.count() // 65536))
-    q = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
-    q = q.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    c = chunks.withColumn("_c", F.pmod(F.xxhash64("chunk_id"), F.lit(c_blocks)).cast("int"))
-    c = c.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame()
-        queries_ = _unit(np.vstack(left["vec"].to_numpy()))
-        return _best(left["query_id"].to_numpy(), queries_, right["chunk_id"].to_numpy(), np.vstack(right["vec"].to_numpy()), k)
-
-    return q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInPandas(meet, schema)
+    return nearest_vectors(queries, chunks, k)
 
 
 def accept_or_refuse(top: DataFrame, floor: float = MIN_SCORE) -> DataFrame:

@@ -36,24 +36,6 @@ def test_layer(rows):
     assert (r.seasons_hit, r.mean_layer_loss, r.rate_on_line) == (2, 27.5, 0.275)
 
 
-@pytest.mark.parametrize("block", [2048, 7])
-def test_block_pairs_meet_every_pair_once(rows, block):
-    rnd = np.random.default_rng(1)
-    m = rnd.normal(size=(60, 5))
-    df = rows([(f"k{i:02d}", [float(v) for v in x]) for i, x in enumerate(m)], "key string, vec array<double>")
-
-    def kernel(ka, a, kb, b, same):
-        mask = np.ones((len(ka), len(kb)), bool)
-        i, j = pairs._upper(mask, same)
-        return pairs._ordered_pairs(ka, kb, i, j, {"s": pairs._cosine(a, b)[i, j]})
-
-    got = pairs.block_pairs(df, "key", "vec", "key_a string, key_b string, s double", kernel, block_rows=block).collect()
-    assert len(got) == 60 * 59 // 2 == len({(r.key_a, r.key_b) for r in got})
-    for r in got[::50]:
-        i, j = int(r.key_a[1:]), int(r.key_b[1:])
-        assert i < j and r.s == pytest.approx(m[i] @ m[j] / np.linalg.norm(m[i]) / np.linalg.norm(m[j]), abs=1e-6)
-
-
 def test_co_loss_joint_rule(rows):
     # A and B move together, C is constant, D has too few claims.
     data = []

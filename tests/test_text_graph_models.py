@@ -63,23 +63,6 @@ def test_grounding_flags_invented_numbers(rows):
     assert strict == {1: True, 2: False, 4: False}
 
 
-@pytest.mark.parametrize("limit", [4096, 5])
-def test_vector_top_k(rows, limit):
-    rnd = np.random.default_rng(2)
-    c = rnd.normal(size=(80, 6))
-    c[1::3] = c[0]  # copies: ties resolve by id
-    q = rnd.normal(size=(12, 6))
-    chunks = rows([(i, [float(v) for v in x]) for i, x in enumerate(c)], "chunk_id int, vec array<double>").repartition(3)
-    queries = rows([(i, [float(v) for v in x]) for i, x in enumerate(q)], "query_id int, vec array<double>")
-    got = {}
-    for r in text.vector_top_k(queries, chunks, 7, query_limit=limit).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.chunk_id)
-    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-    scores = np.round(unit(q) @ unit(c).T, 9)
-    for i in range(12):
-        assert got[i] == sorted(range(80), key=lambda j: (-scores[i, j], j))[:7]
-
-
 def test_graph_tables_with_a_hub(rows):
     edges = rows([(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(1, 39)], "src int, dst int")
     scores = rows([(i, float(i % 10)) for i in range(40)], "node int, score double")
