@@ -129,11 +129,10 @@ def a5(t):
 def a7(t):
     lines = t.raw("lineitem").withColumn("year", F.year("l_shipdate").cast("long"))
     root = shared_folder(t.spark)
-    years = [r[0] for r in lines.select("year").distinct().orderBy("year").collect()]
-    for y in years:
-        part = lines.where(F.col("year") == y).select("year", "l_extendedprice", "l_tax")
-        (part if y >= 1999 else part.drop("l_tax")).write.parquet(f"{root}/{y}")
-    table = readers.read_many(t.spark, [f"{root}/{y}" for y in years])
+    kept = lines.select("year", "l_extendedprice", "l_tax")
+    kept.where("year < 1999").drop("l_tax").write.parquet(f"{root}/old")
+    kept.where("year >= 1999").write.parquet(f"{root}/new")
+    table = readers.read_many(t.spark, [f"{root}/old", f"{root}/new"])
     out = table.groupBy("year").agg(F.count("*").alias("rows"), F.sum("l_extendedprice").alias("total"), F.count("l_tax").alias("with_tax"))
     return rounded(out, 2)
 
@@ -175,9 +174,9 @@ def a9(t):
 def b1_files(t):
     o = t.raw("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("y"))
     root = shared_folder(t.spark)
-    writers.write_bronze(o.where("y <= 1999").drop("y"), root, ["id"])
-    writers.write_bronze(o.where("y >= 1998").drop("y").withColumn("status", F.lit("X")), root, ["id"])
-    return readers.read_table(t.spark, writers.current_version(t.spark, root), ["id", "status"])
+    writers.upsert(o.where("y <= 1999").drop("y"), root, ["id"])
+    writers.upsert(o.where("y >= 1998").drop("y").withColumn("status", F.lit("X")), root, ["id"])
+    return writers.read_upserted(t.spark, root).select("id", "status")
 
 
 @query(
@@ -250,7 +249,7 @@ def m1(t):
 def m1_upserts(t):
     folder, root, state = _drop_files(t), shared_folder(t.spark), shared_folder(t.spark)
     fires.upsert_fires(t.spark, folder, root, state).awaitTermination()
-    table = writers.read_bronze(t.spark, root)
+    table = t.spark.read.parquet(root)
     return table.select("lat", "lon", utc_seconds("timestamp").alias("at_s"), "confidence", "frp")
 
 

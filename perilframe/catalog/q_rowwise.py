@@ -190,14 +190,14 @@ def c18(t):
     return t.raw("conversations").select("conv_id", "turn", labels.mentions_any("text", words).alias("flagged"))
 
 
-CLASSES = [f"class_{i}" for i in range(10)]
-CLASSIFIED_SQL = """c AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: exp(x::double - list_max(embedding[1:10])::double)) AS e,
-       list_position(embedding[1:10], list_max(embedding[1:10])) AS pos FROM embeddings),
+CLASSES = [f"class_{i}" for i in range(64)]
+CLASSIFIED_SQL = """c AS (SELECT vec_id, label, list_transform(embedding, lambda x: exp(x::double - list_max(embedding)::double)) AS e,
+       list_position(embedding, list_max(embedding)) AS pos FROM embeddings),
    classified AS (SELECT vec_id, label, 'class_' || (pos-1) AS predicted_class, e[pos]/list_sum(e) AS confidence FROM c)"""
 
 
 def classified(t):
-    scores = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
+    scores = F.transform("embedding", lambda x: x.cast("double"))
     return metrics.classify(t.raw("embeddings").select("vec_id", "label", scores.alias("scores")), "scores", CLASSES)
 
 

@@ -24,6 +24,30 @@ def e10(t):
     return tidy(series(t), 9)
 
 
+# Some years have no climate row, and some rows no value.
+CLIMATE_SQL = """clim AS (SELECT cast(1994 + event_id % 9 AS int) AS year, avg(value) AS basin_sst_celsius_mean, max(value) AS basin_sst_celsius_max,
+    max(case when event_id % 9 <> 3 then event_type end) AS enso_phase FROM events WHERE event_id % 9 NOT IN (1, 5) GROUP BY 1)"""
+_CARRIED = ", ".join(
+    f"coalesce(last_value({c} IGNORE NULLS) OVER b, first_value({c} IGNORE NULLS) OVER a) AS {c}"
+    for c in ("basin_sst_celsius_mean", "basin_sst_celsius_max", "enso_phase")
+)
+
+
+@query(
+    "e10_region_climate",
+    f"""WITH {SERIES_SQL}, {CLIMATE_SQL}, f AS (SELECT region_id, s.year, frequency, severity, {_CARRIED} FROM series s LEFT JOIN clim ON clim.year = s.year
+          WINDOW b AS (PARTITION BY region_id ORDER BY s.year ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY region_id ORDER BY s.year ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+        SELECT region_id, year, frequency, round(severity, 9) AS severity, round(basin_sst_celsius_mean, 9) AS basin_sst_celsius_mean, basin_sst_celsius_max, enso_phase FROM f""",
+)
+def e10_climate(t):
+    slot = F.col("event_id") % 9
+    climate = t.raw("events").where(~slot.isin(1, 5)).groupBy((1994 + slot).cast("int").alias("year")).agg(
+        F.avg("value").alias("basin_sst_celsius_mean"), F.max("value").alias("basin_sst_celsius_max"),
+        F.max(F.when(slot != 3, F.col("event_type"))).alias("enso_phase"),
+    )
+    return tidy(yeargrid.region_series(t.locations, t.claims, FIRST_YEAR, LAST_YEAR, climate=climate), 9)
+
+
 @query(
     "e32_naive_baselines",
     f"""WITH {SERIES_SQL} SELECT region_id, round(avg(severity), 8) AS historical_mean, round(arg_max(severity, year), 8) AS last_value,

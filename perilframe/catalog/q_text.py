@@ -86,3 +86,22 @@ def i5_documents(t):
     # A document may quote the numbers of the labels table: its own id and its quality.
     marks = t.raw("labels").select("doc_id", F.explode(F.array(F.col("doc_id").cast("string"), F.col("quality").cast("string"))).alias("norm"))
     return text.ground_documents(docs, marks)
+
+
+PAYLOAD_NUMBERS_SQL = """p AS (SELECT l_orderkey AS doc_id, to_json({'in_2024': list({'quantity': l_quantity::bigint, 'note': 'ship ' || l_linenumber || ' of "' || l_suppkey || '" now',
+          'deep': {'prices': [l_extendedprice, l_tax]}}), 'open': true}) AS payload FROM lineitem GROUP BY 1),
+    v AS (SELECT doc_id, type, json_extract_string(atom, '$') AS atom FROM p, json_tree(payload) WHERE atom IS NOT NULL),
+    pn AS (SELECT doc_id, case type when 'DOUBLE' then regexp_replace(cast(cast(atom AS double) AS varchar), '[.]0+$', '') else atom end AS norm FROM v WHERE type IN ('DOUBLE', 'UBIGINT', 'BIGINT')
+           UNION SELECT doc_id, unnest(regexp_extract_all(atom, '[0-9]+')) FROM v WHERE type = 'VARCHAR')"""
+
+
+def payloads(t):
+    note = F.concat(F.lit("ship "), F.col("l_linenumber"), F.lit(' of "'), F.col("l_suppkey"), F.lit('" now'))
+    line = F.struct(F.col("l_quantity").cast("long").alias("quantity"), note.alias("note"), F.struct(F.array("l_extendedprice", "l_tax").alias("prices")).alias("deep"))
+    per = t.raw("lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(line).alias("in_2024"))  # the lines of one order
+    return per.select("doc_id", F.to_json(F.struct("in_2024", F.lit(True).alias("open"))).alias("payload"))
+
+
+@query("i5_payload_numbers", f"WITH {PAYLOAD_NUMBERS_SQL} SELECT doc_id, norm FROM pn")
+def i5_payloads(t):
+    return text.payload_numbers(payloads(t))

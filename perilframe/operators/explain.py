@@ -23,6 +23,15 @@ FULL_REDUCTION = 0.65
 STORM_PROBABILITY = 0.15
 
 
+# Fixed values of the baseline damage ratio.
+AT_COAST = 0.40
+INLAND = 0.05
+DECAY_KM = 40.0
+UNKNOWN_KM = 20.0
+LEAST_RATIO = 0.02
+MOST_RATIO = 0.80
+
+
 def mitigation_options(locations: DataFrame) -> DataFrame:
     """Every applicable upgrade per location, plus the full fortification, with its savings.
 
@@ -51,8 +60,8 @@ def mitigation_options(locations: DataFrame) -> DataFrame:
             F.lit(True).alias("applies"),
         )
     )
-    base = 0.40 * F.exp(-F.coalesce("distance_to_coast_km", F.lit(20.0)) / 40.0) + 0.05
-    base = F.least(F.greatest(base, F.lit(0.02)), F.lit(0.80))
+    base = AT_COAST * F.exp(-F.coalesce("distance_to_coast_km", F.lit(UNKNOWN_KM)) / DECAY_KM) + INLAND
+    base = F.least(F.greatest(base, F.lit(LEAST_RATIO)), F.lit(MOST_RATIO))
     rows = locations.withColumn("_base", base).select(
         "location_id", "tiv_usd", "_base", F.inline(F.filter(F.array(*options), lambda o: o["applies"]))
     )

@@ -9,6 +9,7 @@ from .hazard import FEATURE_RADIUS_KM, track_points
 from .pairs import co_loss_pairs, group_edges
 from .ranking import positions
 from .spatial import SITE, k_nearest, radius_join, sites_of, to_locations
+from .support import cut_lineage
 
 BITS = 62
 
@@ -53,6 +54,7 @@ def portfolio_edges(
     """(src, dst, edge_type, weight): km, correlation, 1 or shared storms, one layer after the other.
 
     The coastal layer needs a ``coastal_basin`` column; it ties each location to the one with the smallest id of its basin.
+    The edges are stored, since a graph is read many times; none at all is an error.
     """
     parts = []
     if "spatial" in layers:
@@ -81,7 +83,7 @@ def portfolio_edges(
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return require_edges(cut_lineage(out))
 
 
 def require_edges(edges: DataFrame) -> DataFrame:

@@ -165,6 +165,33 @@ def ground_numbers(
     return out.withColumn("passed", F.col("unsupported") <= extras)
 
 
+# Strings and numbers of a JSON text; a string before a colon is a name, not a value.
+JSON_TOKENS = r'"(?:[^"\\]|\\.)*"(?:\s*:)?|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?'
+
+
+def payload_numbers(payloads: DataFrame, key: str = "doc_id", payload: str = "payload") -> DataFrame:
+    """(key, norm): distinct normalised numbers among the values of JSON payloads, and in the texts among these.
+
+    Numbers and texts count at any depth: a valid payload is read as the sequence of its tokens, in one pass over the row, and names are
+    left out. A payload that is no JSON counts as one text; a null one has no numbers.
+    """
+    valid = F.try_parse_json(payload).isNotNull()
+    rows = payloads.select(F.col(key), F.col(payload).alias("_payload"), valid.alias("_valid")).where(F.col("_payload").isNotNull())
+    rows = rows.withColumn("_values", F.filter(F.regexp_extract_all("_payload", F.lit(JSON_TOKENS), F.lit(0)), lambda v: ~v.endswith(":")))
+    quoted = F.array_join(F.filter("_values", lambda v: v.startswith('"')), ",")
+    texts = F.when(F.col("_valid"), F.from_json(F.concat(F.lit("["), quoted, F.lit("]")), "array<string>")).otherwise(F.array("_payload"))
+    plain = F.filter("_values", lambda v: F.col("_valid") & ~v.startswith('"'))
+    # as a program prints them: 2.50 is 2.5
+    plain = F.transform(plain, lambda v: F.when(v.rlike(r"[.eE]"), v.cast("double").cast("string")).otherwise(v))
+    raw = F.concat(plain, F.flatten(F.transform(texts, extract_numbers)))
+    return rows.select(key, F.explode(raw).alias("_raw")).select(key, normalise_number(F.col("_raw")).alias("norm")).distinct()
+
+
+def ground_payloads(docs: DataFrame, payloads: DataFrame, key: str = "doc_id", extras: int = UNSUPPORTED_ALLOWED) -> DataFrame:
+    """Check the numbers of texts against those of JSON payloads (key, payload), of which a document may have many."""
+    return ground_documents(docs, payload_numbers(payloads, key), key, extras)
+
+
 def ground_documents(
     docs: DataFrame, allowed: DataFrame, key: str = "doc_id", extras: int = UNSUPPORTED_ALLOWED
 ) -> DataFrame:

@@ -9,9 +9,13 @@ from .hazard import location_years
 
 
 def region_series(
-    locations: DataFrame, claims: DataFrame, first_year: int, last_year: int, region: str = "region_code"
+    locations: DataFrame, claims: DataFrame, first_year: int, last_year: int, region: str = "region_code", climate: DataFrame | None = None
 ) -> DataFrame:
-    """(region_id, year): total claims and the mean of the location means, 0 in quiet years."""
+    """(region_id, year): total claims and the mean of the location means, 0 in quiet years.
+
+    ``climate`` (year, further columns; one row a year) is joined to each region; years it lacks take the last known value of
+    the region's earlier years, else the first of its later ones.
+    """
     per_location = (
         claims.withColumn("year", F.year("loss_date"))
         .where(F.col("year").between(first_year, last_year))
@@ -25,7 +29,10 @@ def region_series(
         .agg(F.sum("_n").alias("frequency"), F.avg("_mean").alias("severity"))
     )
     grid = location_years(regions.select("region_id").distinct(), first_year, last_year)
-    return grid.join(per_region, ["region_id", "year"], "left").na.fill(0, ["frequency", "severity"])
+    series = grid.join(per_region, ["region_id", "year"], "left").na.fill(0, ["frequency", "severity"])
+    if climate is None:
+        return series
+    return fill_gaps(series.join(climate, "year", "left"), carry=[c for c in climate.columns if c != "year"], by="region_id")
 
 
 def fill_gaps(

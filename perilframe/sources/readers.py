@@ -41,45 +41,41 @@ def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One table from many files, columns matched by name, absent ones NULL; nothing is dropped."""
     if not paths:
         raise ValueError("no input files")
-    out = None
-    for p in paths:
-        part = spark.read.parquet(p)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    return spark.read.option("mergeSchema", True).parquet(*paths)
 
 
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     """Best-track text files to one row per observation.
 
-    A file is cut at its header lines into one record per storm, so a storm's
-    data lines know their header without ordering the lines of the whole input.
-    Data before the first header of a file is an error. Repeated (storm, time)
-    rows keep the last.
+    Files are read in splits, as any text. A data line takes the last header line before it: within its split by a window,
+    and where the split has none before it, from the splits ahead of it in its file, of which only the last header of each is
+    looked at. Data before the first header of a file is an error. Repeated (storm, time) rows keep the last.
     """
-    text = spark.read.text(path, wholetext=True)
-    return parse_tracks(text.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_line"), F.col("value").alias("_text"),
+    )
+    return track_rows(text)
 
 
 def parse_tracks(files: DataFrame) -> DataFrame:
     """The same from (file, text) rows."""
-    # Cut before each header; the first piece holds whatever precedes the first one.
-    pieces = F.split("text", r"(?m)^(?=[ \t]*[A-Z]{2}\d{6}[ \t]*,)")
-    storms = files.select("file", F.posexplode(pieces).alias("_storm", "_piece"))
-    # The header of a piece is read once, before its lines are unrolled.
-    titled = storms.select(
-        "file", "_storm", F.trim(F.split_part("_piece", F.lit(","), F.lit(1))).alias("_id"),
-        F.trim(F.split_part("_piece", F.lit(","), F.lit(2))).alias("name"), F.split("_piece", r"\r\n|\n|\r").alias("_lines"),
-    )
-    lines = titled.select("file", "_storm", "_id", "name", F.posexplode("_lines").alias("_line", "_text")).where(F.trim("_text") != "")
-    is_header = F.col("_id").rlike(HEADER_ID)
-    lines = lines.where(~(is_header & (F.col("_line") == 0)))
+    return track_rows(files.select("file", F.lit(0).alias("_split"), F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("_line", "_text")))
+
+
+def track_rows(text: DataFrame) -> DataFrame:
+    """Observations from lines (file, _split, _line, _text); lines are numbered in order within a split, splits within a file."""
+    lines = text.where(F.trim("_text") != "").withColumn("_f", F.transform(F.split("_text", ","), lambda x: F.trim(x)))
+    is_header = (F.size("_f") > 1) & F.col("_f")[0].rlike(HEADER_ID)
+    lines = lines.withColumn("_own", F.when(is_header, F.struct(F.col("_f")[0].alias("id"), F.col("_f")[1].alias("name"))))
+    last = lines.groupBy("file", "_split").agg(F.max(F.when(is_header, F.struct("_line", "_own"))).alias("_last"))
+    ahead = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("file", "_split", F.last("_last", ignorenulls=True).over(ahead)["_own"].alias("_carried"))
+    so_far = Window.partitionBy("file", "_split").orderBy("_line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("_head", F.last("_own", ignorenulls=True).over(so_far)).where(F.col("_own").isNull())
+    lines = lines.join(carried, ["file", "_split"]).withColumn("_head", F.coalesce("_head", "_carried"))
     orphan = F.raise_error(F.concat(F.lit("track data before any header: "), F.col("_text"))).cast("string")
-    lines = lines.withColumns(
-        {
-            "storm_id": F.when(is_header, F.col("_id")).otherwise(orphan),
-            "_f": F.transform(F.split("_text", ","), lambda x: F.trim(x)),
-        }
-    )
+    lines = lines.withColumns({"storm_id": F.when(F.col("_head").isNotNull(), F.col("_head.id")).otherwise(orphan), "name": F.col("_head.name")})
     f = F.col("_f")
 
     def degrees(i: int):
@@ -93,10 +89,10 @@ def parse_tracks(files: DataFrame) -> DataFrame:
     at = F.to_timestamp_ntz(F.concat(f[0], f[1]), F.lit("yyyyMMddHHmm"))
     rows = lines.select(
         "storm_id", "name", at.alias("obs_ts"), f[3].alias("status"), degrees(4).alias("lat"), degrees(5).alias("lon"),
-        known(6).alias("max_wind_kt"), known(7).alias("min_pressure_mb"), "file", "_storm", "_line",
+        known(6).alias("max_wind_kt"), known(7).alias("min_pressure_mb"), "file", "_split", "_line",
     )
-    last = dedupe_keep_last(rows, ["storm_id", "obs_ts"], ["file", "_storm", "_line"])
-    return last.drop("file", "_storm", "_line")
+    last = dedupe_keep_last(rows, ["storm_id", "obs_ts"], ["file", "_split", "_line"])
+    return last.drop("file", "_split", "_line")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

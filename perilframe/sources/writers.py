@@ -1,7 +1,8 @@
-"""Writers: the idempotent bronze upsert, table overwrite, report export."""
+"""Writers: idempotent upserts by partition, table overwrite, report export."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,44 +28,13 @@ def merge_loads(
     return dedupe_keep_last(both, keys, ["_load", STAMP, *(order or []), *rest]).drop("_load")
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    """Folder of the latest complete version of a bronze table, or None."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    done = [
-        s.getPath().getName() for s in fs.listStatus(path)
-        if s.getPath().getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    ]
-    return f"{root}/{max(done)}" if done else None
-
-
-def write_bronze(df: DataFrame, root: str, keys: list[str] | None = None, order: list[str] | None = None) -> str:
-    """Upsert ``df`` into the bronze table at ``root``; empty input is refused.
-
-    Each call writes a complete new version beside the old ones. A version counts
-    once its job has committed, so a reader or a failed run never sees half a table.
-    """
-    if df.isEmpty():
-        raise ValueError(f"refusing to write an empty table to {root}")
-    spark = df.sparkSession
-    before = current_version(spark, root)
-    number = int(before.rsplit("/v", 1)[1]) + 1 if before else 1
-    target = f"{root}/v{number:08d}"
-    existing = spark.read.parquet(before) if before else None
-    merge_loads(existing, df, keys, order).write.mode("overwrite").parquet(target)
-    return target
-
-
 def upsert_partitions(df: DataFrame, path: str, keys: list[str], partition: str, order: list[str] | None = None, limit: int = 10_000) -> None:
-    """Upsert that reads and rewrites only the partitions a load touches.
+    """Upsert that reads and rewrites only the partitions a load touches; empty input is refused.
 
     ``partition`` must be one of the keys, so that a row never changes its
     partition. The cost follows the load, not the table. The merged partitions are
     first stored aside, then replace the old ones; running the same load again
-    after a failure completes it.
+    after a failure completes it. A load of more than ``limit`` partitions is refused: split it.
     """
     if partition not in keys:
         raise ValueError("the partition column must be one of the keys")
@@ -73,37 +43,50 @@ def upsert_partitions(df: DataFrame, path: str, keys: list[str], partition: str,
     if not touched:
         raise ValueError(f"refusing to write an empty table to {path}")
     if len(touched) > limit:
-        raise ValueError(f"a load touches more than {limit} partitions; use write_bronze")
-    existing = None
-    if _exists(spark, path):
-        stored = spark.read.parquet(path)
+        raise ValueError(f"a load touches more than {limit} partitions")
+    stored = _stored(spark, path)
+    if stored is not None:
         kind = dict(df.dtypes)[partition]
-        existing = stored.withColumn(partition, F.col(partition).cast(kind)).where(F.col(partition).isin(touched))
-    merged = cut_lineage(merge_loads(existing, df, keys, order))
+        stored = stored.withColumn(partition, F.col(partition).cast(kind)).where(F.col(partition).isin(touched))
+    merged = cut_lineage(merge_loads(stored, df, keys, order))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+BUCKET = "_bucket"
+
+
+def upsert(df: DataFrame, path: str, keys: list[str] | None = None, order: list[str] | None = None, buckets: int = 64) -> None:
+    """Upsert of a table without a natural partition: rows are dealt into ``buckets`` by a hash of their keys (or of the whole row).
+
+    Take the same number of buckets for each load of a table.
+    """
+    keys = keys or list(df.columns)
+    dealt = df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    upsert_partitions(dealt, path, [*keys, BUCKET], BUCKET, order, max(buckets, 1))
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BUCKET)
 
 
-def read_bronze(spark: SparkSession, root: str) -> DataFrame:
-    path = current_version(spark, root)
-    if path is None:
-        raise FileNotFoundError(root)
-    return spark.read.parquet(path)
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None before the first load."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Overwrite a derived parquet table, optionally partitioned (for year-range pruning).
 
-    With partitions, rows are first gathered by partition value and a hash of the
-    row, so a large partition is written by several tasks into several files.
+    With partitions, rows are rebalanced by partition value: adaptive execution gives a small value one file and splits a
+    large one over several tasks, by bytes.
     """
     if partition_by:
-        spread = F.pmod(F.xxhash64(*df.columns), F.lit(8))
-        df.repartition(*[F.col(c) for c in partition_by], spread).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
 

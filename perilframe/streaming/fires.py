@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import as_instant
 from ..sources.readers import FIRE_COLUMNS, normalise_fires
-from ..sources.writers import write_bronze
+from ..sources.writers import upsert_partitions
 
 KEYS = ["lat", "lon", "timestamp"]
 
@@ -37,15 +38,21 @@ def ingest_fires(
     )
 
 
-def upsert_fires(spark: SparkSession, folder: str, root: str, checkpoint: str) -> StreamingQuery:
-    """The same feed with the last row per key kept: each micro-batch is a bronze upsert."""
-    raw = spark.readStream.option("header", True).schema(FIRE_COLUMNS).csv(folder)
+def upsert_fires(spark: SparkSession, folder: str, root: str, checkpoint: str, files_per_batch: int | None = None) -> StreamingQuery:
+    """The same feed with the last row per key kept, in a table partitioned by ``day``.
+
+    The time is part of the key, so a micro-batch reads and rewrites only the days it brings rows for. A batch that is repeated after
+    a failure finds its own rows and changes nothing.
+    """
+    reader = spark.readStream.option("header", True).schema(FIRE_COLUMNS)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def load(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            write_bronze(batch, root, KEYS)
+            upsert_partitions(batch.withColumn("day", F.to_date("timestamp")), root, [*KEYS, "day"], "day")
 
     return (
-        normalise_fires(raw).writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+        normalise_fires(reader.csv(folder)).writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )

@@ -74,20 +74,54 @@ def test_documents(spark, tmp_path):
     assert got == {"a.md": ("a", "one"), "sub/b c.txt": ("b c", "two\nlines")}
 
 
-def test_bronze_is_idempotent(spark, rows, tmp_path):
+def test_upsert_is_idempotent(spark, rows, tmp_path):
     root = str(tmp_path / "bronze")
     first = rows([("A", 1, 30), ("A", 2, 40)], "storm_id string, ts int, wind int")
     for _ in range(2):
-        writers.write_bronze(first, root, ["storm_id", "ts"])
-    assert writers.read_bronze(spark, root).count() == 2
-    writers.write_bronze(rows([("B", 1, 50), ("A", 2, 99)], "storm_id string, ts int, wind int"), root, ["storm_id", "ts"])
-    got = {(r.storm_id, r.ts): r.wind for r in writers.read_bronze(spark, root).collect()}
+        writers.upsert(first, root, ["storm_id", "ts"])
+    assert writers.read_upserted(spark, root).count() == 2
+    writers.upsert(rows([("B", 1, 50), ("A", 2, 99)], "storm_id string, ts int, wind int"), root, ["storm_id", "ts"])
+    got = {(r.storm_id, r.ts): r.wind for r in writers.read_upserted(spark, root).collect()}
     assert got == {("A", 1): 30, ("A", 2): 99, ("B", 1): 50}
     with pytest.raises(ValueError, match="empty"):
-        writers.write_bronze(first.limit(0), root)
+        writers.upsert(first.limit(0), root)
     whole = str(tmp_path / "whole")
-    writers.write_bronze(first.union(first), whole)
-    assert writers.read_bronze(spark, whole).count() == 2 and "_ingested_at" in writers.read_bronze(spark, whole).columns
+    writers.upsert(first.union(first), whole)
+    assert writers.read_upserted(spark, whole).count() == 2 and "_ingested_at" in writers.read_upserted(spark, whole).columns
+
+
+@pytest.mark.parametrize("size", ["64", "150", "1000000"])
+def test_tracks_read_in_splits(spark, tmp_path, size):
+    """Splits begin inside storms, some hold no header: the rows are those of whole files."""
+    storms = [f"AL{i:02d}2001, NAME{i},  40,\n" + "".join(f"200109{1 + k // 24:02d}, {k % 24:02d}00,  , HU, {10 + i}.0N, {50 + k}.0W, {30 + k}, {900 + i},\n" for k in range(40)) for i in range(1, 8)]
+    (tmp_path / "a.txt").write_text("".join(storms))
+    (tmp_path / "b.txt").write_text(storms[2].replace("2001", "2002"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = readers.read_tracks(spark, str(tmp_path))
+        assert size == "1000000" or spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        got = sorted((r.storm_id, str(r.obs_ts), r.name, r.lat, r.max_wind_kt) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    want = [(f"AL{i:02d}{y}", f"{y}-09-{1 + k // 24:02d} {k % 24:02d}:00:00", f"NAME{i}", 10.0 + i, 30 + k) for y, ids in ((2001, range(1, 8)), (2002, [3])) for i in ids for k in range(40)]
+    assert got == sorted(want)
+
+
+def test_partitioned_table_splits_a_large_value(spark, tmp_path):
+    df = spark.range(40000).select("id", F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("part"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    files = lambda name: {p: len(list((tmp_path / name / f"part={p}").glob("*.parquet"))) for p in ("small", "large")}
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        writers.write_table(df, str(tmp_path / "whole"), ["part"])
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+        writers.write_table(df, str(tmp_path / "split"), ["part"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert files("whole") == {"small": 1, "large": 1} and files("split")["large"] > 3
+    assert spark.read.parquet(str(tmp_path / "split")).count() == 40000
 
 
 def test_many_files_keep_duplicates(spark, rows, tmp_path):
@@ -126,7 +160,7 @@ def test_stream_upsert_keeps_last(spark, tmp_path):
     fires.upsert_fires(spark, str(feed), root, state).awaitTermination()
     fire_file(feed / "2.csv", range(5, 15), 2.0)
     fires.upsert_fires(spark, str(feed), root, state).awaitTermination()
-    table = writers.read_bronze(spark, root)
+    table = spark.read.parquet(root)
     assert table.count() == 15 and table.where("frp = 2").count() == 10
 
 

@@ -1,5 +1,6 @@
 """Chunks, numbers, retrieval, graph tables, learners."""
 
+import json
 import random
 import re
 
@@ -63,6 +64,18 @@ def test_grounding_flags_invented_numbers(rows):
     assert strict == {1: True, 2: False, 4: False}
 
 
+def test_payload_numbers(rows):
+    deep = json.dumps({"7": [1, 2.50, {"a": "cost 1,234.50 USD", "b": [[["-3.0", True, None, 1e3]]]}], "x": 'quote " 12: @', "k:9": {}}).replace("@", "\\u0034")
+    data = [(1, deep), (1, "[5]"), (2, None), (3, "no json, but 4.0 and 17"), (4, "8"), (5, '"in text 6"'), (6, "{}")]
+    got = {}
+    for r in text.payload_numbers(rows(data, "doc_id int, payload string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.norm)
+    assert got == {1: {"1", "2.5", "1234.50", "3", "1000", "12", "4", "5"}, 3: {"4", "17"}, 4: {"8"}, 5: {"6"}}
+    docs = rows([(1, "paid 1,234.50 and 99 and 98 and 97"), (3, "17 of 40")], "doc_id int, text string")
+    checked = {r.doc_id: (r.unsupported, r.passed) for r in text.ground_payloads(docs, rows(data, "doc_id int, payload string")).collect()}
+    assert checked == {1: (3, False), 3: (1, True)}
+
+
 def test_graph_tables_with_a_hub(rows):
     edges = rows([(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(1, 39)], "src int, dst int")
     scores = rows([(i, float(i % 10)) for i in range(40)], "node int, score double")
@@ -77,6 +90,9 @@ def test_graph_tables_with_a_hub(rows):
         graph.portfolio_edges(scores, layers=("none",))
     with pytest.raises(ValueError, match="no edges"):
         graph.require_edges(edges.limit(0))
+    alone = rows([(1, 20.0, -80.0), (2, 40.0, -80.0)], "location_id int, lat double, lon double")
+    with pytest.raises(ValueError, match="no edges"):
+        graph.portfolio_edges(alone, layers=("spatial",))
 
 
 def test_event_window_edges(rows):
