@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,11 +23,43 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as parquet in the shared folder and read it back: later steps, and retried tasks, start from it."""
-    path = f"{checkpoint_root(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+_scopes: list[list[str]] = []  # of ``condensed`` calls that are under way, the paths stored in each
+
+
+def stored(df: DataFrame, compression: str = "snappy", release: bool = False) -> DataFrame:
+    """Write ``df`` as parquet in the shared folder and read it back: later steps, and retried tasks, start from it.
+
+    With ``release`` the shuffle files behind it are given up at once: nothing reads them any more, but Spark removes them only
+    when the driver happens to collect its garbage, which in a long job can be after the disks are full.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{checkpoint_root(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    if release:
+        del df  # it holds on to its shuffles; so would a variable of the caller
+        for _ in range(2):
+            gc.collect()
+            time.sleep(1)  # a thread of its own tells the JVM of objects that are gone
+            spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def condensed(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """The stored result of ``build()``; the tables that were stored on the way to it are removed."""
+    _scopes.append([])
+    try:
+        out = [build()]
+    finally:
+        paths = _scopes.pop()
+    try:
+        return stored(out.pop(), release=True)
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -27,6 +27,7 @@ SPAN = 20
 HALF = SPAN // 2
 WIDTH = SPAN - HALF + 1
 ALONE, FOLDED, SETTLED = 0, 1, 2  # an entry of one place; of several in its task; a place settled within its task
+PIECE = 1 << 20  # bytes of text worked on at once: hashing takes some 40 times that
 WHOLE = -1  # start of the entry that stands for a whole text
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -47,7 +48,7 @@ def level_one(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             hashes, keys, starts = [], [], []
-            for part in pieces(batch):
+            for part in pieces(batch, size=PIECE):
                 own = part.column("key").to_numpy()
                 w = Words(Texts(part.column("text")))
                 h = w.hashes()
@@ -103,7 +104,7 @@ def removed_rows(joined: DataFrame, with_text: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, size=PIECE):
                 w = Words(Texts(part.column("text")))
                 rows = []
                 raw = w.texts.data.tobytes()
@@ -129,7 +130,7 @@ def level_two(open_rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             found = [[], [], [], []]
-            for part in pieces(batch):
+            for part in pieces(batch, size=PIECE):
                 w = Words(Texts(part.column("text")))
                 h = w.hashes()
                 half, valid = windows(h, w.first, HALF)
@@ -181,7 +182,7 @@ def cut(rows: DataFrame, with_text: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, size=PIECE):
                 w = Words(Texts(part.column("text")))
                 raw, out = w.texts.data.tobytes(), []
                 for i, gone in enumerate(part.column("gone")):
@@ -203,7 +204,7 @@ def dedup(keyed: DataFrame, with_text: bool = False) -> DataFrame:
     """key, n_words, n_removed, kept_sha256 and kept: the words left, where some went (and if asked for)."""
     places = by_hash(level_one(keyed), ["hash"], "key long, start int", repeated)
     starts = places.groupBy("key").agg(F.collect_set("start").alias("starts"))  # of one text
-    rows = stored(removed_rows(keyed.join(starts, "key", "left"), with_text))
+    rows = stored(removed_rows(keyed.join(starts, "key", "left"), with_text), release=True)
     still = rows.where(F.col("starts").isNotNull())
     spans = by_hash(level_two(still.select("key", "text", "starts")), ["a"], "key long, start int", later)
     gone = spans.groupBy("key").agg(F.collect_set("start").alias("gone"))

@@ -145,7 +145,7 @@ class IndexFamily:
         for i, (_, level) in enumerate(self.levels):
             kind = F.when(F.col("several"), FOLDED).otherwise(ALONE) + (STAYS if i < len(kept) else 0)
             rows = rows.unionByName(level.select("hash", "key", "start", kind.cast("byte").alias("kind")))
-        out = stored(by_hash(rows, ["hash"], self.SCHEMA, scan))
+        out = stored(by_hash(rows, ["hash"], self.SCHEMA, scan), release=True)
         level = out.where(F.col("kind") == LEVEL)
         self.levels = [*kept, (size, level)]
         return out.where(F.col("kind") == SETTLED).select("key", "start")
@@ -313,7 +313,7 @@ def cut(rows: DataFrame) -> DataFrame:
 
 def dedup(keyed: DataFrame, batches: int = BATCHES) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = stored(first_results(keyed.join(repeats(keyed, batches), "key", "left")))
+    rows = stored(first_results(keyed.join(repeats(keyed, batches), "key", "left")), release=True)
     still = rows.where(F.col("starts").isNotNull()).select("key", "text", "starts")
     runs = stored(run_rows(still))
     same = stored(runs.groupBy("a", "b").agg(F.count("*").alias("times"), F.min(F.struct("key", "start")).alias("stand")))
@@ -321,7 +321,7 @@ def dedup(keyed: DataFrame, batches: int = BATCHES) -> DataFrame:
     open_suffixes = told.where("times = 1").select("hash").distinct()
     compare = told.where("stands").join(open_suffixes, "hash", "left_semi")  # one of each kind of run
     lists = compare.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("x")).select("key", F.col("x.start").alias("first"), F.col("x.n").alias("n"))
-    listed = stored(still.select("key", "text").join(lists, "key"))
+    listed = stored(still.select("key", "text").join(lists, "key"), release=True)
     cores = by_hash(core_rows(listed), ["hash"], "key long, start int", repeated).groupBy("key").agg(F.collect_set("start").alias("cores"))  # of one text
     windows = by_hash(window_rows(listed.join(cores, "key").select("key", "text", "first", "n", "cores")), ["a"], "key long, start int", twice)
     gone = windows.select("key", "start", F.lit(1).alias("n")).unionByName(told.where("times > 1").select("key", "start", "n"))
