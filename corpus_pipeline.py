@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from perilframe.llm import decontam, jaccard, mixing, substring, toxicity
 from perilframe.llm.queries import QUALITY_SHARES
-from perilframe.llm.store import read, stored, with_keys
+from perilframe.llm.store import condensed, read, stored, with_keys
 
 
 def toxicity_stage(spark, docs, folder):
@@ -21,8 +21,7 @@ def toxicity_stage(spark, docs, folder):
 
 def near_copy_stage(spark, docs, folder):
     keyed, full, plain = with_keys(docs)
-    _, found = jaccard.components(keyed)
-    gone = found.where("key <> component").select(F.col("key").alias("llm_key"))
+    gone = condensed(spark, lambda: jaccard.components(keyed)[1].where("key <> component").select(F.col("key").alias("llm_key")))
     kept = full.join(gone, "llm_key", "left_anti")
     return (kept if plain else kept.dropDuplicates(["llm_key"])).select(docs.columns)
 
