@@ -1,7 +1,7 @@
 """Meeting of equal hashes from all documents, without a hot key.
 
-Each map task folds its own rows first, so a hash leaves it once, however many of its documents hold it; what meets
-in one reducer under one hash is bounded by the number of map tasks, not by the number of documents.
+Each map task folds the rows of an Arrow batch first, so a hash leaves it once for each of its batches that hold it,
+however many documents of the batch do; what meets in one reducer under one hash grows with the number of batches.
 """
 
 from __future__ import annotations
