@@ -44,20 +44,29 @@ class Model:
 
 
 def segments(at: list[int], low: list[float], high: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (begin, end, score), given the words that gain and the running totals around them."""
-    found: list[list] = []
+    """All maximal-scoring segments (begin, end, score), given the words that gain and the running totals around them.
+
+    Every segment knows the nearest earlier one that starts at a lower total. What a search has skipped on that chain is
+    either behind the link of the new segment or merged into it, so no link is followed twice: the time is linear.
+    """
+    first: list[int] = []
+    last: list[int] = []
+    start: list[float] = []
+    top: list[float] = []
+    lower: list[int] = []
+    columns = (first, last, start, top, lower)
     for i, a, b in zip(at, low, high, strict=True):
-        new = [i, i + 1, a, b]
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
-                break
-            new = [found[j][0], new[1], found[j][2], new[3]]
-            del found[j:]
-    return [(s, e, b - a) for s, e, a, b in found]
+        j, s = len(first) - 1, i
+        while j >= 0 and start[j] >= a:
+            j = lower[j]
+        merged = len(first)
+        while j >= 0 and top[j] < b:
+            merged, s, a = j, first[j], start[j]
+            j = lower[j]
+        for c, x in zip(columns, (s, i + 1, a, b, j), strict=True):
+            del c[merged:]
+            c.append(x)
+    return [(s, e, b - a) for s, e, a, b in zip(first, last, start, top, strict=True)]
 
 
 def scan(model: Model, texts: Texts) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
