@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -253,6 +254,37 @@ def test_toxic_segments_against_brute_force():
         assert all(total[e] - total[b] == pytest.approx(s) for b, e, s in found) and all(a[1] <= b[0] for a, b in itertools.pairwise(found))
 
 
+def test_all_toxic_segments_against_brute_force():
+    def best_first(x, shift=0):
+        """The best stretch, then those left and right of it."""
+        total = [0, *itertools.accumulate(x)]
+        spans = [(total[b] - total[a], a, b) for a in range(len(x)) for b in range(a + 1, len(x) + 1)]
+        score, a, b = max(spans, default=(0, 0, 0))
+        if score <= 0:
+            return []
+        return [*best_first(x[:a], shift), (a + shift, b + shift), *best_first(x[b:], shift + b)]
+
+    rng = random.Random(8)
+    for n in [1, 2, 3, 40] * 15:
+        x = [rng.uniform(-1, 1) for _ in range(n)]
+        total = [0, *itertools.accumulate(x)]
+        at = [i for i, v in enumerate(x) if v > 0]
+        found = toxicity.segments(at, [total[i] for i in at], [total[i + 1] for i in at])
+        assert [(b, e) for b, e, _ in found] == best_first(x)
+
+
+def test_toxic_scan_is_linear():
+    """Totals that keep falling, and that fall and then rise above all: a scan that walks back over all segments would take hours."""
+    n = 200_000
+    falling = [-float(i) for i in range(n)]
+    start = time.monotonic()
+    assert len(toxicity.segments(list(range(n)), falling, [x + 0.5 for x in falling])) == n
+    rising = [float(i) for i in range(n)]
+    tops = [x + 0.5 for x in rising]
+    assert toxicity.segments([*range(n), n, n + 1], [*rising, -1.0, -0.5], [*tops, -0.9, n + 1.0])[-1][1] == n + 2
+    assert time.monotonic() - start < 20
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     rows = [(i, " ".join([f"w{rng.randrange(50)}" for _ in range(80)] + ["idiot moron"] * (i % 4 == 0)), None, None, 0, 0, "") for i in range(200)]
@@ -296,6 +328,35 @@ def test_warc_round_trip(spark, tmp_path):
     assert not torn.where("page_id = 1").first().complete
 
 
+def test_warc_revisits_name_real_records(spark, tmp_path):
+    body, other = "x" * 150, "z" * 40_000
+    rows = [(3, "u", body), (2, "b", body), (2, "a", body), (2, "a", body), (9, "c", body), (5, None, other), (6, "u", other), (None, "u", other)]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    records = warc.read_records(spark, path).cache()
+    names = [r.record_id for r in records.collect()]
+    assert len(names) == len(set(names))
+    assert {r.refers for r in records.where("record_type = 'revisit'").collect()} <= set(names)
+    pages = warc.read_pages(spark, path).collect()
+    assert len(pages) == len(rows) and all(r.complete for r in pages)
+    assert collections.Counter((r.page_id, r.refers_to, r.payload_bytes) for r in pages if r.record_type == "revisit") == {(3, 2, 150): 1, (9, 2, 150): 1, (6, 5, 40_000): 1, (None, 5, 40_000): 1}
+    missing = warc.resolved(warc.decoded(records.where("page_id is null or page_id <> 2 or record_type <> 'response'")))
+    torn = warc.resolved(warc.decoded(records.where("segment is null or segment <> 2")))
+    for left, lost in ((missing, {3, 9}), (torn, {5, 6, None})):
+        assert {r.page_id for r in left.where("not complete").select("page_id").collect()} == lost
+        with pytest.raises(Exception, match="broken record of page"):
+            warc.checked(left).collect()
+    records.unpersist()
+
+
+def test_warc_reassembly_is_linear(spark, tmp_path):
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame([(1, "u", "é" * (12 << 20))], "page_id long, url string, html string"), path)
+    start = time.monotonic()
+    page = warc.read_pages(spark, path).drop("payload").first()
+    assert page.complete and page.payload_bytes == 24 << 20 and time.monotonic() - start < 20  # 44 s and more where each segment copies all before it
+
+
 def test_odd_rows(odd):
     n = odd.count()
     for out in (substring.remove_repeats(odd), suffix.remove_repeats(odd), jaccard.near_copies(odd), quality.judge(odd), langid.languages(odd), lm.scores(odd)):
