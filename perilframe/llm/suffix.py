@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import by_hash, groups, run_of
-from .store import give_back, stored, with_keys
+from .store import condensed, give_back, stored, with_keys
 from .substring import ALONE, FOLDED, SETTLED, WHOLE, fold, repeated
 from .textio import BYTE, Texts, anchors, longs, mix, numbers, pieces, place, sliding
 
@@ -311,22 +311,40 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.select("key", "text", "starts", "first", "n").mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def dedup(keyed: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = stored(first_results(keyed.join(repeats(keyed, batches), "key", "left")), release=True)
-    still = rows.where(F.col("starts").isNotNull()).select("key", "text", "starts")
+def told_runs(still: DataFrame) -> DataFrame:
+    """hash, key, start, n, times, stands: the runs around repeated suffixes, how often each kind occurs, and one to stand for it."""
     runs = stored(run_rows(still))
-    same = stored(runs.groupBy("a", "b").agg(F.count("*").alias("times"), F.min(F.struct("key", "start")).alias("stand")))
-    told = stored(runs.join(same, ["a", "b"]).select("hash", "key", "start", "n", "times", (F.struct("key", "start") == F.col("stand")).alias("stands")))
+    same = stored(runs.groupBy("a", "b").agg(F.count("*").alias("times"), F.min(F.struct("key", "start")).alias("stand")), release=True)
+    return runs.join(same, ["a", "b"]).select("hash", "key", "start", "n", "times", (F.struct("key", "start") == F.col("stand")).alias("stands"))
+
+
+def listed_by_key(windows: DataFrame) -> DataFrame:
+    """key, first, n: the runs of windows of each text as two lists."""
+    per = windows.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("x"))  # of one text
+    return per.select("key", F.col("x.start").alias("first"), F.col("x.n").alias("n"))
+
+
+def repeated_windows(still: DataFrame) -> DataFrame:
+    """key, first, n: the runs of windows that occur elsewhere, of each text that has some."""
+    told = condensed(still.sparkSession, lambda: told_runs(still))
     open_suffixes = told.where("times = 1").select("hash").distinct()
     compare = told.where("stands").join(open_suffixes, "hash", "left_semi")  # one of each kind of run
-    lists = compare.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("x")).select("key", F.col("x.start").alias("first"), F.col("x.n").alias("n"))
-    listed = stored(still.select("key", "text").join(lists, "key"), release=True)
+    listed = stored(still.select("key", "text").join(listed_by_key(compare), "key"), release=True)
     cores = by_hash(core_rows(listed), ["hash"], "key long, start int", repeated).groupBy("key").agg(F.collect_set("start").alias("cores"))  # of one text
     windows = by_hash(window_rows(listed.join(cores, "key").select("key", "text", "first", "n", "cores")), ["a"], "key long, start int", twice)
-    gone = windows.select("key", "start", F.lit(1).alias("n")).unionByName(told.where("times > 1").select("key", "start", "n"))
-    per = gone.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("x")).select("key", F.col("x.start").alias("first"), F.col("x.n").alias("n"))
-    second = cut(still.join(per, "key", "left"))
+    return listed_by_key(windows.select("key", "start", F.lit(1).alias("n")).unionByName(told.where("times > 1").select("key", "start", "n")))
+
+
+def dedup(keyed: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256.
+
+    What is left on disk for the last step is one table of the texts that have repeats and one of the windows to remove.
+    """
+    spark = keyed.sparkSession
+    rows = condensed(spark, lambda: first_results(keyed.join(repeats(keyed, batches), "key", "left")))
+    still = rows.where(F.col("starts").isNotNull()).select("key", "text", "starts")
+    gone = condensed(spark, lambda: repeated_windows(still))
+    second = cut(still.join(gone, "key", "left"))
     first = rows.where(F.col("starts").isNull()).drop("text", "starts")
     return first.unionByName(second)
 
