@@ -4,9 +4,15 @@ A labelled table names the domain of some documents. A naive Bayes classifier ov
 labelled rows at most (those whose ids hash lowest), gives every document a posterior over the domains; its evidence is
 that of EVIDENCE words whatever the length, so memberships stay soft. With n_i tokens and posterior p_i, document i at
 rate r_i adds r_i * n_i * p_i to the expected domain totals. Rates are fitted by projected gradient least squares: from
-rate 1, steps follow the gradient of the squared misses, scaled by the D x D matrix of second moments of the documents
-with positive rate, and rates below 0 are set to 0, r_i = max(0, 1 - p_i . v). A step that doesn't lower the miss is
-halved. Each iteration is one aggregate of D + D * D sums over the stored posteriors.
+rate 1 on, every step moves each document's rate against the gradient of half the squared misses (as shares of all tokens,
+rates weighted by tokens, the gradient of a document is p_i . miss) and sets what falls below 0 to 0. Of the plain step in LENGTHS, and
+of the step scaled by the inverse of the D x D second moments of the documents with positive rate in SCALED, the one with the
+smallest misses is taken; the plain step of length 1 always lowers them, as the moments have trace 1 at most. A step is D numbers, so
+a document's rate is its posterior taken through the steps so far, in one generated expression; a round is two aggregates
+over the stored posteriors, of D * D sums and of D sums for each step that is tried.
+
+The fit ends within CLOSE of the targets, or where a round lowers the squared misses by less than GAIN of them: then no rates meet the
+targets, and those found are near the least misses. That miss, and one left after ROUNDS rounds, is told by a warning.
 
 Targets are shares by domain; they are scaled to the tokens of all documents. Null texts have no tokens and posterior
 equal to the prior; null labels, and labels without a target, teach nothing; a domain without training rows has posterior
@@ -17,6 +23,7 @@ repeated rows are rated like any others. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,8 +35,11 @@ from .store import stored
 SAMPLE = 50_000  # labelled rows to learn from, at most
 BUCKETS = 1 << 13  # words are hashed to this many features
 EVIDENCE = 40.0
-ROUNDS = 40
+ROUNDS = 60
 CLOSE = 1e-6  # miss, as a share of all tokens
+GAIN = 1e-4
+SCALED = (1.0, 0.5, 0.25, 0.0625)
+LENGTHS = (1.0, 4.0, 16.0, 64.0, 256.0)
 
 
 def tokens(text: str = "text") -> Column:
@@ -74,43 +84,58 @@ def posterior(text: str, prior: np.ndarray, weight: np.ndarray) -> tuple[Column,
     return F.size(tokens(text)).cast("long"), let(F.transform(tokens(text), bucket), lambda f: let(scores(f), softmax))
 
 
-def rate(p: str, v: np.ndarray) -> Column:
-    return F.greatest(F.lit(0.0), 1 - sum((F.get(p, F.lit(d)) * float(x) for d, x in enumerate(v)), F.lit(0.0)))
+def rate(p: str, steps: list[np.ndarray], start: Column | None = None) -> Column:
+    """The rate of a document with posterior ``p``: 1 (or ``start``), projected to 0 or more after every step."""
+    out = F.lit(1.0) if start is None else start
+    for v in steps:
+        out = F.greatest(F.lit(0.0), out - sum((F.get(p, F.lit(d)) * float(x) for d, x in enumerate(v)), F.lit(0.0)))
+    return out
 
 
-def fit_rates(rows: DataFrame, share: np.ndarray) -> np.ndarray:
-    """The v of the rates of ``n, p`` (tokens and posteriors)."""
+def fit_rates(rows: DataFrame, share: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """(the steps of the rates of ``n, p``, tokens and posteriors; the largest miss, as a share of all tokens)."""
     k = range(len(share))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    v, best, step = np.zeros(len(share)), None, np.zeros(len(share))
     if not total:
-        return v
-    size = 1.0
+        return [], 0.0
+
+    base = rows.select("n", *(F.get("p", F.lit(d)).alias(f"p{d}") for d in k), "p")
+
+    def means(own: DataFrame, columns: list[Column]) -> np.ndarray:
+        return np.array(own.agg(*(F.sum(F.col("n") * c) for c in columns)).first(), float).reshape(-1, len(share)) / total
+
+    steps: list[np.ndarray] = []
+    miss = means(base, [F.col(f"p{d}") for d in k])[0] - share
     for _ in range(ROUNDS):
-        own = rows.withColumn("r", rate("p", v + size * step)).withColumns({f"p{d}": F.get("p", F.lit(d)) for d in k})
-        sums = [F.sum(F.col("n") * F.col("r") * F.col(f"p{d}")) for d in k]
-        second = [F.sum(F.when(F.col("r") > 0, F.col("n") * F.col(f"p{d}") * F.col(f"p{e}")).otherwise(0.0)) for d in k for e in k]
-        got = np.array(own.agg(*sums, *second).first(), float) / total
-        miss, moments = got[: len(share)] - share, got[len(share) :].reshape(len(share), -1)
-        error = float(np.abs(miss).max())
-        if best is not None and error >= best * (1 - 1e-9):
-            size /= 2
-            if size < 1e-3:
-                break
-            continue
-        v, best, size = v + size * step, error, 1.0
-        if error < CLOSE:
+        if np.abs(miss).max() < CLOSE:
+            break
+        own = base.withColumn("r", rate("p", steps))
+        moments = means(own, [F.when(F.col("r") > 0, F.col(f"p{d}") * F.col(f"p{e}")).otherwise(0.0) for d in k for e in k])
+        scaled = np.linalg.lstsq(moments + 1e-9 * np.eye(len(share)), miss, rcond=None)[0]
+        tried = [*(x * scaled for x in SCALED), *(x * miss for x in LENGTHS)]
+        ahead = own.withColumns({f"r{j}": rate("p", [v], F.col("r")) for j, v in enumerate(tried)})
+        misses = means(ahead, [F.col(f"r{j}") * F.col(f"p{d}") for j in range(len(tried)) for d in k]) - share
+        best = int((misses**2).sum(1).argmin())
+        if misses[best] @ misses[best] > (1 - GAIN) * (miss @ miss):
             break
-        step = np.linalg.lstsq(moments + 1e-9 * np.eye(len(share)), miss, rcond=None)[0]
-    return v
+        steps, miss = [*steps, tried[best]], misses[best]
+    return steps, float(np.abs(miss).max())
+
 
+def mixed(docs: DataFrame, labels: DataFrame, label: str, targets: dict[str, float], keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with llm_n_tokens, llm_posterior (in the order of the sorted targets) and llm_rate.
 
-def mixed(docs: DataFrame, labels: DataFrame, label: str, targets: dict[str, float]) -> DataFrame:
-    """``docs`` with llm_n_tokens, llm_posterior (in the order of the sorted targets) and llm_rate."""
+    With ``keep`` only those columns of ``docs`` are returned; they are stored with the posteriors, and each text is read
+    and classified once. Without, texts are not written a second time, but classified again when the result is read.
+    """
     domains = sorted(targets)
     share = np.array([targets[d] for d in domains], float)
     prior, weight = learn(docs, labels, label, domains)
     n, p = posterior("text", prior, weight)
-    rows = stored(docs.select(n.alias("n"), p.alias("p")))
-    v = fit_rates(rows, share / share.sum())
-    return docs.withColumns({"llm_n_tokens": n, "llm_posterior": p}).withColumn("llm_rate", rate("llm_posterior", v))
+    own = docs.select(*(keep or ()), n.alias("llm_n_tokens"), p.alias("llm_posterior"))
+    rows = stored(own)
+    steps, miss = fit_rates(rows.select(F.col("llm_n_tokens").alias("n"), F.col("llm_posterior").alias("p")), share / share.sum())
+    if miss >= CLOSE:
+        warnings.warn(f"rates miss the targets by up to {miss:.2g} of all tokens", stacklevel=2)
+    out = docs.withColumns({"llm_n_tokens": n, "llm_posterior": p}) if keep is None else rows
+    return out.withColumn("llm_rate", rate("llm_posterior", steps))

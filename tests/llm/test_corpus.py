@@ -10,6 +10,7 @@ import time
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,6 +309,77 @@ def test_mixing_meets_its_targets(spark):
     assert all(r.llm_rate >= 0 and sum(r.llm_posterior) == pytest.approx(1) for r in out) and len(out) == 121
 
 
+def brute_posteriors(texts, train, domains):
+    """Posteriors by plain counting: (lower-cased words by domain, 0.5 added over the hashed features, evidence of 40 words)."""
+    counts = {d: collections.Counter(w for i in train[d] for w in texts[i].lower().split()) for d in domains}
+    known = sum(len(v) for v in train.values())
+    out = []
+    for t in texts:
+        words = t.lower().split()
+        logs = []
+        for d in domains:
+            size = sum(counts[d].values()) + 0.5 * mixing.BUCKETS
+            logs.append(math.log(len(train[d]) / known) + mixing.EVIDENCE * sum(math.log((counts[d][w] + 0.5) / size) for w in words) / max(1, len(words)))
+        e = [math.exp(x - max(logs)) for x in logs]
+        out.append([x / sum(e) for x in e])
+    return np.array(out)
+
+
+def test_mixing_against_brute_force(spark):
+    rng = random.Random(12)
+    domains = ["x", "y", "z"]
+    own = {d: [f"{d}{i}" for i in range(12)] for d in domains}
+    kinds = [rng.choice(domains) for _ in range(150)]
+    texts = [" ".join(rng.choice(own[d] if rng.random() < 0.8 else own[rng.choice(domains)]) for _ in range(rng.randint(1, 40))) for d in kinds]
+    docs = spark.createDataFrame([(i, t, None, None, 0, 0, "") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    labels = spark.createDataFrame([(i, d) for i, d in enumerate(kinds) if i < 90], "doc_id long, kind string")
+    words = {w for ws in own.values() for w in ws}
+    assert spark.createDataFrame([(w,) for w in words], "w string").select(mixing.bucket("w")).distinct().count() == len(words)  # none shares a feature
+    p = brute_posteriors(texts, {d: [i for i in range(90) if kinds[i] == d] for d in domains}, domains)
+    n = np.array([len(t.split()) for t in texts])
+    for shares in ({"x": 0.2, "y": 0.5, "z": 0.3}, {"x": 0.9, "y": 0.05, "z": 0.05}):
+        out = mixing.mixed(docs, labels, "kind", shares, keep=["doc_id"])
+        assert out.columns == ["doc_id", "llm_n_tokens", "llm_posterior", "llm_rate"]
+        got = sorted(out.collect())
+        assert [r.llm_n_tokens for r in got] == n.tolist()
+        np.testing.assert_allclose([r.llm_posterior for r in got], p, rtol=1e-6, atol=1e-9)
+        t = np.array([shares[d] for d in domains])
+        rate = np.array([r.llm_rate for r in got])
+        assert rate.min() >= 0 and np.abs((n * rate) @ p / n.sum() - t).max() < 2e-6
+        plain = np.ones(len(n))  # plain projected gradient, taken as far as it goes
+        for _ in range(40_000):
+            plain = np.maximum(0, plain - p @ ((n * plain) @ p / n.sum() - t))
+        assert np.abs((n * plain) @ p / n.sum() - t).max() < 2e-6
+        if plain.min() > 1e-3:  # nothing projected: the way from 1 is unique
+            np.testing.assert_allclose(rate, plain, atol=1e-3)
+
+
+def test_mixing_rates_are_projected_and_misses_told(spark):
+    rng = random.Random(13)
+    p0 = [rng.random() for _ in range(200)]
+    n = [rng.randint(1, 50) for _ in p0]
+    rows = spark.createDataFrame([(m, [x, 1 - x]) for m, x in zip(n, p0, strict=True)], "n long, p array<double>")
+    p, n = np.array([[x, 1 - x] for x in p0]), np.array(n)
+    for shares, reached in (([0.1, 0.9], True), ([0.0, 1.0], False)):
+        steps, miss = mixing.fit_rates(rows, np.array(shares))
+        got = np.array([r[0] for r in rows.select(mixing.rate("p", steps)).collect()])
+        rate = np.ones(len(n))
+        for v in steps:
+            rate = np.maximum(0, rate - p @ v)
+        np.testing.assert_allclose(np.sort(got), np.sort(rate), atol=1e-9)
+        told = (n * rate) @ p / n.sum() - shares
+        assert (rate == 0).any() and np.abs(told).max() == pytest.approx(miss, abs=1e-9) and (miss < mixing.CLOSE) == reached
+        plain = np.ones(len(n))
+        for _ in range(40_000):
+            plain = np.maximum(0, plain - p @ ((n * plain) @ p / n.sum() - shares))
+        best = np.abs((n * plain) @ p / n.sum() - shares).max()
+        assert miss <= best + 1e-3
+    labels = spark.createDataFrame([(0, "a"), (1, "b")], "doc_id long, kind string")
+    docs = spark.createDataFrame([(0, "u v", None, None, 0, 0, ""), (1, "w x", None, None, 0, 0, "")], SCHEMA)
+    with pytest.warns(UserWarning, match="rates miss the targets"):
+        mixing.mixed(docs, labels, "kind", {"a": 0.5, "b": 0.25, "c": 0.25})
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "\r\n\r\nWARC/1.1 é" * 6000
     rows = [(1, "http://a b", big), (2, None, "x" * 150), (3, "u", "x" * 150), (4, "u", "y"), (5, "u", "y"), (6, "u", None), (7, "u", ""), (None, "u", "x" * 150), (2, None, "x" * 150)]
