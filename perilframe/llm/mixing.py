@@ -5,10 +5,11 @@ labelled rows at most (those whose ids hash lowest), gives every document a post
 that of EVIDENCE words whatever the length, so memberships stay soft. With n_i tokens and posterior p_i, document i at
 rate r_i adds r_i * n_i * p_i to the expected domain totals. Rates are fitted by projected gradient least squares: from
 rate 1 on, every step moves each document's rate against the gradient of half the squared misses (as shares of all tokens,
-rates weighted by tokens, the gradient of a document is p_i . miss) and sets what falls below 0 to 0. Of the plain step in LENGTHS, and
-of the step scaled by the inverse of the D x D second moments of the documents with positive rate in SCALED, the one with the
-smallest misses is taken; the plain step of length 1 always lowers them, as the moments have trace 1 at most. A step is D numbers, so
-a document's rate is its posterior taken through the steps so far, in one generated expression; a round is two aggregates
+rates weighted by tokens, the gradient of a document is p_i . miss) and sets what falls below 0 to 0. Of the plain step in LENGTHS, alone
+or with a part (KEPT) of the step before, and of the step scaled by the inverse of the D x D second moments of the documents with
+positive rate in SCALED, the one with the smallest misses is taken; the plain step of length 1 always lowers them, as the moments have
+trace 1 at most. A step is D numbers, so a document's rate is its posterior taken through the steps so far; rates are stored every CHAIN
+steps, and the steps since are one generated expression. A round is two aggregates
 over the stored posteriors, of D * D sums and of D sums for each step that is tried.
 
 The fit ends within CLOSE of the targets, or where a round lowers the squared misses by less than GAIN of them: then no rates meet the
@@ -40,6 +41,8 @@ CLOSE = 1e-6  # miss, as a share of all tokens
 GAIN = 1e-4
 SCALED = (1.0, 0.5, 0.25, 0.0625)
 LENGTHS = (1.0, 4.0, 16.0, 64.0, 256.0)
+KEPT = (0.5, 0.9)  # of the step before
+CHAIN = 8  # steps in one expression
 
 
 def tokens(text: str = "text") -> Column:
@@ -99,20 +102,25 @@ def fit_rates(rows: DataFrame, share: np.ndarray) -> tuple[list[np.ndarray], flo
     if not total:
         return [], 0.0
 
-    base = rows.select("n", *(F.get("p", F.lit(d)).alias(f"p{d}") for d in k), "p")
+    base = rows.select("n", *(F.get("p", F.lit(d)).alias(f"p{d}") for d in k), "p", F.lit(1.0).alias("r"))
 
     def means(own: DataFrame, columns: list[Column]) -> np.ndarray:
         return np.array(own.agg(*(F.sum(F.col("n") * c) for c in columns)).first(), float).reshape(-1, len(share)) / total
 
     steps: list[np.ndarray] = []
+    done = 0  # steps in the stored rates
     miss = means(base, [F.col(f"p{d}") for d in k])[0] - share
     for _ in range(ROUNDS):
         if np.abs(miss).max() < CLOSE:
             break
-        own = base.withColumn("r", rate("p", steps))
+        if len(steps) - done == CHAIN:  # else every round would generate and run all steps again
+            base, done = stored(base.withColumn("r", rate("p", steps[done:], F.col("r")))), len(steps)
+        own = base.withColumn("r", rate("p", steps[done:], F.col("r")))
         moments = means(own, [F.when(F.col("r") > 0, F.col(f"p{d}") * F.col(f"p{e}")).otherwise(0.0) for d in k for e in k])
         scaled = np.linalg.lstsq(moments + 1e-9 * np.eye(len(share)), miss, rcond=None)[0]
         tried = [*(x * scaled for x in SCALED), *(x * miss for x in LENGTHS)]
+        if steps:
+            tried += [x * miss + y * steps[-1] for x in LENGTHS[:-1] for y in KEPT]
         ahead = own.withColumns({f"r{j}": rate("p", [v], F.col("r")) for j, v in enumerate(tried)})
         misses = means(ahead, [F.col(f"r{j}") * F.col(f"p{d}") for j in range(len(tried)) for d in k]) - share
         best = int((misses**2).sum(1).argmin())

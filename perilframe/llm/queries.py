@@ -8,7 +8,6 @@ from . import audit, decontam, jaccard, langid, lm, merkle, mixing, periods, qua
 from .store import read
 
 QUALITY_SHARES = {"0": 0.05, "1": 0.95}  # target shares of tokens by labels.quality
-KIND_SHARES = {"good": 0.9, "plain": 0.095, "toxic": 0.005}  # by both labels; some documents get rate 0
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -59,9 +58,9 @@ def op6_quality_rules(spark, folder):
 
 @query
 def op7_mixing(spark, folder):
-    labels = read(spark, folder, "labels").withColumn("kind", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("plain"))
-    out = mixing.mixed(read(spark, folder, "documents").select("doc_id", "text"), labels, "kind", KIND_SHARES, keep=["doc_id"])
-    names = {f"p_{d}": F.get("llm_posterior", F.lit(i)) for i, d in enumerate(sorted(KIND_SHARES))}
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    out = mixing.mixed(docs, read(spark, folder, "labels"), "quality", QUALITY_SHARES, keep=["doc_id"])
+    names = {f"p_quality_{d}": F.get("llm_posterior", F.lit(i)) for i, d in enumerate(sorted(QUALITY_SHARES))}
     return out.select("doc_id", F.col("llm_n_tokens").alias("n_tokens"), *(c.alias(n) for n, c in names.items()), F.col("llm_rate").alias("rate"))
 
 
