@@ -163,3 +163,17 @@ def test_closest_approach_at_any_radius(rows, radius):
                 want[i, j % 4] = min(want.get((i, j % 4), (1e9, 0, 0)), (round(km(p, q), 6), j, 50 + j))
     assert got.keys() == want.keys()
     assert all(abs(got[k][0] - want[k][0]) < 1e-4 for k in want)
+
+
+@pytest.mark.parametrize("spread", [1.0, 0.0])
+def test_copies_are_bounded_where_all_reach_all(rows, monkeypatch, spread):
+    """Leaves, or parts of one hot position, grow with the left rows instead of the copies of a right row; the pairs are all there."""
+    rnd = random.Random(12)
+    a = rows([(i, 27 + spread * rnd.random(), -82 + spread * rnd.random()) for i in range(400)], "a int, lat double, lon double")
+    b = rows([(i, 27 + rnd.random(), -82 + rnd.random()) for i in range(300)], "b int, track_lat double, track_lon double")
+    covers, whole = [], celltree.cover
+    monkeypatch.setattr(celltree, "cover", lambda circles, tree, start: covers.append(whole(circles, tree, start)) or covers[-1])
+    near = spatial.radius_join(a, b, 400.0, most=1, share=1)
+    assert near.select("a", "b").distinct().count() == near.count() == 400 * 300
+    sent = max(c.where("b is not null").agg(F.sum("_parts")).first()[0] for c in covers if "b" in c.columns)
+    assert sent <= 300 * 4 * spatial.COPIES  # a split makes four leaves at once
