@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, draws
 from .ranking import column_quantiles, positions, running_totals, value_counts
-from .support import short_list
+from .support import short_list, task_count
 
 PROBABILITY_FLOOR = 2.220446049250313e-16
 
@@ -104,24 +104,20 @@ def bootstrap_intervals(
 ) -> DataFrame:
     """Percentile intervals of MAE and RMSE: (metric, lower, upper, mean).
 
-    Each of n slots of each replicate draws a row number by arithmetic hash. The
-    draws are folded to (replicate, row, times) before they meet the rows, and
-    the join key is uniform by construction.
+    Each of n slots of each replicate draws a row number by arithmetic hash. All draws cross one shuffle, dealt by the row
+    number, which is uniform by construction; the rows of a partition are its hash table, and what leaves the task is one sum per
+    replicate. No draw is sorted or counted, and no task holds more than its share of the rows.
     """
     a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     rows = df.where(a.isNotNull() & p.isNotNull() & ~F.isnan(a) & ~F.isnan(p))
-    rows = positions(rows.select(key, (p - a).alias("_err")), key)
+    rows = positions(rows.select(key, (p - a).alias("_err")), key).select("position", "_err")
     size = rows.agg(F.count("*")).scalar()
-    slots = rows.select(
-        F.col("position").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
-    )
-    drawn = F.pmod(draws.mixed(F.col("rep"), F.col("slot"), seed), size)
-    times = slots.groupBy("rep", drawn.alias("position")).agg(F.count("*").alias("times"))
-    hits = times.join(rows.select("position", "_err"), "position")
-    per_rep = hits.groupBy("rep").agg(
-        (F.sum(F.abs("_err") * F.col("times")) / F.sum("times")).alias("mae"),
-        F.sqrt(F.sum(F.col("_err") * F.col("_err") * F.col("times")) / F.sum("times")).alias("rmse"),
-    )
+    # few rows make many draws: the tasks are dealt before, not as the input's size suggests
+    slots = rows.select(F.col("position").alias("slot")).repartition(task_count(df.sparkSession), "slot")
+    slots = slots.select("slot", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    drawn = slots.select("rep", F.pmod(draws.mixed(F.col("rep"), F.col("slot"), seed), size).alias("position"))
+    hits = drawn.join(rows.hint("shuffle_hash"), "position")
+    per_rep = hits.groupBy("rep").agg(F.avg(F.abs("_err")).alias("mae"), F.sqrt(F.avg(F.col("_err") * F.col("_err"))).alias("rmse"))
     tail = (1 - level) / 2
     # As many values as replicates: the built-in percentile is safe here.
     return (

@@ -187,3 +187,24 @@ def test_registered_learners_have_their_default_sizes(monkeypatch):
         with pytest.raises(Fitted) as e:
             build(None)
         assert e.value.args[0] == options
+
+
+def test_bootstrap_draws_are_neither_counted_nor_made_in_one_task(rows):
+    n, reps, m = 40, 30, 2147483647
+    err = [((i * 37) % 11 - 5) / 10 for i in range(n)]
+    df = rows([(i, 0.0, e) for i, e in enumerate(err)], "id int, y double, p double").coalesce(1)
+
+    def drawn(rep, slot):
+        start = (rep * 48271 + slot * 69621 + 7 * 40692) % m
+        once = start * (start + 16807) % m
+        return err[(once * (once + 48271) + start) % m % n]
+
+    sets = [[drawn(r, i) for i in range(n)] for r in range(reps)]
+    values = {"mae": [np.mean(np.abs(x)) for x in sets], "rmse": [np.sqrt(np.mean(np.square(x))) for x in sets]}
+    out = metrics.bootstrap_intervals(df, "y", "p", "id", replicates=reps, seed=7)
+    for r in out.collect():
+        v = values[r.metric]
+        assert (r.lower, r.upper, r.mean) == pytest.approx((np.percentile(v, 2.5), np.percentile(v, 97.5), np.mean(v)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "REPARTITION_BY_NUM" in plan
+    assert not re.search(r"Aggregate\(keys=\[[^\]]*position", plan)
