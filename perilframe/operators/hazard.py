@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, hazard, labels
 from ..functions.times import utc_seconds
 from .ranking import positions
-from .spatial import SITE, grid_key, radius_join, sites_of, snap_to_grid, to_locations
+from .spatial import SITE, grid_join, grid_key, radius_join, sites_of, snap_to_grid, to_locations
 from .support import require_columns
 
 WIND_THRESHOLDS_KT = (34, 50, 64, 100)
@@ -180,9 +180,30 @@ CLIMATE_AGGREGATES = {
 }
 
 
-def climate_per_location(joined: DataFrame) -> DataFrame:
-    """Pressure and wind statistics per location over an already joined table."""
-    return joined.groupBy("location_id").agg(*[f().alias(n) for n, f in CLIMATE_AGGREGATES.items()])
+def climate_per_location(joined: DataFrame, **more) -> DataFrame:
+    """Pressure and wind statistics per location over an already joined table, and ``more`` of one's own."""
+    return joined.groupBy("location_id").agg(*[f().alias(n) for n, f in CLIMATE_AGGREGATES.items()], *[c.alias(n) for n, c in more.items()])
+
+
+def climate_from_joined_rows(locations: DataFrame, grid: DataFrame) -> DataFrame:
+    """The statistics over the joined rows of ``grid_join``, made once for each cell in which locations stand.
+
+    Locations in one cell have the same joined rows, so a cell is joined as one site: as many joined rows as the grid has, not times the
+    locations of a cell. Rows that share a location id are one location: their cells' means are weighted by the values behind them.
+    """
+    snapped = snap_to_grid(locations.select("location_id", "lat", "lon"), grid).withColumn("_cell", grid_key("grid_lat", "grid_lon"))
+    sites = snapped.groupBy(F.col("_cell").alias("location_id")).agg(F.min("grid_lat").alias("lat"), F.min("grid_lon").alias("lon"))
+    values = {f"_n_{c}": F.count(c) for c in ("mslp_hpa", "wind_speed_ms")}
+    cells = climate_per_location(grid_join(sites, grid), **values).withColumnRenamed("location_id", "_cell")
+
+    def mean(name: str, column: str):
+        n = F.sum(f"_n_{column}")
+        return (F.sum(F.col(name) * F.col(f"_n_{column}")) / F.nullif(n, F.lit(0))).alias(name)
+
+    return snapped.select("location_id", "_cell").join(cells, "_cell").groupBy("location_id").agg(
+        mean("mslp_hpa_mean", "mslp_hpa"), F.min("mslp_hpa_min").alias("mslp_hpa_min"),
+        mean("era5_wind_speed_ms_mean", "wind_speed_ms"), F.max("era5_wind_speed_ms_max").alias("era5_wind_speed_ms_max"),
+    )
 
 
 def climate_by_cell(locations: DataFrame, grid: DataFrame) -> DataFrame:

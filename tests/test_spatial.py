@@ -177,3 +177,23 @@ def test_copies_are_bounded_where_all_reach_all(rows, monkeypatch, spread):
     assert near.select("a", "b").distinct().count() == near.count() == 400 * 300
     sent = max(c.where("b is not null").agg(F.sum("_parts")).first()[0] for c in covers if "b" in c.columns)
     assert sent <= 300 * 4 * spatial.COPIES  # a split makes four leaves at once
+
+
+def test_climate_from_joined_rows_joins_a_cell_once(rows):
+    nan = float("nan")
+    obs = [(25.0, -80.0, 1, 1000.0, 3.0), (25.0, -80.0, 2, None, 5.0), (27.0, -82.0, 1, 990.0, None), (27.0, -82.0, 2, 994.0, nan), (27.0, -82.0, 3, 1.0, 2.0), (29.0, -84.0, 1, None, None)]
+    grid = rows(obs, "lat double, lon double, obs_ts int, mslp_hpa double, wind_speed_ms double")
+    stands = [(1, 25.1, -80.1), (2, 24.8, -79.9), (3, 26.9, -82.1), (4, 29.0, -84.0), (5, 25.0, -82.0), (6, None, -80.0)]
+    stands += [(7, 25.0, -80.0), (7, 27.0, -82.0), (7, 27.0, -82.0), (None, 25.0, -80.0), (None, 27.0, -82.0), (2, 24.8, -79.9)]  # ids in two cells, or none
+    loc = rows(stands, "location_id int, lat double, lon double")
+    told = lambda df: sorted((str(r.location_id), *(round(v, 9) if v is not None else -1.0 for v in r[1:])) for r in df.na.fill(-2.0).select("location_id", *hazard.CLIMATE_AGGREGATES).collect())
+    out = hazard.climate_from_joined_rows(loc, grid)
+    assert str(told(out)) == str(told(hazard.climate_per_location(spatial.grid_join(loc, grid)))) and out.count() == 7
+    many = loc.crossJoin(rows([(i,) for i in range(50)], "copy int")).selectExpr("location_id + 10 * copy as location_id", "lat", "lon")
+    seen = []
+    real, hazard.grid_join = hazard.grid_join, lambda a, b: seen.append(real(a, b)) or seen[0]
+    try:
+        hazard.climate_from_joined_rows(many, grid)
+    finally:
+        hazard.grid_join = real
+    assert seen[0].count() <= grid.count()
