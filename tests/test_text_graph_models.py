@@ -208,3 +208,24 @@ def test_bootstrap_draws_are_neither_counted_nor_made_in_one_task(rows):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "REPARTITION_BY_NUM" in plan
     assert not re.search(r"Aggregate\(keys=\[[^\]]*position", plan)
+
+
+def test_a_pass_over_training_rows_keeps_the_cores_busy():
+    assert [models.learning_tasks(n, 12) for n in (0, 1, 25_000, 100_000, 504_000, 3_000_000, 5_000_000)] == [1, 1, 1, 4, 12, 12, 24]
+    assert models.learning_tasks(504_000, 1) == 3  # one of many fits at a time
+
+
+def test_report_scores_a_row_once(rows, monkeypatch):
+    rnd = np.random.default_rng(3)
+    data = [(float(a), float(b), int(a + b > 0)) for a, b in rnd.normal(size=(200, 2))]
+    df = rows(data, "lat double, lon double, had_claim int")
+    model = models.ClaimClassifier.fit(df, trees=3, depth=2)
+    stored = []
+    monkeypatch.setattr(models, "cut_lineage", lambda d, f=models.cut_lineage: stored.append(d.columns) or f(d))
+    report = models.claim_report(model, df, df)
+    assert stored == [["had_claim", "p_first", "p_second", "p_blend"]] * 2
+    got = {(r.part, r.learner): (r.n, r.brier, r.auc) for r in report.collect()}
+    assert len(got) == 6
+    for learner in ("p_first", "p_second", "p_blend"):
+        want = metrics.classification_metrics(model.predict(df), "had_claim", learner).first()
+        assert got["train", learner] == got["test", learner] == pytest.approx((want.n, want.brier, want.auc))
