@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import text
 from ..operators.ranking import dedupe_keep_last
+from ..operators.support import dealt, tasks_for
 from .common import tidy
 from .q_joins import TOP_K_SQL, top_hits
 from .registry import query
@@ -72,12 +73,14 @@ NUMBERS_SQL = """nums AS (SELECT l_orderkey AS doc_id, cast(cast(l_quantity*case
                sum(case when lacks then times else 0 end) <= 2 AS passed FROM f GROUP BY doc_id""",
 )
 def i5(t):
-    lines = t.raw("lineitem")
+    raw = t.raw("lineitem")
+    tasks = tasks_for(raw)
+    lines = dealt(raw.select("l_orderkey", "l_linenumber", "l_quantity", "l_tax"), tasks, "l_orderkey")
     factor = F.when(F.col("l_linenumber") == 1, 100).when(F.col("l_linenumber") == 2, 1).otherwise(3)
     norm = (F.col("l_quantity") * factor).cast("long").cast("string")
     nums = lines.groupBy(F.col("l_orderkey").alias("doc_id"), norm.alias("norm")).agg(F.count("*").alias("times"))
     allow = lines.where("l_tax < 0.05D").select(F.col("l_orderkey").alias("doc_id"), F.col("l_quantity").cast("long").cast("string").alias("norm"))
-    return text.ground_numbers(nums, allow)
+    return text.ground_numbers(nums, allow, tasks=tasks)
 
 
 @query("i5_grounded_documents")
@@ -98,7 +101,9 @@ PAYLOAD_NUMBERS_SQL = """p AS (SELECT l_orderkey AS doc_id, to_json({'in_2024':
 def payloads(t):
     note = F.concat(F.lit("ship "), F.col("l_linenumber"), F.lit(' of "'), F.col("l_suppkey"), F.lit('" now'))
     line = F.struct(F.col("l_quantity").cast("long").alias("quantity"), note.alias("note"), F.struct(F.array("l_extendedprice", "l_tax").alias("prices")).alias("deep"))
-    per = t.raw("lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(line).alias("in_2024"))  # the lines of one order
+    lines = t.raw("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax")
+    # an order's lines, its payload and the numbers in it stay in one task
+    per = dealt(lines, tasks_for(lines), "l_orderkey").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(line).alias("in_2024"))  # the lines of one order
     return per.select("doc_id", F.to_json(F.struct("in_2024", F.lit(True).alias("open"))).alias("payload"))
 
 

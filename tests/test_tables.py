@@ -172,3 +172,27 @@ def test_folds_are_balanced(spark):
     df = spark.range(1950, 2024).select(F.col("id").cast("int").alias("year"))
     counts = Counter(r.fold for r in splits.year_folds(df).collect())
     assert sorted(counts.values()) == [14, 15, 15, 15, 15]
+
+
+def test_large_joins_are_dealt_by_their_size(spark, rows, tmp_path, monkeypatch):
+    from perilframe.catalog import q_text, tables
+
+    lines = [(o, n, 7 + n, float(10 * n), 100.0 * o + n, 0.01 * n, 0.02 * n, "1996-03-0%d" % n) for o in range(1, 9) for n in range(1, 4)]
+    schema = "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate string"
+    rows(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows([(o, o % 3) for o in range(1, 9)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    table = rows([(i,) for i in range(100)], "i int")
+    assert support.tasks_for(table, 1) == 100 and support.tasks_for(table) is None
+    t = tables.Tables(spark, str(tmp_path))
+    told = lambda df: sorted(map(str, df.collect()))
+    builds = {"claims": lambda: tables.Tables(spark, str(tmp_path)).claims, "numbers": lambda: q_text.i5(t), "payloads": lambda: q_text.i5_payloads(t)}
+    small = {name: told(build()) for name, build in builds.items()}
+    for module in (tables, q_text):
+        monkeypatch.setattr(module, "tasks_for", lambda df, rows=0: 37)
+    for name, build in builds.items():
+        df = build()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert told(df) == small[name] and len(small[name]) >= 8
+        wide = {"claims": 2, "numbers": 5, "payloads": 1}[name]  # no sort or join of them is left to the fixed number
+        assert plan.count(", 37), REPARTITION_BY_NUM") >= wide, plan
+        assert plan.count("ENSURE_REQUIREMENTS") <= (name == "numbers"), plan
