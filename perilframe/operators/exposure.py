@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hazard import location_years
-from .support import add_default_columns, require_columns
+from .support import add_default_columns, dealt, require_columns
 
 HISTORY = [
     "historical_claim_count",
@@ -73,9 +73,10 @@ def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def training_targets(claims: DataFrame, first_year: int, last_year: int, date: str = "loss_date") -> DataFrame:
+def training_targets(claims: DataFrame, first_year: int, last_year: int, date: str = "loss_date", tasks: int | None = None) -> DataFrame:
     """Loss, largest ratio and count per (location, year) inside the year range."""
     in_range = claims.withColumn("year", F.year(date)).where(F.col("year").between(first_year, last_year))
+    in_range = dealt(in_range, tasks, "location_id", "year")
     return in_range.groupBy("location_id", "year").agg(
         F.sum("incurred_loss_usd").alias("incurred_loss_usd"),
         F.max("damage_ratio").alias("max_damage_ratio"),
@@ -84,17 +85,17 @@ def training_targets(claims: DataFrame, first_year: int, last_year: int, date: s
 
 
 def training_table(
-    features: DataFrame, claims: DataFrame, yearly_sst: DataFrame | None, first_year: int, last_year: int
+    features: DataFrame, claims: DataFrame, yearly_sst: DataFrame | None, first_year: int, last_year: int, tasks: int | None = None
 ) -> DataFrame:
     """Complete (location, year) grid with static features, yearly covariates and claim targets.
 
     Targets are joined to bare keys, features last, so the wide rows are shuffled
-    on location_id only once.
+    on location_id only once. Large tables name the ``tasks`` over which claims and grid are dealt to meet.
     """
     require_columns(features, ["location_id", "construction_class", "roof_type", "tiv_usd"], "features")
     require_columns(claims, ["claim_id", "location_id", "loss_date", "incurred_loss_usd", "damage_ratio"], "claims")
-    grid = location_years(features, first_year, last_year)
-    targets = training_targets(claims, first_year, last_year)
+    grid = dealt(location_years(features, first_year, last_year), tasks, "location_id", "year")
+    targets = training_targets(claims, first_year, last_year, tasks=tasks)
     table = grid.join(targets, ["location_id", "year"], "left").na.fill(
         0, ["incurred_loss_usd", "max_damage_ratio", "claim_count_in_year"]
     )

@@ -196,3 +196,14 @@ def test_large_joins_are_dealt_by_their_size(spark, rows, tmp_path, monkeypatch)
         wide = {"claims": 2, "numbers": 5, "payloads": 1}[name]  # no sort or join of them is left to the fixed number
         assert plan.count(", 37), REPARTITION_BY_NUM") >= wide, plan
         assert plan.count("ENSURE_REQUIREMENTS") <= (name == "numbers"), plan
+
+
+def test_training_table_is_dealt_over_named_tasks(rows):
+    loc = rows([(i, "frame", "hip", 1.0) for i in range(6)], "location_id int, construction_class string, roof_type string, tiv_usd double")
+    data = [(i, i % 5, f"199{5 + i % 3}-02-01", float(i), 0.1 * i) for i in range(40)]
+    claims = rows(data, "claim_id int, location_id int, loss_date string, incurred_loss_usd double, damage_ratio double")
+    plain, wide = (exposure.training_table(loc, claims, None, 1995, 1999, tasks=n) for n in (None, 37))
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 37), REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+    told = lambda df: sorted(map(str, df.collect()))
+    assert told(plain) == told(wide) and wide.count() == 30
