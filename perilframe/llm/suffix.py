@@ -25,33 +25,33 @@ from pyspark.sql import functions as F
 from .exchange import by_hash, groups, run_of
 from .store import condensed, give_back, stored, with_keys
 from .substring import ALONE, FOLDED, SETTLED, WHOLE, fold, repeated
-from .textio import BYTE, Texts, anchors, longs, mix, numbers, pieces, place, sliding
+from .textio import BYTE, Texts, longs, mix, numbers, pieces, place, sliding
 
 SPAN = 200
 GRAM = 64
 CORE = 184  # gram of the second look, which neighbouring windows share
 BATCHES = 2  # documents are indexed in so many parts
+HASHED = 1 << 16  # bytes of text hashed at once: hashes of each byte, several times over, fit a core's cache
 COPIED = -2  # start of the entry of a text that later ones equal
 LEVEL = 3  # kind of a row that goes to the new level
 STAYS = 10  # added to the kind of a row of a level that is not rewritten
 
 
-def rolling(data: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Hash of the k bytes from each position on, from hashes of powers of two."""
+def rolling(data: np.ndarray, k: int, seed: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the k bytes from each position on, or from each of ``at``, from hashes of powers of two."""
     c = numbers(64, seed)
     power, n, out, done = BYTE[data] * c[0] + c[1], 1, None, 0
     while True:
         if k & n:
-            if out is None:
-                out, done = power, n
-            else:
-                m = len(power) - done
-                out = out[:m] * c[2 * done % 61 + 2] + power[done : done + m] if m > 0 else out[:0]
-                done += n
+            more = power[done:] if at is None else power[at + done]
+            out = more if out is None else out[: len(more)] * c[2 * done % 61 + 2] + more
+            done += n
         if done == k:
             return mix(out)
         m = max(0, len(power) - n)
-        power = power[:m] * c[n.bit_length() + 32] + power[n : n + m]
+        longer = power[:m] * c[n.bit_length() + 32]
+        longer += power[n : n + m]
+        power = longer
         n *= 2
 
 
@@ -60,26 +60,31 @@ class Runs:
 
     def __init__(self, texts: Texts, k: int = GRAM):
         width = SPAN - k + 1
-        size = np.diff(texts.at)
-        gram = rolling(texts.data, k, 21) if len(texts.data) >= SPAN else np.zeros(0, np.uint64)
-        low = sliding(np.minimum, gram, width) if len(gram) >= width else np.zeros(0, np.uint64)
-        doc = np.repeat(np.arange(texts.n), size)[: len(low)]
-        inside = np.arange(len(low)) + SPAN <= texts.at[doc + 1]
-        at = np.flatnonzero(inside)
-        value, owner = low[at], doc[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        gram = rolling(texts.data, k, 21) | np.uint64(1) if len(texts.data) >= SPAN else np.zeros(0, np.uint64)
+        at = np.arange(len(gram))
+        valid = at + k <= np.repeat(texts.at[1:], np.diff(texts.at))[: len(gram)]
+        low = sliding(np.minimum, np.where(valid, gram, np.uint64(0)), width) if len(gram) >= width else np.zeros(0, np.uint64)
+        new = low != 0  # else the window is not of one text
+        new[1:] &= low[1:] != low[:-1]
         begin = np.flatnonzero(new)
-        place_in = np.arange(len(at)) - begin[np.cumsum(new) - 1] if len(at) else at
-        begin = np.flatnonzero(place_in % width == 0)  # equal grams close by make long runs
-        self.begin, self.last = at[begin], at[np.append(begin[1:], len(at)) - 1] if len(begin) else begin
-        self.hash, self.doc = value[begin], owner[begin]
+        stop = np.zeros(len(low) + 1, bool)
+        stop[:-1] = new | (low == 0)
+        stop[-1] = True
+        stop = np.flatnonzero(stop)
+        end = stop[np.searchsorted(stop, begin) + 1] if len(begin) else begin
+        parts = -(-(end - begin) // width)  # equal grams close by make long runs
+        nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        self.begin = np.repeat(begin, parts) + nth * width
+        self.last = np.minimum(self.begin + width, np.repeat(end, parts)) - 1
+        self.hash = low[self.begin]
+        self.doc = np.searchsorted(texts.at, self.begin, side="right") - 1
         # a text that repeats within a run has its least gram there more than once
-        least = anchors(gram, np.arange(len(gram)) + k <= texts.at[np.repeat(np.arange(texts.n), size)[: len(gram)] + 1], width)
+        pad = np.zeros(width - 1, np.uint64)
+        least = np.flatnonzero(valid & (sliding(np.maximum, np.concatenate([pad, low, pad]), width) == gram)) if len(low) else begin
         a, b = np.searchsorted(least, self.begin), np.searchsorted(least, self.last + width)
-        i = np.repeat(np.arange(len(begin)), b - a)
-        here = least[np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a).astype(np.int64) + np.arange(len(i))] if len(i) else i
-        self.twice = np.bincount(i, weights=gram[here] == self.hash[i], minlength=len(begin)) > 1 if len(i) else np.zeros(len(begin), bool)
+        i = np.repeat(np.arange(len(a)), b - a)
+        here = least[np.arange(len(i)) + np.repeat(a - np.cumsum(b - a) + (b - a), b - a)]
+        self.twice = np.bincount(i, weights=gram[here] == self.hash[i], minlength=len(a)) > 1
 
 
 def entries(docs: DataFrame) -> DataFrame:
@@ -88,7 +93,7 @@ def entries(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             hashes, keys, starts = [], [], []
-            for part in pieces(batch):
+            for part in pieces(batch, size=HASHED):
                 own, t = part.column("key").to_numpy(), Texts(part.column("text"))
                 runs = Runs(t)
                 size = np.diff(t.at)
@@ -198,7 +203,8 @@ def run_rows(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch):
+            found = [[], [], [], [], [], []]
+            for part in pieces(batch, size=HASHED):
                 t = Texts(part.column("text"))
                 runs = Runs(t)
                 doc, start = flat(part.column("starts"))
@@ -207,9 +213,14 @@ def run_rows(rows: DataFrame) -> DataFrame:
                 s, e = runs.begin[i], runs.last[i]
                 ids = []
                 for seed in (23, 24):
-                    h = rolling(t.data, SPAN, seed) if len(t.data) >= SPAN else np.zeros(0, np.uint64)
-                    ids.append(longs(mix(h[s] ^ mix(h[e] ^ (e - s).astype(np.uint64)))))  # two windows cover a run
-                yield pa.RecordBatch.from_arrays([pa.array(longs(runs.hash[i])), *map(pa.array, ids), pa.array(part.column("key").to_numpy()[runs.doc[i]]), pa.array((s - t.at[runs.doc[i]]).astype(np.int32)), pa.array((e - s + 1).astype(np.int32))], names=["hash", "a", "b", "key", "start", "n"])
+                    h = rolling(t.data, SPAN, seed, np.concatenate([s, e])) if len(i) else np.zeros(0, np.uint64)
+                    ids.append(mix(h[: len(i)] ^ mix(h[len(i) :] ^ (e - s).astype(np.uint64))))  # two windows cover a run
+                key = part.column("key").to_numpy()[runs.doc[i]]
+                for column, x in zip(found, (runs.hash[i], *ids, key, s - t.at[runs.doc[i]], e - s + 1), strict=True):
+                    column.append(x)
+            h, a, b, key, start, n = map(np.concatenate, found)
+            cols = [longs(h), longs(a), longs(b), key, start.astype(np.int32), n.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["hash", "a", "b", "key", "start", "n"])
 
     return rows.select("key", "text", "starts").mapInArrow(run, "hash long, a long, b long, key long, start int, n int")
 
@@ -230,7 +241,7 @@ def core_rows(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             hashes, keys, starts = [], [], []
-            for part in pieces(batch):
+            for part in pieces(batch, size=HASHED):
                 t = Texts(part.column("text"))
                 runs = Runs(t, CORE)
                 listed = np.concatenate([[0], np.cumsum(covered(part, t))])
@@ -250,17 +261,21 @@ def window_rows(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in pieces(batch):
-                t = Texts(part.column("text"))
-                doc, core = flat(part.column("cores"))
-                near = np.zeros(len(t.data) + SPAN, bool)
-                for j in range(SPAN - CORE + 1):  # the most windows that share a gram
-                    near[t.at[doc] + core + j] = True
-                at = np.flatnonzero(covered(part, t) & near[: len(t.data)])
-                if not len(at):
+                found = [[], [], [], []]
+                for small in pieces(part, size=HASHED):
+                    t = Texts(small.column("text"))
+                    doc, core = flat(small.column("cores"))
+                    near = np.zeros(len(t.data) + SPAN, bool)
+                    for j in range(SPAN - CORE + 1):  # the most windows that share a gram
+                        near[t.at[doc] + core + j] = True
+                    at = np.flatnonzero(covered(small, t) & near[: len(t.data)])
+                    owner = np.searchsorted(t.at, at, side="right") - 1
+                    hashes = [rolling(t.data, SPAN, seed, at) if len(at) else np.zeros(0, np.uint64) for seed in (23, 24)]
+                    for column, x in zip(found, (*hashes, small.column("key").to_numpy()[owner], at - t.at[owner]), strict=True):
+                        column.append(x)
+                a, b, key, start = map(np.concatenate, found)
+                if not len(a):
                     continue
-                a, b = (rolling(t.data, SPAN, seed)[at] for seed in (23, 24))
-                owner = np.searchsorted(t.at, at, side="right") - 1
-                key, start = part.column("key").to_numpy()[owner], at - t.at[owner]
                 order = np.lexsort((start, key, b, a))
                 a, b, key, start = a[order], b[order], key[order], start[order]
                 new = np.ones(len(a), bool)

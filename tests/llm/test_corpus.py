@@ -11,6 +11,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,41 @@ def test_suffix_against_brute_force(docs, batches):
     assert table(out, "key", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
 
 
+class Plain:
+    """Stands for a table: hands its batch to the function of a map."""
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return pa.Table.from_batches(run([self.batch])).to_pydict()
+
+
+def test_suffix_hashes_little_at_once(monkeypatch):
+    rng = random.Random(9)
+    shared = ["".join(rng.choice("abcdef") for _ in range(400)) for _ in range(5)]
+    texts = ["".join(rng.choice("abcdef") for _ in range(rng.randint(0, 900))) + rng.choice(shared) for _ in range(600)]
+    found = Plain(pa.RecordBatch.from_pydict({"key": list(range(600)), "text": texts}))
+    starts = collections.defaultdict(list)
+    rows = suffix.entries(found)
+    for key, start in zip(rows["key"], rows["start"], strict=True):
+        starts[key].append(start)
+    lists = {"starts": [starts[i] for i in range(600)], "first": [[0]] * 600, "n": [[max(0, len(t) - 199)] for t in texts], "cores": [[0, len(t) - 384] for t in texts]}
+    kinds = {"first": pa.list_(pa.int32()), "n": pa.list_(pa.int32()), "cores": pa.list_(pa.int32()), "starts": pa.list_(pa.int32())}
+    whole = pa.RecordBatch.from_arrays([*found.batch.columns, *(pa.array(v, kinds[k]) for k, v in lists.items())], names=["key", "text", *lists])
+    steps = (suffix.entries, suffix.run_rows, suffix.core_rows, suffix.window_rows)
+    sizes, hashed = [], suffix.rolling
+    monkeypatch.setattr(suffix, "rolling", lambda data, *more: (sizes.append(len(data)), hashed(data, *more))[1])
+    small = [f(Plain(whole)) for f in steps]
+    assert max(sizes) < 1 << 17 < sum(map(len, texts))
+    monkeypatch.setattr(suffix, "HASHED", 1 << 30)
+    assert small == [f(Plain(whole)) for f in steps]  # and the rows do not depend on it
+    assert all(len(x["key"]) > 600 for x in small)
+
+
 def shingles(t):
     w = tokens(low(t))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
