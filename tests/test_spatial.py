@@ -80,6 +80,26 @@ def test_grid_join_rows(rows):
     assert len(out) == 4 and {r.sst for r in out if r.location_id == 1} == {29.0}
 
 
+@pytest.mark.parametrize("pairs", [spatial.GRID_PAIRS, 60, 1])
+def test_grid_join_writes_cell_by_cell(rows, pairs):
+    """Grid rows arrive with their cells mixed, the joined rows leave cell by cell; a crowded cell is dealt over shares, and none is lost."""
+    nan = float("nan")
+    spots = [(25.0, -80.0), (27.0, -82.0), (29.0, -84.0), (25.0, -84.0)]
+    obs = [(*spots[i % 3], i // 6, (None, nan, 27.0)[i % 5 % 3]) for i in range(120)] + [(None, -80.0, 1, 1.0), (25.0, None, 1, 1.0)]
+    grid = rows(obs, "lat double, lon double, ts int, sst double")
+    stands = [(i, 25.1 + 2 * (i % 2), -80.1 - 2 * (i % 2)) for i in range(20)] + [(3, 27.1, -82.1), (3, 27.1, -82.1), (None, 25.0, -80.0), (50, 25.0, -84.0)]
+    loc = rows(stands, "location_id int, lat double, lon double")
+    out = spatial.grid_join(loc, grid, pairs)
+    got = [(str(r.location_id), r.grid_lat, r.grid_lon, str(r.ts), str(r.sst)) for r in out.collect()]
+    cell = lambda lat, lon: min(spots, key=lambda c: abs(c[0] - lat) + abs(c[1] - lon))
+    expected = [(str(i), *cell(lat, lon), str(ts), str(sst)) for i, lat, lon in stands for a, b, ts, sst in obs if (a, b) == cell(lat, lon)]
+    assert sorted(got) == sorted(expected) and out.columns[:3] == ["ts", "sst", "location_id"]
+    shares = len({r[0] for r in out.select(F.spark_partition_id()).distinct().collect()})
+    assert shares > 1
+    changes = sum(a[1:3] != b[1:3] for a, b in zip(got, got[1:], strict=False))
+    assert changes < 2 * spatial.COPIES  # of up to 120, were they in the order of the grid
+
+
 def test_event_losses_terms_and_far_storm(rows):
     loc = rows([("A", 25.0, -80.0, "frame", "gable", 300000.0), ("B", 25.3, -80.2, "masonry_cbs", "hip", 500000.0)], "location_id string, lat double, lon double, construction_class string, roof_type string, tiv_usd double")
     pol = rows([("A", "P1", 6000.0, 100000.0), ("B", "P2", 10000.0, 500000.0)], "location_id string, policy_id string, deductible_usd double, limit_usd double")
