@@ -229,3 +229,10 @@ def test_report_scores_a_row_once(rows, monkeypatch):
     for learner in ("p_first", "p_second", "p_blend"):
         want = metrics.classification_metrics(model.predict(df), "had_claim", learner).first()
         assert got["train", learner] == got["test", learner] == pytest.approx((want.n, want.brier, want.auc))
+
+
+def test_a_learner_takes_all_rows(spark):
+    n = 5_200_000  # more than a learner once took
+    table = spark.range(n).select(F.col("id").cast("double").alias("lat"), (F.col("id") % 7 == 0).cast("int").alias("had_claim"))
+    data = models.training_rows(models.FeatureSpace(table), table, "had_claim")
+    assert data.agg(F.count("*"), F.sum("_y")).first() == (n, -(-n // 7))
