@@ -1,6 +1,7 @@
 """Tail metrics and pair computations."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,26 @@ def test_co_loss_totals_are_those_of_the_pairs(rows, monkeypatch):
     edges = graph.portfolio_edges(places, claims).groupBy("src", "edge_type").agg(F.count("*"), F.sum("weight"))
     totals = {(r.src, r.edge_type): (r.edges, r.weight) for r in graph.portfolio_edges(places, claims, per_source=True).collect()}
     assert totals == {(r[0], r[1]): (r[2], pytest.approx(r[3])) for r in edges.collect()} and len({k for _, k in totals}) == 3
+
+
+@pytest.mark.parametrize("sizes", [(300, 520), (7, 300), (1, 1)])
+def test_co_loss_sums_of_tiles(sizes):
+    """Rows with few claims, constant and missing ones, mixed keys: the sums are those of judging every pair by itself."""
+    rnd = np.random.default_rng(sum(sizes))
+    total = sum(sizes)
+    keys, counts = rnd.permutation(total), rnd.poisson(0.7, size=(total, 6)).astype(float)
+    vec = np.where(counts > 0, rnd.uniform(size=counts.shape), 0.0)
+    vec[::11], vec[3::50] = 0.5, np.nan
+    a, b = (
+        pa.table({"key": keys[s], "vec": list(map(list, vec[s])), "counts": list(map(list, counts[s]))}) for s in (slice(sizes[0]), slice(sizes[0], total))
+    )
+    wanted = rnd.random(sizes) < 0.9
+    want = np.zeros((total, 3))
+    for i in range(sizes[0]):
+        for j in range(sizes[0], total):
+            both = counts[i] + counts[j]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                r, joint = np.corrcoef(vec[i], vec[j])[0, 1], both[both >= 2].sum()
+            if wanted[i, j - sizes[0]] and abs(r) >= 0.3 and joint >= 3:
+                want[i if keys[i] < keys[j] else j] += 1, r, joint
+    assert np.concatenate(pairs.co_loss_sums(a, b, wanted, 0.3, 3)) == pytest.approx(want)
