@@ -217,3 +217,34 @@ def test_climate_from_joined_rows_joins_a_cell_once(rows):
     finally:
         hazard.grid_join = real
     assert seen[0].count() <= grid.count()
+
+
+@pytest.mark.parametrize("radius, options", [(400.0, {}), (400.0, {"most": 5, "share": 3}), (3000.0, {"most": 1})])
+def test_totals_of_the_radius_join_are_those_of_its_pairs(rows, monkeypatch, radius, options):
+    monkeypatch.setattr(spatial, "TILE_ROWS", (7, 16))
+    monkeypatch.setattr(spatial, "BLOCK", (4, 5))
+    left, right = world(120, 1), world(90, 2)
+    right[::9] = left[:10]  # some at no distance
+    a = rows([(i // 2, *p) for i, p in enumerate(left)] + [(99, None, 1.0), (99, float("nan"), 1.0)], "a int, lat double, lon double")
+    b = rows([(f"s{i % 7}", *p) for i, p in enumerate(right)], "b string, track_lat double, track_lon double")
+    for side, key in (("left", "a"), ("right", "b")):
+        want = {}
+        for i, p in enumerate(left):
+            for j, q in enumerate(right):
+                if km(p, q) <= radius:
+                    want.setdefault(i // 2 if side == "left" else f"s{j % 7}", []).append(km(p, q))
+        out = spatial.radius_join(a, b, radius, totals=side, **options).groupBy(key).agg(F.sum("pairs"), F.sum("total_km"), F.min("nearest_km"))
+        got = {r[0]: r[1:] for r in out.collect()}
+        assert {k: r[0] for k, r in got.items()} == {k: len(v) for k, v in want.items()}
+        assert all(abs(got[k][1] - sum(v)) < 1e-6 * len(v) and abs(got[k][2] - min(v)) < 1e-4 for k, v in want.items())
+    with pytest.raises(ValueError, match="one radius"):
+        spatial.radius_join(a, b, radius, totals="left", reach="track_lat")
+
+
+def test_totals_are_added_up_in_tiles(rows):
+    """No row of the join is a pair: a task meets tiles of rows, and adds up what it finds there."""
+    a = rows([(i, 27.0, -82.0) for i in range(700)], "a int, lat double, lon double")
+    b = rows([(i, 27.5, -82.0) for i in range(900)], "b int, track_lat double, track_lon double")
+    out = spatial.radius_join(a, b, 400.0, totals="left")
+    assert out.columns == ["a", "lat", "lon", "pairs", "total_km", "nearest_km"]
+    assert 700 <= out.count() <= 700 * spatial.COPIES and out.agg(F.sum("pairs")).first()[0] == 700 * 900
